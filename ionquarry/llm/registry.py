@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ionquarry.llm import decontaminate, language_id, minhash, mixing
+from ionquarry.llm import decontaminate, language_id, minhash, mixing, url_filter
 from ionquarry.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.verdict_report(table(spark, sf_dir, "pages"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.dedup_report(table(spark, sf_dir, "documents"))
 
@@ -28,8 +32,11 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_url_filters": op3_url_filters,
     "op4_minhash": op4_minhash,
     "op5_language_id": op5_language_id,
     "op7_mix_sources": op7_mix_sources,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_url_filters": url_filter.ORACLE_SQL,
+}
