@@ -132,13 +132,12 @@ def capped_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     """For each position, the length of the common prefix with the suffix before it in order, up to ``most``.
 
     Permuted by text position, the lengths fall by one from a position to the next whenever the predecessors are
-    neighbours as well; only where they aren't, symbols are compared.
+    neighbours as well and equal symbols stand before both; only elsewhere, symbols are compared.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    fresh = np.r_[True, before[1:] != before[:-1] + 1] | (before < 0)
-    at = np.flatnonzero(fresh)
+    fresh = np.r_[True, (before[1:] != before[:-1] + 1) | (text[:-1] != text[before[1:] - 1])] | (before < 0)
     # runs are cut every ``most`` positions, since a length is only known up to ``most``
     run = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     at = np.flatnonzero(fresh | ((np.arange(n) - run) % most == 0))
@@ -153,7 +152,6 @@ def capped_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
         whole = eq.all(1)
         length[live] += np.where(whole, 4, eq.argmin(1))
         live = live[whole & (length[live] < 2 * most)]
-    out = np.zeros(n, np.int64)
     first = np.searchsorted(at, np.arange(n), "right") - 1
     out = length[first] - (np.arange(n) - at[first])
     return np.clip(out, 0, most)
