@@ -15,7 +15,7 @@ from ionquarry.llm import bytesops as B
 from ionquarry.llm.common import chosen_name, cut, held_out
 
 #: Taken off every count and given to the shared counts: what a class has seen up to so many times says nothing by itself.
-DISCOUNT = 3.0
+DISCOUNT = 4.0
 #: log2 of the classes that preceding words fall into by hash; their totals are held in every task.
 CONTEXT_BITS = 18
 #: Bigrams in one broadcast block; a larger model is scored in further blocks, one scan step each.
@@ -41,10 +41,12 @@ def _count(bits: int):
         for batch in batches:
             for part, data, at in B.chunks(batch, "text"):
                 words, context, owner = bigrams(data, at, bits)
-                toxic = part.column("toxic").to_numpy()[owner].astype(np.int64)
-                order = np.lexsort((context, words))
-                words, context, toxic = words[order], context[order], toxic[order]
-                start = np.flatnonzero(np.r_[len(words) > 0, (words[1:] != words[:-1]) | (context[1:] != context[:-1])])
+                # what one text says again and again counts once
+                order = np.lexsort((owner, context, words))
+                words, context, owner = words[order], context[order], owner[order]
+                once = np.r_[len(words) > 0, (words[1:] != words[:-1]) | (context[1:] != context[:-1]) | (owner[1:] != owner[:-1])][: len(words)]
+                words, context, toxic = words[once], context[once], part.column("toxic").to_numpy()[owner[once]].astype(np.int64)
+                start = np.flatnonzero(np.r_[len(words) > 0, (words[1:] != words[:-1]) | (context[1:] != context[:-1])][: len(words)])
                 size = np.diff(np.r_[start, len(words)])
                 bad = np.add.reduceat(toxic, start) if len(start) else toxic
                 columns = [pa.array(words[start].view(np.int64)), pa.array(context[start].astype(np.int32)), pa.array(size - bad), pa.array(bad)]
@@ -144,9 +146,9 @@ def likelihoods(docs: DataFrame, model: list, text_col: str = "text") -> DataFra
 
 
 def evidence(n: np.ndarray, total: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Per text: 1, the ratio for each word, the ratio over the root of the length, the strongest word's ratio."""
+    """Per text: 1, the ratio for each word, the ratio over the root of the length, the strongest word's ratio, the length's log."""
     size = np.maximum(n, 1)
-    return np.stack([np.ones(len(n)), total / size, np.clip(total / np.sqrt(size), -20, 20), np.where(n > 0, np.clip(most, -10, 10), 0.0)], 1)
+    return np.stack([np.ones(len(n)), total / size, np.clip(total / np.sqrt(size), -20, 20), np.where(n > 0, np.clip(most, -10, 10), 0.0), np.log(size)], 1)
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -199,7 +201,7 @@ def classify(docs: DataFrame, classifier: Classifier, text_col: str = "text", sc
     size, w = F.greatest("kn_words", F.lit(1)), [float(x) for x in classifier.weights]
     clip = lambda c, m: F.greatest(F.lit(-m), F.least(F.lit(m), c))
     top = F.when(F.col("kn_words") > 0, clip(F.col("kn_max"), 10.0)).otherwise(0.0)
-    odds = w[0] + w[1] * F.col("kn_sum") / size + w[2] * clip(F.col("kn_sum") / F.sqrt(size), 20.0) + w[3] * top
+    odds = w[0] + w[1] * F.col("kn_sum") / size + w[2] * clip(F.col("kn_sum") / F.sqrt(size), 20.0) + w[3] * top + w[4] * F.log(size)
     found = likelihoods(docs.select(*names), classifier.model, text_col)
     return found.select(*names, (1 / (1 + F.exp(-clip(odds, 30.0)))).alias(score_col))
 
