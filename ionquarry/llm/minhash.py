@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ionquarry.llm import bytesops as B
-from ionquarry.llm.common import cut, text_id, unique_texts
+from ionquarry.llm.common import chosen_name, cut, text_id, unique_texts
 from ionquarry.llm.components import components
 
 #: Words in a shingle; bands and rows of the signature. At a similarity of 0.8, all bands miss once in 300,000 pairs.
@@ -147,7 +147,7 @@ def links(docs: DataFrame, percent: int = 80, n: int = SHINGLE, bands: int = BAN
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Each row's id, tid, n_shingles and component_id: the smallest id of the texts that links reach, itself included.
+    """Each row's id, tid, n_shingles, root (the class, as a text id) and component_id: the smallest id of the texts that links reach, itself included.
 
     Null and empty texts, and texts without words, have no shingles and link with nothing, not even with one another: each
     such row is a class of its own, by its id. Rows with equal texts are one class. A null id stays null and counts as
@@ -161,7 +161,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     rows = ids.join(root_of, "tid")
     least = rows.filter("n_shingles > 0").groupBy("root").agg(F.min("id").alias("least"))
     rows = rows.join(least, "root", "left")
-    return rows.select("id", "tid", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    return rows.select("id", "tid", "n_shingles", "root", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with one row of each class: the smallest id, of several texts with it the smallest text id.
+
+    Rows without a shingle are all kept; a null id counts as the largest. Options: as of ``links``.
+    """
+    key, id_key = chosen_name(docs, "text_key"), chosen_name(docs, "id_key")
+    found = classes(docs, id_col, **options).filter("n_shingles > 0")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "tid")
+    winner = found.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.tid").alias("kept_tid"), F.col("best.id").alias("kept_id"))
+    keyed = docs.withColumns({key: text_id(F.col(options.get("text_col", "text"))), id_key: F.col(id_col)})
+    linked = keyed.join(winner, (F.col(key) == F.col("kept_tid")) & F.col(id_key).eqNullSafe(F.col("kept_id")), "left_semi")
+    wordless = ~F.coalesce(docs[options.get("text_col", "text")], F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return linked.dropDuplicates([key]).unionByName(keyed.filter(wordless)).drop(key, id_key)
 
 
 def dedup_report(docs: DataFrame, percent: int = 85) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from ionquarry.llm import decontaminate, language_id, minhash, mixing, suffix_dedup, toxicity, url_filter
 from ionquarry.llm.common import table
 
@@ -46,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op7_mix_sources": op7_mix_sources,
     "op10_toxicity": op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op3_url_filters": url_filter.ORACLE_SQL,
