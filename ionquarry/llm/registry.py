@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from ionquarry.llm import decontaminate, language_id, minhash, mixing, suffix_dedup, toxicity, url_filter
+from ionquarry.llm import decontaminate, language_id, license_scan, minhash, mixing, suffix_dedup, toxicity, url_filter
 from ionquarry.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash": op4_minhash,
     "op5_language_id": op5_language_id,
     "op7_mix_sources": op7_mix_sources,
+    "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
     "pipeline": corpus_pipeline.run,
 }
