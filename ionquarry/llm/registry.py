@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from ionquarry.llm import decontaminate, language_id, license_scan, minhash, mixing, suffix_dedup, toxicity, url_filter
+from ionquarry.llm import decontaminate, language_id, license_scan, minhash, mixing, spotsigs, suffix_dedup, toxicity, url_filter
 from ionquarry.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predictions(table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op4_minhash": op4_minhash,
     "op5_language_id": op5_language_id,
+    "op6_fingerprints": op6_fingerprints,
     "op7_mix_sources": op7_mix_sources,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
