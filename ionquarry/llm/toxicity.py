@@ -56,18 +56,18 @@ def _count(bits: int):
 
 
 class Block:
-    """The bigrams of some of the words, those words' continuation counts, and all contexts' totals."""
-
-    def __init__(self, rows: pa.Table, contexts: np.ndarray, types: np.ndarray, spare: np.ndarray, k: int, blocks: int, bits: int):
-        word = rows.column("word").to_numpy().view(np.uint64)
-        key = self.key(word, rows.column("context").to_numpy().astype(np.int64))
-        counts = np.stack([rows.column(c).to_numpy() for c in ("clean", "toxic")], 1).astype(np.float32)
-        order = np.argsort(key)
-        self.keys, self.counts = key[order], counts[order]
-        self.words, own = np.unique(word, return_inverse=True)
-        self.follows = np.stack([np.bincount(own, c > 0, len(self.words)) for c in counts.T], 1)
+    """The bigrams of some of the words that the discount leaves, those words' continuation counts, and all contexts' totals."""
+
+    def __init__(self, bigrams: pa.Table, follows: pa.Table, contexts: np.ndarray, types: np.ndarray, spare: np.ndarray, k: int, blocks: int, bits: int):
+        self.keys, self.counts = self.table(bigrams, self.key(bigrams.column("word").to_numpy().view(np.uint64), bigrams.column("context").to_numpy().astype(np.int64)))
+        self.words, self.follows = self.table(follows, follows.column("word").to_numpy().view(np.uint64))
         self.contexts, self.types, self.spare, self.k, self.blocks, self.bits = contexts, types, spare, k, blocks, bits
 
+    @staticmethod
+    def table(rows: pa.Table, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(keys)
+        return keys[order], np.stack([rows.column(c).to_numpy() for c in ("clean", "toxic")], 1).astype(np.float32)[order]
+
     @staticmethod
     def key(word: np.ndarray, context: np.ndarray) -> np.ndarray:
         return B.mix(word * np.uint64(31) + context.astype(np.uint64))
@@ -106,17 +106,19 @@ def train(labelled: DataFrame, bits: int = CONTEXT_BITS, block_rows: int = BLOCK
     counts = cut(rows.mapInArrow(_count(bits), _COUNTS).groupBy("word", "context").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
     both = ("clean", "toxic")
     per = counts.groupBy("context").agg(*[f for c in both for f in (F.sum(c).alias(c), F.sum(F.least(F.col(c), F.lit(DISCOUNT))).alias(f"{c}_spare"))]).toArrow()
-    contexts = np.zeros(((1 << bits) + 1, 4))
+    contexts = np.zeros(((1 << bits) + 1, 4), np.float32)
     contexts[per.column("context").to_numpy()] = np.stack([per.column(c).to_numpy() for c in ("clean", "clean_spare", "toxic", "toxic_spare")], 1)
-    follows = counts.groupBy("word").agg(*[F.count_if(F.col(c) > 0).alias(c) for c in both])
+    follows = cut(counts.groupBy("word").agg(*[F.count_if(F.col(c) > 0).alias(c) for c in both]))
     sums = follows.agg(*[F.sum(c) for c in both], *[F.sum(F.least(F.col(c), F.lit(DISCOUNT))) for c in both]).first()
     types, spare = np.array([float(x or 0) for x in sums]).reshape(2, 2)
-    blocks = max(1, -(-int(counts.count()) // block_rows))
+    # the discount leaves nothing of rarer bigrams but what the contexts' totals hold
+    strong = cut(counts.filter(F.greatest(*both) > DISCOUNT))
+    blocks = max(1, -(-(strong.count() + follows.count()) // block_rows))
     part = F.pmod(F.conv(F.hex("word"), 16, 10).cast("decimal(20,0)"), F.lit(blocks))
 
     def load(k: int):
-        own = counts if blocks == 1 else counts.filter(part == k)
-        return Block(own.toArrow(), contexts, types, spare, k, blocks, bits)
+        own = [t if blocks == 1 else t.filter(part == k) for t in (strong, follows)]
+        return Block(*[t.toArrow() for t in own], contexts, types, spare, k, blocks, bits)
 
     return [lambda k=k: load(k) for k in range(blocks)]
 
