@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from ionquarry.llm import decontaminate, language_id, license_scan, minhash, mixing, spotsigs, suffix_dedup, toxicity, url_filter
+from ionquarry.llm import decontaminate, language_id, license_scan, minhash, mixing, spotsigs, suffix_dedup, toxicity, url_filter, warc
 from ionquarry.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.revisit_report(table(spark, sf_dir, "pages"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_report(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_fingerprints": op6_fingerprints,
     "op7_mix_sources": op7_mix_sources,
+    "op8_warc_revisits": op8_warc_revisits,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
     "pipeline": corpus_pipeline.run,
