@@ -24,6 +24,8 @@ from ionquarry.llm.suffix_array import capped_prefixes, suffix_array
 LENGTH, GRAM = 400, 64
 #: Bytes of stretches in a shard; distinct stretches of one anchor from which on its windows are counted one by one.
 SHARD_BYTES, HOT = 1 << 20, 500
+#: Windows of a long text that are worked on at a time.
+WINDOWS = 1 << 17
 
 _ANCHORS = "tid binary, anchor long, first long, last long"
 _STRETCHES = "tid binary, anchor long, first long, digest binary, bytes binary"
@@ -31,35 +33,43 @@ _RUNS = "tid binary, first long, last long"
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, anchor hash, first, last start of the windows) of every stretch; starts count from the text's first byte."""
-    texts, hashes, firsts, lasts = [], [], [], []
-    width = length - gram + 1
-    sums = B.prefix_hash(data, lower=False)
+    """(text, anchor hash, first, last start of the windows) of every stretch; starts count from the text's first byte.
+
+    A long text is worked off in blocks of windows, which bounds the memory; a stretch that spans two of them stays whole.
+    """
+    parts = []
     for d in np.flatnonzero(np.diff(at) >= length):
-        a, b = at[d], at[d + 1]
-        starts = np.arange(a, b - gram + 1)
-        value = B.span_hash(sums, starts, starts + gram)
-        low = value >> np.uint64(1)
-        # smallest hash of each window, by doubling
-        least, reach = low, 1
-        while 2 * reach <= width:
-            least = np.minimum(least[:-reach], least[reach:])
-            reach *= 2
-        if reach < width:
-            least = np.minimum(least[: len(low) - width + 1], least[width - reach : width - reach + len(low) - width + 1])
-        # its leftmost place: the smallest hash's next occurrence from the window's start on
-        order = np.lexsort((np.arange(len(low)), low))
-        ranked = low[order].astype(np.uint64)
-        place = _next_place(ranked, order, least, len(low))
+        own, windows = data[at[d] : at[d + 1]], int(at[d + 1] - at[d]) - length + 1
+        blocks = [_block_anchors(own[a : a + WINDOWS + length - 1], a, length, gram) for a in range(0, windows, WINDOWS)]
+        first, place, value = (np.concatenate(x) for x in zip(*blocks, strict=True))
         fresh = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        texts.append(np.full(len(fresh), d))
-        hashes.append(value[place[fresh]].view(np.int64))
-        firsts.append(fresh)
-        lasts.append(np.r_[fresh[1:] - 1, len(place) - 1])
-    if not texts:
+        first = first[fresh]
+        parts.append((np.full(len(first), d), value[fresh].view(np.int64), first, np.r_[first[1:] - 1, windows - 1]))
+    if not parts:
         none = np.zeros(0, np.int64)
         return none, none, none, none
-    return tuple(np.concatenate(x) for x in (texts, hashes, firsts, lasts))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _block_anchors(own: np.ndarray, begin: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, place and hash of the anchor) of the block's stretches; ``own`` starts at byte ``begin``."""
+    width = length - gram + 1
+    starts = np.arange(len(own) - gram + 1)
+    value = B.span_hash(B.prefix_hash(own, lower=False), starts, starts + gram)
+    low = value >> np.uint64(1)
+    # smallest hash of each window, by doubling
+    least, reach = low, 1
+    while 2 * reach <= width:
+        least = np.minimum(least[:-reach], least[reach:])
+        reach *= 2
+    if reach < width:
+        shift = width - reach
+        least = np.minimum(least[:-shift], least[shift:])
+    # its leftmost place: that hash's next occurrence from the window's start on
+    order = np.argsort(low, kind="stable")
+    place = _next_place(low[order], order, least, len(low))
+    fresh = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    return fresh + begin, place[fresh] + begin, value[place[fresh]]
 
 
 def _next_place(ranked: np.ndarray, order: np.ndarray, least: np.ndarray, n: int) -> np.ndarray:
