@@ -22,6 +22,8 @@ CONTEXT_BITS = 18
 BLOCK_ROWS = 2_000_000
 #: Labelled texts on which the final weights of the likelihoods are fitted.
 FIT_ROWS = 20_000
+#: Labels up to so many rows (about 16 bytes each) are broadcast, more are joined by a shuffle.
+BROADCAST_LABELS = 4_000_000
 CLEAN, TOXIC = 0, 1
 _COUNTS = "word long, context int, clean long, toxic long"
 _PARTS = T.StructType([T.StructField("kn_words", T.LongType()), T.StructField("kn_sum", T.DoubleType()), T.StructField("kn_max", T.DoubleType())])
@@ -179,7 +181,8 @@ def train_classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROW
     ``fit_rows``, by the hash's order, give the weights of the likelihoods: of texts that the models don't know by heart.
     Several labels of a document count as toxic if one does; null ids, texts and labels are left out.
     """
-    marks = labels.filter("toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    marks = cut(labels.filter("toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")))
+    marks = F.broadcast(marks) if marks.count() <= BROADCAST_LABELS else marks
     turn = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(6000))
     labelled = cut(docs.filter("text IS NOT NULL").select("doc_id", "text").join(marks, "doc_id").select("text", "toxic", turn.alias("turn")))
     model = train(labelled.filter("turn >= 1000"), **options)
