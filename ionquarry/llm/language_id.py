@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ionquarry.llm import bytesops as B
-from ionquarry.llm.common import held_out
+from ionquarry.llm.common import chosen_name, held_out
 
 #: log2 of the number of hashed n-gram features; lengths of the n-grams.
 FEATURE_BITS, LENGTHS = 15, (1, 2, 3)
@@ -121,7 +121,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     A null text and one without a letter are ``und`` with score 0. Columns of ``docs`` with an added name are replaced.
     Ties go to the language that sorts first. Equal texts get equal results.
     """
-    out = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score", "any_letter")])
+    out = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score")])
     schema = T.StructType([*out.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +136,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                     names, p = [UNDECIDED] * part.num_rows, np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(p, pa.float64())], names=[*part.schema.names[:-1], "lang_pred", "score"])
 
-    return out.withColumn("any_letter", has_letter(F.col(text_col))).mapInArrow(step, schema)
+    return out.withColumn(chosen_name(out, "any_letter"), has_letter(F.col(text_col))).mapInArrow(step, schema)
 
 
 def predictions(docs: DataFrame) -> DataFrame:

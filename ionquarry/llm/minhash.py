@@ -169,12 +169,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) ->
 
     Rows without a shingle are all kept; a null id counts as the largest. Options: as of ``links``.
     """
-    key, id_key = chosen_name(docs, "text_key"), chosen_name(docs, "id_key")
+    key, id_key, kept_key, kept_id = (chosen_name(docs, x) for x in ("text_key", "id_key", "kept_key", "kept_id"))
     found = classes(docs, id_col, **options).filter("n_shingles > 0")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "tid")
-    winner = found.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.tid").alias("kept_tid"), F.col("best.id").alias("kept_id"))
+    winner = found.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.tid").alias(kept_key), F.col("best.id").alias(kept_id))
     keyed = docs.withColumns({key: text_id(F.col(options.get("text_col", "text"))), id_key: F.col(id_col)})
-    linked = keyed.join(winner, (F.col(key) == F.col("kept_tid")) & F.col(id_key).eqNullSafe(F.col("kept_id")), "left_semi")
+    linked = keyed.join(winner, (F.col(key) == F.col(kept_key)) & F.col(id_key).eqNullSafe(F.col(kept_id)), "left_semi")
     wordless = ~F.coalesce(docs[options.get("text_col", "text")], F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     return linked.dropDuplicates([key]).unionByName(keyed.filter(wordless)).drop(key, id_key)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionquarry.llm.common import ascii_lower, cut
+from ionquarry.llm.common import ascii_lower, chosen_name, cut
 
 #: tier, host, path, verdict; the lowest tier with a fitting rule decides.
 RULES = [
@@ -72,17 +72,18 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> Dat
     count once. Repeated pages are judged alike. Columns of ``pages`` with an added name are replaced.
     """
     rules = rules.select(_RULE.replace(" int", "").replace(" string", "").split(", ")).dropna()
-    out = pages.drop(*[c for c in pages.columns if c.lower() in (*_ADDED, "url_key")])
-    out = out.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))}).withColumn("url_key", F.concat("host", "path"))
-    keys = cut(out.select("url_key").distinct())
+    out = pages.drop(*[c for c in pages.columns if c.lower() in _ADDED])
+    key, decided_key = chosen_name(out, "url_key"), chosen_name(out, "decided_key")
+    out = out.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))}).withColumn(key, F.concat("host", "path"))
+    keys = cut(out.select(F.col(key).alias("url_key")).distinct())
     tokens = F.array_union(F.array(F.lit("")), F.regexp_extract_all("url_key", F.lit(f"({_TOKEN})"), F.lit(1)))
     entries = keys.filter("url_key <> ''").select("url_key", F.explode(tokens).alias("token"))
     index = cut(index_rules(rules, entries.select("token")))
     size = index.agg(F.sum(F.length("pattern") + F.length("name") + F.length("token"))).first()[0] or 0
     fits = entries.join(F.broadcast(index) if size <= BROADCAST_BYTES else index, "token").filter(F.expr("url_key RLIKE pattern"))
     best = F.min_by(F.struct(F.col("name").alias("rule"), "tier", "verdict"), F.struct("tier", -F.length("name"), "name", F.col("verdict") != "block"))
-    decided = fits.groupBy("url_key").agg(best.alias("best")).select(F.col("url_key").alias("decided_key"), "best.*")
-    return out.join(decided, F.col("url_key") == F.col("decided_key"), "left").drop("url_key", "decided_key")
+    decided = fits.groupBy("url_key").agg(best.alias("best")).select(F.col("url_key").alias(decided_key), "best.*")
+    return out.join(decided, F.col(key) == F.col(decided_key), "left").drop(key, decided_key)
 
 
 def verdict_report(pages: DataFrame) -> DataFrame:
