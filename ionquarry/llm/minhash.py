@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,8 @@ from ionquarry.llm.components import components
 
 #: Words in a shingle; bands and rows of the signature. At a similarity of 0.8, all bands miss once in 300,000 pairs.
 SHINGLE, BANDS, ROWS = 5, 24, 4
+#: Texts of a bucket that are compared pair by pair; in larger ones, pairs must share differences to the smallest text.
+FEW = 16
 _SHIFT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -104,13 +106,52 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "u").join(other, "v").select("u", "v", "one", "other").mapInArrow(_common, "u binary, v binary, both long")
 
 
+def _differences(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pairs:
+        one, other = batch.column("one"), batch.column("other")
+        both = [np.setxor1d(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), assume_unique=True).view(np.int64) for a, b in zip(one, other, strict=True)]
+        over = [len(a.as_buffer()) // 8 for a in one]
+        kept = [batch.column(c) for c in ("first", "tid", "root", "link", "n")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(over, pa.int64()), pa.array(both, pa.list_(pa.int64()))], names=["first", "tid", "root", "link", "n", "n_first", "differ"])
+
+
+def crowded_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v) among the ``members`` (first, tid, root, link, n) of each first text that may link and have several roots.
+
+    D is what a set and the first text's do not share. Sets of a and b shingles link if at most tau * (a + b) shingles are
+    in one alone, tau = (100 - percent) / (100 + percent); so they share at least (|D| + |D'| - tau * (a + b)) / 2 shingles
+    of their D. Of a pair with different roots, one does not link with the first text: its D has more than tau * (its size
+    + the first's), and the number is above 0. That makes an exact prefix filter on the shingles of D, rarest first: near
+    copies with edits in different places never meet, however many there are.
+    """
+    tau = (100 - percent) / (100 + percent)
+    one = sets.select(F.col("tid").alias("first"), F.col("shingles").alias("one"))
+    other = sets.select("tid", F.col("shingles").alias("other"))
+    found = members.join(one, "first").join(other, "tid").select("first", "tid", "root", "link", "n", "one", "other")
+    found = cut(found.mapInArrow(_differences, "first binary, tid binary, root binary, link boolean, n long, n_first long, differ array<long>"))
+    each = found.select("first", "tid", "root", "link", "n", "n_first", F.size("differ").alias("d"), F.explode("differ").alias("s"))
+    common = each.groupBy("first", "s").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    each = each.join(common, ["first", "s"])
+    own = Window.partitionBy("first", "tid")
+    each = each.withColumn("c", F.count(F.lit(1)).over(own)).withColumn("rank", F.col("d") - F.col("c") + F.row_number().over(own.orderBy("held", "s")))
+    # the least number of shared shingles of D with a partner that does not link with the first text, and with any partner
+    with_far = F.floor((1 - tau) * F.col("d") / 2 - 1e-6) + 1
+    with_any = F.greatest(F.lit(1), F.ceil((F.col("d") - tau * (F.col("n") + F.col("n_first"))) / (1 + tau) - 1e-6))
+    each = each.withColumn("least", F.when(F.col("link"), with_far).otherwise(F.least(with_far, with_any)))
+    each = cut(each.filter("c >= least AND rank <= d - least + 1").select("first", "s", "tid", "root", "link", "n", "d", "c"))
+    x, y = each.alias("x"), each.alias("y")
+    shared = (F.col("x.d") + F.col("y.d") - tau * (F.col("x.n") + F.col("y.n"))) / 2 - 1e-6
+    met = (F.col("x.first") == F.col("y.first")) & (F.col("x.s") == F.col("y.s")) & (F.col("x.tid") < F.col("y.tid")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.c", "y.c") >= shared)
+    return x.join(y, met).select(F.col("x.tid").alias("u"), F.col("y.tid").alias("v")).distinct()
+
+
 def links(docs: DataFrame, percent: int = 80, n: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(features, edges) of the distinct texts: tid, n_shingles, bands; and (u, v), text ids whose sets link.
 
     Sets link if 100 * intersection >= percent * union, counted on the full sets. Candidates share a band. In each band's
     bucket, all are first compared with the bucket's smallest text; what these links leave in several components is
-    compared further, pair by pair, but for pairs that the lengths, or the distances to a common text, already rule out
-    (Jaccard distance is a metric). Links between texts of one component are not all looked for; components lose none
+    compared further: up to ``FEW`` texts pair by pair, but for pairs that the lengths, or the distances to a common text,
+    already rule out (Jaccard distance is a metric); more of them as in ``crowded_pairs``. Both ways are exact. Links between texts of one component are not all looked for; components lose none
     of the candidates.
     """
     own = docs.select(text_id(F.col(text_col)).alias("tid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -133,15 +174,17 @@ def links(docs: DataFrame, percent: int = 80, n: int = SHINGLE, bands: int = BAN
     near = cut(linked(verify(near, sets)))
     first_edges = near.filter("link").select("u", "v")
     roots = cut(components(first_edges))
-    # members of buckets that still hold several components, with the distance to the bucket's smallest text
-    member = entries.join(near.select(F.col("u").alias("first"), F.col("v").alias("tid"), "far"), ["first", "tid"], "left")
-    member = member.join(roots, member["tid"] == roots["node"], "left").select("band", "tid", "n_shingles", "first", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("root", "tid").alias("root"))
+    # members of buckets that still hold several components
+    member = entries.join(near.select(F.col("u").alias("first"), F.col("v").alias("tid"), "far", "link"), ["first", "tid"], "left")
+    member = member.join(roots, member["tid"] == roots["node"], "left").select("band", "tid", "n_shingles", "first", F.coalesce("far", F.lit(0.0)).alias("far"), "link", F.coalesce("root", "tid").alias("root"))
     open_ = member.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("held")).filter("r0 <> r1 AND held > 2")
-    member = cut(member.join(open_.select("band"), "band").filter("tid <> first"))
+    member = cut(member.join(open_.select("band", "held"), "band").filter("tid <> first"))
     most = 1 - percent / 100 + 1e-9
-    x, y = member.alias("x"), member.alias("y")
+    x, y = (member.filter(F.col("held") <= FEW).alias(k) for k in "xy")
     rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.tid") < F.col("y.tid")) & (F.col("x.root") != F.col("y.root")) & (F.abs(F.col("x.far") - F.col("y.far")) <= most) & (100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles")))
-    rest = rest.select(F.col("x.tid").alias("u"), F.col("y.tid").alias("v")).distinct()
+    rest = rest.select(F.col("x.tid").alias("u"), F.col("y.tid").alias("v"))
+    crowds = member.filter(F.col("held") > FEW).select("first", "tid", "root", "link", F.col("n_shingles").alias("n")).distinct()
+    rest = cut(rest.union(crowded_pairs(crowds, sets, percent)).distinct())
     more = linked(verify(rest, sets)).filter("link").select("u", "v")
     return features, cut(first_edges.union(more))
 

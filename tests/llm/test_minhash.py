@@ -50,9 +50,11 @@ def sample(seed):
     return list(enumerate(texts, 100))
 
 
+@pytest.mark.parametrize("few", [M.FEW, 0])
 @pytest.mark.parametrize("percent", [80, 85])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_report_equals_brute_force(spark, seed, percent):
+def test_report_equals_brute_force(spark, monkeypatch, seed, percent, few):
+    monkeypatch.setattr(M, "FEW", few)
     rows = sample(seed)
     got = M.dedup_report(spark.createDataFrame(rows, SCHEMA), percent)
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
@@ -73,6 +75,19 @@ def test_a_large_group_and_a_long_text(spark):
     assert got == {i: 0 if i < 700 else 700 for i in range(702)}
 
 
+@pytest.mark.parametrize("few", [M.FEW, 0])
+def test_a_crowd_of_copies_at_the_threshold(spark, monkeypatch, few):
+    monkeypatch.setattr(M, "FEW", few)
+    r = random.Random(4)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(150):
+        text = list(base)
+        for k in r.sample(range(150), r.randrange(1, 4)):
+            text[k] = r.choice([f"x{i}", f"y{k}"])
+        rows.append((i, " ".join(text)))
+    assert sorted(map(tuple, M.dedup_report(spark.createDataFrame(rows, SCHEMA)).collect())) == brute(rows, 85)
+
+
 def test_one_document_of_each_group_stays_with_its_columns(spark):
     text = " ".join(f"w{i}" for i in range(80))
     names = "doc_id long, text string, tid string, root int, kept_tid int, kept_id int, text_key int, last int, Band int"
