@@ -50,11 +50,9 @@ def sample(seed):
     return list(enumerate(texts, 100))
 
 
-@pytest.mark.parametrize("few", [M.FEW, 0])
 @pytest.mark.parametrize("percent", [80, 85])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_report_equals_brute_force(spark, monkeypatch, seed, percent, few):
-    monkeypatch.setattr(M, "FEW", few)
+def test_report_equals_brute_force(spark, seed, percent):
     rows = sample(seed)
     got = M.dedup_report(spark.createDataFrame(rows, SCHEMA), percent)
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
@@ -75,9 +73,7 @@ def test_a_large_group_and_a_long_text(spark):
     assert got == {i: 0 if i < 700 else 700 for i in range(702)}
 
 
-@pytest.mark.parametrize("few", [M.FEW, 0])
-def test_a_crowd_of_copies_at_the_threshold(spark, monkeypatch, few):
-    monkeypatch.setattr(M, "FEW", few)
+def test_a_crowd_of_copies_at_the_threshold(spark):
     r = random.Random(4)
     base, rows = [f"w{i}" for i in range(150)], []
     for i in range(150):
