@@ -26,9 +26,10 @@ _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def signatures(text: Column, chain: int = CHAIN) -> Column:
     """The sorted distinct chains, hashed; a text without any, but not empty, has itself as its only one."""
     words = F.concat(F.lit("  "), F.regexp_replace(ascii_lower(text), _OTHER, "  "), F.lit("  "))
-    # a piece holds the content words between two runs of anchors; short ones are filled from the next piece
-    behind = F.split(words, f"(?: (?:{'|'.join(sorted(set(ANCHORS)))}) )+")
-    pieces = lambda b: F.transform(F.slice(b, 2, F.greatest(F.size(b) - 1, F.lit(0))), lambda x: F.trim(x))
+    # a piece holds the content words between two runs of anchors; short ones are filled from the next piece. A repeated
+    # group would make the matcher recurse along a run of anchors, so that each one parts, and blank pieces go
+    behind = F.split(words, f" (?:{'|'.join(sorted(set(ANCHORS)))}) ")
+    pieces = lambda b: F.filter(F.transform(F.slice(b, 2, F.greatest(F.size(b) - 1, F.lit(0))), lambda x: F.trim(x)), lambda x: x != "")
     head = lambda x: F.regexp_replace(F.substring_index(x, "  ", chain), " +", " ")
     filled = lambda p: F.transform(p, lambda x, i: F.trim(head(F.concat_ws("  ", x, F.get(p, i + 1)))))
     hashed = lambda c: F.array_sort(F.array_distinct(F.transform(F.filter(c, lambda x: x.contains(" ")), lambda x: F.lower(F.hex(F.xxhash64(x))))))

@@ -41,3 +41,9 @@ def test_similar_pairs_against_brute_force(spark):
     sets = {p: set(p.split(",")) for p in prints}
     expected = {frozenset((a, b)) for a in prints for b in prints if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert expected and {frozenset((x.one, x.other)) for x in pairs.collect()} == expected
+
+
+def test_a_long_run_of_common_words(spark):
+    runs = ["the of and " * 30_000 + "red fox", "the red fox"]
+    sets = [spark.createDataFrame([(x,)], "text string").select(S.signatures(F.col("text")).alias("s")).first().s for x in runs]
+    assert sets[0] == sets[1] and len(sets[0]) == 1
