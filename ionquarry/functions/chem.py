@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,6 +19,10 @@ RESIDUES = {
     "D": 115.02694, "Q": 128.05858, "K": 128.09496, "E": 129.04259, "M": 131.04049, "H": 137.05891, "F": 147.06841, "R": 156.10111, "Y": 163.06333, "W": 186.07931,
 }
 WATER = 18.010565
+# Fixed value: natural abundance of 13C
+C13 = 0.0107
+# Lanczos coefficients of the gamma function (g = 7)
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
 
 
 def formula_mass(formula: Column) -> Column:
@@ -37,3 +42,22 @@ def residue_mass(text: Column) -> Column:
     """Mass of the residues among the letters, upper case, and one water."""
     count = lambda r: F.length(text) - F.length(F.replace(text, F.lit(r), F.lit("")))
     return reduce(Column.__add__, [count(r) * m for r, m in RESIDUES.items()]) + WATER
+
+
+def log_factorial(n: Column) -> Column:
+    """Natural logarithm of n!."""
+    parts = [F.lit(c) / (n + i) if i else F.lit(c) for i, c in enumerate(LANCZOS)]
+    t = n + 7.5
+    return F.lit(0.5 * math.log(2 * math.pi)) + (n + 0.5) * F.log(t) - t + F.log(reduce(Column.__add__, parts))
+
+
+def c13_distribution(carbons: Column, threshold: float = 0.0, abundance: float = C13) -> Column:
+    """Array of (k, abundance) for k heavy carbons from 0 to all, those of at least ``threshold`` times the largest one."""
+    n = carbons.cast("double")
+    term = lambda k: F.exp(log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * math.log(abundance) + (n - k) * math.log1p(-abundance))
+    rows = F.when(carbons >= 0, F.transform(F.sequence(F.lit(0), carbons.cast("int")), lambda k: F.struct(k.alias("k"), term(k).alias("abundance"))))
+    if not threshold:
+        return rows
+    most = lambda r: F.array_max(F.transform(r, lambda x: x["abundance"]))
+    cut = F.transform(F.array(F.struct(rows.alias("r"), most(rows).alias("most"))), lambda b: F.filter(b["r"], lambda x: x["abundance"] >= b["most"] * threshold))
+    return F.element_at(cut, 1)

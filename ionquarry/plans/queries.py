@@ -268,11 +268,28 @@ def formula_mass(compounds):
 
 @query("library", "SELECT compound_id, k, round(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)) * pow(0.0107, k) * pow(0.9893, n - k), 9) AS abundance FROM (SELECT compound_id, CAST(expected_rt AS INT) AS n FROM library), (SELECT CAST(unnest(range(3)) AS INT) AS k) WHERE k <= n")
 def c13_distribution(compounds):
-    """Binomial abundance of the first three heavy-carbon isotopes."""
-    n, k = F.col("n"), F.col("k")
-    choose = F.when(k == 0, F.lit(1.0)).when(k == 1, n.cast("double")).otherwise(n * (n - 1) / 2)
-    rows = compounds.select("compound_id", F.col("expected_rt").cast("int").alias("n"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k")).filter("k <= n")
-    return rows.select("compound_id", "k", _r(choose * F.pow(F.lit(0.0107), k) * F.pow(F.lit(0.9893), n - k), 9).alias("abundance"))
+    """Binomial abundance of the first three heavy-carbon isotopes, as its SQL has it; c13_all_distribution has all."""
+    return _c13_rows(compounds).filter("k < 3")
+
+
+_C13_SQL = "SELECT compound_id, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)) * pow(0.0107, k) * pow(0.9893, n - k) AS a FROM (SELECT compound_id, n, CAST(unnest(range(n + 1)) AS INT) AS k FROM (SELECT compound_id, CAST(expected_rt AS INT) AS n FROM library))"
+
+
+def _c13_rows(compounds: DataFrame, threshold: float = 0.0) -> DataFrame:
+    listed = compounds.select("compound_id", F.explode(chem.c13_distribution(F.col("expected_rt").cast("int"), threshold)).alias("c"))
+    return listed.select("compound_id", "c.k", _r("c.abundance", 9).alias("abundance"))
+
+
+@query("library", f"SELECT compound_id, k, round(a, 9) AS abundance FROM ({_C13_SQL})")
+def c13_all_distribution(compounds):
+    """Binomial abundance of every number of heavy carbons, from none to all."""
+    return _c13_rows(compounds)
+
+
+@query("library", f"SELECT compound_id, k, round(a, 9) AS abundance FROM (SELECT *, max(a) OVER (PARTITION BY compound_id) AS most FROM ({_C13_SQL})) WHERE a >= most * 1e-6")
+def c13_top_distribution(compounds):
+    """Those of at least 1e-6 of the largest abundance, the reference's default threshold."""
+    return _c13_rows(compounds, 1e-6)
 
 
 @query("spectra", "SELECT a.spectrum_id, round(list_dot_product(a.intensity, b.intensity) / sqrt(list_dot_product(a.intensity, a.intensity) * list_dot_product(b.intensity, b.intensity)), 6) AS cosine FROM spectra a JOIN spectra b ON b.spectrum_id = a.spectrum_id + 1")
