@@ -17,10 +17,9 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a language can be told; null texts and texts without a letter go."""
+    """Documents in one of the languages learnt from ``lang``; null texts, texts without a letter and other languages go."""
     model = language_id.train(docs.filter(~held_out(F.col("doc_id"))))
-    found = language_id.identify(docs, model)
-    return found.filter(F.col("lang_pred") != language_id.UNDECIDED).select(*docs.columns)
+    return language_id.in_learnt_language(docs, model)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

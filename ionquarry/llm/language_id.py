@@ -18,6 +18,9 @@ FEATURE_BITS, LENGTHS = 15, (1, 2, 3)
 #: Pseudo-count of every feature in every language.
 ALPHA = 0.1
 UNDECIDED = "und"
+#: Likeness under which a long text is in none of the learnt languages. On sf0.1 all 10,000 texts stay; with a language left out
+#: of the training, 98 (de), 82 (en), 99 (es) and 99 (fr) percent of its texts go, and one other text with en left out.
+LEAST_LIKENESS = 0.6
 
 
 def features(data: np.ndarray, at: np.ndarray, bits: int = FEATURE_BITS, lengths: tuple[int, ...] = LENGTHS) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +97,20 @@ class Model:
             p = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
         return best, p
 
+    def likeness(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text, how far it is like the likeliest language, and its number of n-grams.
+
+        That is the mean log-probability of its n-grams above that of equally likely ones, over what the language's own
+        n-grams have on average: about 1 for a text of a learnt language, lower or negative for one of another.
+        """
+        n, even = len(at) - 1, self.bits * np.log(2)
+        found, owner = features(data, at, self.bits, self.lengths)
+        count = np.bincount(owner, minlength=n)
+        gain = np.stack([np.bincount(owner, w[found] + even, n) for w in self.weights.T], 1) / np.maximum(count, 1)[:, None]
+        own = (np.exp(self.weights) * (self.weights + even)).sum(0)
+        best = gain.argmax(1)
+        return gain[np.arange(n), best] / np.maximum(own[best], 1e-9), count
+
 
 def train(labelled: DataFrame, bits: int = FEATURE_BITS, lengths: tuple[int, ...] = LENGTHS, alpha: float = ALPHA) -> Model:
     """A model of the rows of ``labelled`` (text, lang); rows with a null in either are left out.
@@ -139,6 +156,32 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     return out.withColumn(chosen_name(out, "any_letter"), has_letter(F.col(text_col))).mapInArrow(step, schema)
 
 
+def plain_words(text: Column) -> Column:
+    """The text's words with one space between them, without codes, numbers and addresses (ASCII runs with one of 0-9@=_)."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?<![!-~])[!-~]*[0-9@=_][!-~]*", " "), r"[^\p{L}\p{M}]+", " ")
+
+
+def in_learnt_language(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST_LIKENESS) -> DataFrame:
+    """``docs`` with a letter whose plain words have a likeness of ``least`` less 1 / sqrt(number of n-grams), or more.
+
+    The less there is to judge by, the further a text may be off, so that short ones stay. A model without a language has
+    nothing to reject by; then all texts with a letter stay.
+    """
+    some = docs.filter(has_letter(F.col(text_col)))
+    if not model.langs:
+        return some
+    words = chosen_name(docs, "plain_words")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, at in B.chunks(batch, words):
+                like, count = model.likeness(data, at)
+                kept = part.filter(pa.array(like >= least - 1 / np.sqrt(np.maximum(count, 1))))
+                yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=kept.schema.names[:-1])
+
+    return some.withColumn(words, plain_words(F.col(text_col))).mapInArrow(step, docs.schema)
+
+
 def predictions(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learnt from the rows that aren't held out and have a lang."""
     out = held_out(F.col("doc_id"))

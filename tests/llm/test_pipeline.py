@@ -30,3 +30,18 @@ def test_stages_on_planted_cases(spark, tmp_path):
     assert all(repeats[i].text == clean[i] for i in range(12))
     assert item not in kept["decontamination"][18].text and kept["decontamination"][3].text == clean[3]
     assert all(x.copies in (1, 2) for x in kept["mix_sources"].values())
+
+
+def test_language_stage_lets_the_classifier_decide(spark):
+    r = random.Random(5)
+    spoken = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(r.randrange(3, 8))) for _ in range(n))
+    one, other, unlearnt = "abcdefghij", "klmnopqrst", "абвгдежзик"
+    rows = [(i, spoken((one, other)[i % 2], 80), ("one", "other")[i % 2]) for i in range(40)]
+    short, noisy = [(40, "ab. cde", None), (41, "q", None)], [(42, "1234 a@b.cd " * 3 + spoken(one, 30) + " id=99x", None)]
+    foreign = [(50, spoken(unlearnt, 80), None), (51, spoken("uvwxyz", 80), None), (52, "12 34", None), (53, None, None)]
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame([*rows, *short, *noisy, *foreign], schema)
+    got = corpus_pipeline.by_language(spark, docs, "")
+    assert got.columns == docs.columns and {x.doc_id for x in got.collect()} == set(range(43))
+    unlabelled = spark.createDataFrame([(i, t, None) for i, t, _ in [*rows, *short, *noisy, *foreign]], schema)
+    assert {x.doc_id for x in corpus_pipeline.by_language(spark, unlabelled, "").collect()} == {*range(43), 50, 51}
