@@ -51,18 +51,31 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     return out.select("record_id", F.coalesce("status", F.lit("missing")).alias("status"), F.when(ok | (F.col("status") == "mismatch"), F.col("_source")).alias("source_id"), F.when(ok, F.col("_payload")).alias("payload"), F.when(ok, F.map_concat(kept, own)).alias("headers"))
 
 
+HOUR = 3600
+
+
 def records_of_pages(pages: DataFrame) -> DataFrame:
-    """Crawl records made of ``pages`` (page_id, url, html): each page's response, and three days later, if the id isn't a
-    multiple of 7, a revisit; of every fifth page under another etag. Ids: 2 * page_id, and one more for the revisit."""
-    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    row = lambda k, kind, at, etag, headers, payload: F.struct((F.col("page_id") * 2 + k).alias("record_id"), F.col("url").alias("url"), at.alias("at"), F.lit(kind).alias("kind"), etag.alias("etag"), F.lit(None).cast("string").alias("last_modified"), headers.alias("headers"), payload.alias("payload"))
-    etag = F.md5(F.coalesce("html", F.lit("")).cast("binary"))
-    first = F.timestamp_add("SECOND", F.col("page_id") % 1000, start)
-    later = F.timestamp_add("DAY", F.lit(3), first)
-    response = row(0, "response", first, etag, F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), etag), F.col("html"))
-    revisit = row(1, "revisit", later, F.when(F.col("page_id") % 5 == 0, F.lit("changed")).otherwise(etag), F.create_map(F.lit("Date"), F.lit("later"), F.lit("Content-Length"), F.lit("0")), F.lit(None).cast("string"))
-    both = F.when(F.col("page_id") % 7 == 0, F.array(response)).otherwise(F.array(response, revisit))
-    return pages.select("page_id", "url", "html").select(F.inline(both))
+    """Crawl records made of ``pages`` (page_id, url, html): of each page two responses and four revisits, on three days.
+
+    Counted from a time of the page's own, within 1000 seconds: a revisit 1 hour before anything was stored; the response
+    at 0; a revisit 6 hours later, within the day; the second response, whose content has changed, after 2 days, and a revisit 5
+    hours behind it with its validators; and after 3 days one that still names the first's. All have a last_modified, those
+    of every fifth page no etag, so that the date decides. Ids: 8 * page_id and the record's number.
+    """
+    start = F.lit("2024-01-01 02:00:00").cast("timestamp")
+    at = lambda hours: F.timestamp_add("SECOND", F.col("page_id") % 1000 + hours * HOUR, start)
+    none = F.lit(None).cast("string")
+    etags = [F.when(F.col("page_id") % 5 != 0, F.md5(F.concat(F.coalesce("html", F.lit("")), F.lit(x)).cast("binary"))) for x in ("", "changed")]
+    dates = [F.lit("Mon, 01 Jan 2024 00:00:00 GMT"), F.lit("Wed, 03 Jan 2024 00:00:00 GMT")]
+    texts = [F.col("html"), F.concat("html", F.lit("<!-- changed -->"))]
+
+    def row(k: int, kind: str, hours: int, version: int) -> Column:
+        full = kind == "response"
+        headers = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Last-Modified"), dates[version]) if full else F.create_map(F.lit("Date"), F.lit("later"), F.lit("Content-Length"), F.lit("0"))
+        return F.struct((F.col("page_id") * 8 + k).alias("record_id"), F.col("url").alias("url"), at(hours).alias("at"), F.lit(kind).alias("kind"), etags[version].alias("etag"), dates[version].alias("last_modified"), headers.alias("headers"), (texts[version] if full else none).alias("payload"))
+
+    made = [row(0, "revisit", -1, 0), row(1, "response", 0, 0), row(2, "revisit", 6, 0), row(3, "response", 48, 1), row(4, "revisit", 53, 1), row(5, "revisit", 72, 0)]
+    return pages.select("page_id", "url", "html").select(F.inline(F.array(*made)))
 
 
 def revisit_report(pages: DataFrame) -> DataFrame:

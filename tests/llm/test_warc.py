@@ -28,3 +28,32 @@ def test_resolution(spark):
 
 def test_empty_table(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_records_of_pages_are_interleaved(spark):
+    pages = spark.createDataFrame([(i, f"http://h{i}.com/", f"<p>{i}</p>") for i in (3, 5, 7)], "page_id long, url string, html string")
+    records = warc.records_of_pages(pages)
+    found = {x.record_id: x for x in warc.resolve_revisits(records).collect()}
+    for i in (3, 5, 7):
+        got = {k: (found[8 * i + k].status, found[8 * i + k].source_id, found[8 * i + k].payload) for k in (0, 2, 4, 5)}
+        assert got == {
+            0: ("missing", None, None),
+            2: ("resolved", 8 * i + 1, f"<p>{i}</p>"),
+            4: ("resolved", 8 * i + 3, f"<p>{i}</p><!-- changed -->"),
+            5: ("mismatch", 8 * i + 3, None),
+        }
+    rows = records.collect()
+    assert all(x.last_modified for x in rows) and {x.etag is None for x in rows} == {True, False}
+
+
+def test_pages_of_one_url_share_its_responses(spark):
+    pages = spark.createDataFrame([(i, "http://hot.com/", f"<p>{i}</p>") for i in range(60)], "page_id long, url string, html string")
+    records = warc.records_of_pages(pages)
+    rows, found = records.collect(), {x.record_id: x for x in warc.resolve_revisits(records).collect()}
+    for x in rows:
+        if x.kind == "revisit":
+            before = [y for y in rows if y.kind == "response" and y.at < x.at]
+            last = max(before, key=lambda y: (y.at, y.record_id), default=None)
+            same = last and (x.etag == last.etag if x.etag and last.etag else x.last_modified == last.last_modified)
+            assert found[x.record_id].status == ("missing" if not last else "resolved" if same else "mismatch")
+            assert found[x.record_id].source_id == (last.record_id if last else None)
