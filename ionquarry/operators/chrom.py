@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,11 +60,24 @@ def moving_average(trace: DataFrame, col: str, by: str, order: str, half: int =
 SAVGOL_5 = {-2: -3 / 35, -1: 12 / 35, 0: 17 / 35, 1: 12 / 35, 2: -3 / 35}
 
 
-def savgol_smooth(trace: DataFrame, col: str, by: str, order: str) -> DataFrame:
-    """Five-point second-order smoothing; two points at either edge are copied, negative results become 0."""
+def savgol_weights(left: int, right: int, order: int) -> dict[int, float]:
+    """Weight of each neighbour in the value at 0 of the least-squares polynomial of ``order`` through a window of them."""
+    if left < 0 or right < 0 or order < 0 or left + right < order:
+        raise ValueError(f"no polynomial of order {order} through {left} + 1 + {right} points")
+    if (left, right, order) == (2, 2, 2):
+        return SAVGOL_5
+    at = np.arange(-left, right + 1)
+    # scaled to at most 1, high powers of wide windows stay in range; the value at 0 is the same
+    fit = np.linalg.pinv(np.vander(at / max(left, right, 1), order + 1, increasing=True))[0]
+    return {int(k): float(w) for k, w in zip(at, fit, strict=True)}
+
+
+def savgol_smooth(trace: DataFrame, col: str, by: str, order: str, left: int = 2, right: int = 2, degree: int = 2) -> DataFrame:
+    """Least-squares smoothing by a polynomial of ``degree``; points without ``left`` and ``right`` neighbours are copied,
+    negative results become 0. The reference also copies the last point that has just ``right`` neighbours."""
     w = Window.partitionBy(by).orderBy(order)
-    inner = F.lag(col, 2).over(w).isNotNull() & F.lead(col, 2).over(w).isNotNull()
-    return trace.withColumn("smoothed", F.when(inner, F.greatest(weighted(col, w, SAVGOL_5), F.lit(0.0))).otherwise(F.col(col)))
+    inner = F.lag(col, left).over(w).isNotNull() & F.lead(col, right).over(w).isNotNull()
+    return trace.withColumn("smoothed", F.when(inner, F.greatest(weighted(col, w, savgol_weights(left, right, degree)), F.lit(0.0))).otherwise(F.col(col)))
 
 
 def baseline_cut(trace: DataFrame, col: str, by: str, drop_top: float = 60.0) -> DataFrame:
