@@ -183,7 +183,10 @@ def trace_correlation(points):
     trace = points.groupBy("channel", "scan_id").agg(F.sum("intensity").alias("i"))
     a, b = trace.alias("a"), trace.alias("b")
     pairs = a.join(b, (F.col("a.scan_id") == F.col("b.scan_id")) & (F.col("a.channel") < F.col("b.channel")))
-    return pairs.groupBy(F.col("a.channel").alias("one"), F.col("b.channel").alias("other")).agg(F.count(F.lit(1)).alias("scans"), _r(F.corr("a.i", "b.i")).alias("correlation"))
+    # as in the reference, identical traces have 1 and traces without variance 0; its SQL has no such cases
+    spread = F.stddev_pop("a.i") * F.stddev_pop("b.i")  # not corr, which divides by zero before a guard is asked
+    correlation = F.when(F.count_if(F.col("a.i") != F.col("b.i")) == 0, 1.0).when(spread == 0, 0.0).otherwise(F.covar_pop("a.i", "b.i") / spread)
+    return pairs.groupBy(F.col("a.channel").alias("one"), F.col("b.channel").alias("other")).agg(F.count(F.lit(1)).alias("scans"), _r(correlation).alias("correlation"))
 
 
 @query("signal", "SELECT mz, scan_id, min(sample_id) AS sample_id FROM signal GROUP BY 1, 2 HAVING count(DISTINCT sample_id) = 1")
@@ -223,8 +226,11 @@ def sec_densify(points):
 @query("signal", "SELECT channel, round((avg(intensity) FILTER (sample_id % 2 = 0) - avg(intensity) FILTER (sample_id % 2 = 1)) / sqrt(var_samp(intensity) FILTER (sample_id % 2 = 0) / count(*) FILTER (sample_id % 2 = 0) + var_samp(intensity) FILTER (sample_id % 2 = 1) / count(*) FILTER (sample_id % 2 = 1)), 6) AS t FROM signal GROUP BY 1")
 def welch_t(points):
     side = [F.when(F.col("sample_id") % 2 == k, F.col("intensity")) for k in (0, 1)]
-    spread = [F.var_samp(x) / F.count(x) for x in side]
-    return points.groupBy("channel").agg(_r((F.avg(side[0]) - F.avg(side[1])) / F.sqrt(spread[0] + spread[1])).alias("t"))
+    # as in the reference, no variance counts as 1; its SQL has no such cases
+    spread = [F.when(F.coalesce(F.var_samp(x), F.lit(0.0)) == 0, 1.0).otherwise(F.var_samp(x)) / F.count(x) for x in side]
+    empty = [F.count(x) == 0 for x in side]
+    t = F.when(empty[0] & empty[1], 0.0).when(empty[0] | empty[1], 1000.0).otherwise((F.avg(side[0]) - F.avg(side[1])) / F.sqrt(spread[0] + spread[1]))
+    return points.groupBy("channel").agg(_r(t).alias("t"))
 
 
 def library_ppm_join(spark: SparkSession, sf_dir: str) -> DataFrame:
