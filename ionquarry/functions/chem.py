@@ -9,7 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Monoisotopic masses of the elements (Da)
-ELEMENTS = {"C": 12.0, "H": 1.00782503207, "N": 14.0030740048, "O": 15.99491461956, "P": 30.97376163, "S": 31.972071}
+ELEMENTS = {
+    "H": 1.0078250321, "2H": 2.01410178, "D": 2.01410178, "C": 12.0, "Co": 58.93319352, "13C": 13.003354835336, "N": 14.0030740052, "15N": 15.000108898266,
+    "O": 15.994914619257, "18O": 17.999159612136, "S": 31.97207069, "34S": 33.96786701, "P": 30.97376151, "F": 18.9984032, "Na": 22.98976967, "Mg": 23.98504,
+    "Ca": 39.962591, "Cl": 34.96885271, "Br": 78.918336, "I": 126.904477, "K": 38.96399867, "Se": 79.916521, "As": 74.921596, "Si": 27.9769265325,
+    "Fe": 55.934939, "Li": 7.016003437,
+}
 ELECTRON = 0.00054857990946
 # Name, molecules, charge, added mass (Da)
 ADDUCTS = [("[M+H]+", 1, 1, 1.00727646688), ("[M+Na]+", 1, 1, 22.98922), ("[2M+H]+", 2, 1, 1.00727646688), ("[M+2H]2+", 1, 2, 2.01455293376), ("[M-H]-", 1, -1, -1.00727646688)]
@@ -18,7 +23,8 @@ RESIDUES = {
     "G": 57.02146, "A": 71.03711, "S": 87.03203, "P": 97.05276, "V": 99.06841, "T": 101.04768, "C": 103.00919, "L": 113.08406, "I": 113.08406, "N": 114.04293,
     "D": 115.02694, "Q": 128.05858, "K": 128.09496, "E": 129.04259, "M": 131.04049, "H": 137.05891, "F": 147.06841, "R": 156.10111, "Y": 163.06333, "W": 186.07931,
 }
-WATER = 18.010565
+# Fixed value: the water that a chain has besides its residues (Da)
+WATER = 18.0105
 # Fixed value: natural abundance of 13C
 C13 = 0.0107
 # Lanczos coefficients of the gamma function (g = 7)
@@ -26,11 +32,11 @@ LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.3234
 
 
 def formula_mass(formula: Column) -> Column:
-    """Neutral monoisotopic mass; elements outside the table count nothing."""
+    """Neutral monoisotopic mass of elements and counts; null where an element is not in the table."""
     parts = F.regexp_extract_all(formula, F.lit(r"([A-Z][a-z]?\d*)"), F.lit(1))
     table = F.create_map(*[F.lit(x) for pair in ELEMENTS.items() for x in pair])
     count = lambda p: F.coalesce(F.regexp_extract(p, r"(\d+)", 1).try_cast("double"), F.lit(1.0))
-    mass = lambda p: F.coalesce(F.element_at(table, F.regexp_extract(p, "([A-Za-z]+)", 1)), F.lit(0.0))
+    mass = lambda p: F.try_element_at(table, F.regexp_extract(p, "([A-Za-z]+)", 1))
     return F.aggregate(parts, F.lit(0.0), lambda a, p: a + count(p) * mass(p))
 
 

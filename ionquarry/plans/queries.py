@@ -17,12 +17,13 @@ _WITH = "WITH " + ", ".join(f"{name} AS ({sql})" for name, sql in views.SQL.item
 _TRACE = ", trace AS (SELECT sample_id, scan_id, sum(intensity) AS tic FROM signal GROUP BY ALL)"
 
 
-def query(view: str, sql: str, extra: str = ""):
-    """Registers a function of the view's DataFrame under its name, with its SQL over the views."""
+def query(view: str, sql: str | None = None, extra: str = ""):
+    """Registers a function of the view's DataFrame under its name, with its SQL over the views, if SQL can say it."""
 
     def wrap(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(getattr(views, view)(spark, sf_dir))
-        ORACLES[f.__name__] = _WITH + extra + " " + sql
+        if sql is not None:
+            ORACLES[f.__name__] = _WITH + extra + (sql if sql.startswith(",") else " " + sql)
         return f
 
     return wrap
@@ -265,7 +266,7 @@ def adduct_ions(compounds):
     return compounds.withColumn("a", F.explode(listed)).select("compound_id", "a.adduct", _r(chem.adduct_mz(F.col("precursor_mz"), F.col("a.nmol"), F.col("a.charge"), F.col("a.added"))).alias("mz"))
 
 
-@query("library", "SELECT compound_id, formula, round(CAST(c * 12.0 + (2 * c + 2) * 1.00782503207 + 15.99491461956 AS DOUBLE), 6) AS mass FROM (SELECT compound_id, CAST(expected_rt AS INT) AS c, 'C' || CAST(expected_rt AS INT) || 'H' || (2 * CAST(expected_rt AS INT) + 2) || 'O' AS formula FROM library)")
+@query("library", f"SELECT compound_id, formula, round(CAST(c * 12.0 + (2 * c + 2) * {chem.ELEMENTS['H']!r} + {chem.ELEMENTS['O']!r} AS DOUBLE), 6) AS mass FROM (SELECT compound_id, CAST(expected_rt AS INT) AS c, 'C' || CAST(expected_rt AS INT) || 'H' || (2 * CAST(expected_rt AS INT) + 2) || 'O' AS formula FROM library)")
 def formula_mass(compounds):
     c = F.col("expected_rt").cast("int")
     formula = F.concat(F.lit("C"), c.cast("string"), F.lit("H"), (2 * c + 2).cast("string"), F.lit("O"))
@@ -316,9 +317,9 @@ def spectrum_summary(rows):
 _RESIDUE_SUM = " + ".join(f"(length(residues) - length(replace(residues, '{r}', ''))) * {m!r}" for r, m in chem.RESIDUES.items())
 
 
-@query("sequences", f"SELECT sequence_id, round(CAST({_RESIDUE_SUM} + {chem.WATER!r} AS DOUBLE), 4) AS mass FROM sequences")
+@query("sequences", f"SELECT sequence_id, round(CAST({_RESIDUE_SUM} + {chem.WATER!r} AS DOUBLE), 5) AS mass FROM sequences")
 def protein_mass(rows):
-    return rows.select("sequence_id", _r(chem.residue_mass(F.col("residues")), 4).alias("mass"))
+    return rows.select("sequence_id", _r(chem.residue_mass(F.col("residues")), 5).alias("mass"))
 
 
 @query("library", "SELECT compound_id, CASE WHEN least(b1, a1) - greatest(a0, b0) <= 0 THEN 0 WHEN (a0 <= b0 AND a1 >= b1) OR (b0 <= a0 AND b1 >= a1) THEN 1 ELSE round((least(a1, b1) - greatest(a0, b0)) / (greatest(a1, b1) - least(a0, b0)), 6) END AS overlap FROM (SELECT compound_id, expected_rt AS a0, expected_rt + 10 AS a1, 20.0::DOUBLE AS b0, 35.0::DOUBLE AS b1 FROM library)")
