@@ -163,8 +163,8 @@ PARSERS = {"mzml": mzml, "mzxml": mzxml, "mzdata": mzdata}
 
 
 def kind_of(path: str) -> str:
-    """The format that a path names; mzXML where it names none."""
-    return next((k for k in ("mzdata", "mzxml", "mzml") if k in path.lower()), "mzxml")
+    """The format that the file's name holds; mzXML where it holds none."""
+    return next((k for k in ("mzdata", "mzxml", "mzml") if k in path.rpartition("/")[2].lower()), "mzxml")
 
 
 def read_scans(spark: SparkSession, path: str, mslevel: int | None = None) -> DataFrame:
