@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Of small columns.
+ROWS_A_FILE = 200_000
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -15,18 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all machines see; a folder under the warehouse where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cuts"
+    """The folder of spark.checkpoint.dir, which all machines see."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read again.
 
     It ends the lineage: what follows survives the loss of executors without computing ``df`` again, and reads only the
-    columns it needs. The folder is left to the cluster's clean-up of its checkpoint directory.
+    columns it needs. ``rows``: as many rows at most are known to come; few of them go to few files. The folder is left
+    to the cluster's clean-up of its checkpoint directory.
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_A_FILE)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -39,6 +46,12 @@ def text_id(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def text_halves(text: Column) -> tuple[Column, Column]:
+    """The digest of ``text_id`` as two longs, which can be keys of a hash aggregation."""
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return tuple(F.conv(F.substring(digest, at, 16), 16, -10).cast("long") for at in (1, 17))
+
+
 def unique_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(tid, text, copies): one row for each distinct text.
 

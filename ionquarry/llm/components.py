@@ -18,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     type; loops, repeated edges and nulls are left out, and only nodes with an edge to another are returned.
     """
     edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    rows, before = edges.count(), None
     for _ in range(MOST_ROUNDS):
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -26,10 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.union(least.filter("u <> m")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.union(least).distinct())
+        # no edge of a round comes of more than one edge of the one before, nor a node's own of none
+        edges = cut(small.union(least).distinct(), 3 * rows)
         # done when every node hangs on one root and no root hangs on another
         now = edges.agg(F.count(F.lit(1)), F.count_distinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        before = now
+        rows, before = now[0], now
     raise RuntimeError(f"no components after {MOST_ROUNDS} rounds")

@@ -6,17 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ionquarry.llm import bytesops as B
-from ionquarry.llm.common import chosen_name, cut, text_id, unique_texts
+from ionquarry.llm.common import chosen_name, cut, text_halves
 from ionquarry.llm.components import components
 
 #: Words in a shingle; bands and rows of the signature. At a similarity of 0.8, all bands miss once in 300,000 pairs.
-SHINGLE, BANDS, ROWS = 5, 24, 4
-_SHIFT = np.uint64(0x9E3779B97F4A7C15)
+SHINGLE, BANDS, ROWS = 5, 32, 5
+_SHIFT = np.uint32(0x9E3779B9)
 
 
 def shingles(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,28 +38,32 @@ def shingles(data: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 def signatures(grams: np.ndarray, firsts: np.ndarray, size: int) -> np.ndarray:
     """Circulant MinHash: texts by ``size``; a text without shingles has the largest value everywhere.
 
-    The shingle hash is the first permutation's output. The second permutation, a bijection of the 64-bit integers, is
-    applied after k equal circular shifts for coordinate k.
+    The upper half of the shingle hash is the first permutation's output. The second permutation, a bijection of the
+    32-bit integers, is applied after k equal circular shifts for coordinate k.
     """
-    out = np.full((len(firsts) - 1, size), np.iinfo(np.uint64).max, np.uint64)
+    out = np.full((len(firsts) - 1, size), np.iinfo(np.uint32).max, np.uint32)
     some = np.flatnonzero(np.diff(firsts))
     if not len(some):
         return out
     at = firsts[:-1][some]
-    moved, held = grams.copy(), np.empty_like(grams)
+    moved = (grams >> np.uint64(32)).astype(np.uint32)
+    held, high = np.empty_like(moved), np.empty_like(moved)
     for k in range(size):
         moved += _SHIFT
-        np.right_shift(moved, np.uint64(33), out=held)
+        np.right_shift(moved, np.uint32(16), out=held)
         held ^= moved
-        held *= np.uint64(0xFF51AFD7ED558CCD)
-        held ^= held >> np.uint64(29)
-        held *= np.uint64(0xC4CEB9FE1A85EC53)
+        held *= np.uint32(0x85EBCA6B)
+        np.right_shift(held, np.uint32(13), out=high)
+        held ^= high
+        held *= np.uint32(0xC2B2AE35)
+        np.right_shift(held, np.uint32(16), out=high)
+        held ^= high
         out[some, k] = np.minimum.reduceat(held, at)
     return out
 
 
-_FEATURES = T.StructType([T.StructField("tid", T.BinaryType()), T.StructField("n_shingles", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-_SETS = T.StructType([T.StructField("tid", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
+_FEATURES = "t1 long, t2 long, n_shingles long, bands array<long>"
+_SETS = "node long, shingles array<long>"
 
 
 def _features(n: int, bands: int, rows: int):
@@ -68,13 +71,13 @@ def _features(n: int, bands: int, rows: int):
         for batch in batches:
             for part, data, at in B.chunks(batch, "text"):
                 grams, firsts = shingles(data, at, n)
-                signed = signatures(grams, firsts, bands * rows).reshape(-1, bands, rows)
+                signed = signatures(grams, firsts, bands * rows).reshape(-1, bands, rows).astype(np.uint64)
                 keys = np.zeros(signed.shape[:2], np.uint64) + np.arange(bands, dtype=np.uint64)
                 for r in range(rows):
                     keys = B.mix(keys * np.uint64(31) + signed[:, :, r])
                 sizes = [len(np.unique(grams[a:b])) for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
                 listed = [k if s else None for k, s in zip(keys.view(np.int64), sizes, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("tid"), pa.array(sizes, pa.int64()), pa.array(listed, pa.list_(pa.int64()))], names=_FEATURES.names)
+                yield pa.RecordBatch.from_arrays([part.column("t1"), part.column("t2"), pa.array(sizes, pa.int64()), pa.array(listed, pa.list_(pa.int64()))], names=["t1", "t2", "n_shingles", "bands"])
 
     return step
 
@@ -84,99 +87,133 @@ def _sets(n: int):
         for batch in batches:
             for part, data, at in B.chunks(batch, "text"):
                 grams, firsts = shingles(data, at, n)
-                sets = [np.unique(grams[a:b]).tobytes() for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("tid"), pa.array(sets, pa.binary())], names=_SETS.names)
+                sets = [np.unique(grams[a:b]).view(np.int64) for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return step
 
 
-def _common(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pairs:
-        one, other = batch.column("one"), batch.column("other")
-        both = [len(np.intersect1d(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), assume_unique=True)) for a, b in zip(one, other, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(both, pa.int64())], names=["u", "v", "both"])
+def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    """(t1, t2, text): the two halves of each text's digest; null counts as empty."""
+    t1, t2 = text_halves(F.col(text_col))
+    return docs.select(t1.alias("t1"), t2.alias("t2"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (u, v: text ids) with both, the number of common shingles."""
-    one = sets.select(F.col("tid").alias("u"), F.col("shingles").alias("one"))
-    other = sets.select(F.col("tid").alias("v"), F.col("shingles").alias("other"))
-    return pairs.join(one, "u").join(other, "v").select("u", "v", "one", "other").mapInArrow(_common, "u binary, v binary, both long")
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those ``pairs`` (u, v: nodes) whose whole sets link: 100 * intersection >= percent * union."""
+    one, other = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "uv")
+    both = F.size(F.array_intersect("of_u", "of_v"))
+    counted = pairs.join(other, "v").join(one, "u").select("u", "v", both.cast("long").alias("both"), (F.size("of_u") + F.size("of_v")).alias("sizes"))
+    return counted.filter(100 * F.col("both") >= percent * (F.col("sizes") - F.col("both"))).select("u", "v")
+
+
+def ranked_shingles(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, n, shingle, place) of the shingles that several ``crowd`` nodes hold: n is the set's size, place the shingle's in order.
+
+    The order goes by the number of crowd texts that hold a shingle, the rarest first, so those of no other text come before
+    all that are listed here.
+    """
+    held = crowd.select("node").join(sets, "node").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    many = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    by_node = Window.partitionBy("node")
+    place = F.row_number().over(by_node.orderBy("texts", "shingle")) - 1 + F.col("n") - F.count(F.lit(1)).over(by_node)
+    return held.join(many, "shingle").select("node", "n", "shingle", place.alias("place"))
+
+
+def prefix_pairs(ranked: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of the ``ranked`` nodes with unlike roots that can link: an exact prefix join of their sets.
+
+    Of two sets that link, each has a common shingle among its first ones, as many as it may lack; and after the first
+    common one, enough must be left on both sides. So a text of which more is its own than a link allows has no pair at
+    all, however crowded its bucket.
+    """
+    first = ranked.filter(100 * (F.col("n") - F.col("place")) >= percent * F.col("n")).join(roots, "node")
+    x, y = first.alias("x"), first.alias("y")
+    rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    may = (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+    may &= (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ((100 + percent) * rest >= percent * (F.col("x.n") + F.col("y.n")))
+    return x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & may).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
+
+
+def _pivots(rooted: DataFrame, order: Column) -> DataFrame:
+    """Pairs (u, v): of each band's bucket the first node in ``order``, and every other one of unlike root."""
+    first = rooted.groupBy("band").agg(F.min(order).alias("p")).select("band", F.col("p.node").alias("u"), F.col("p.root").alias("u_root"))
+    return rooted.join(first, "band").filter("root <> u_root").select("u", F.col("node").alias("v")).distinct()
 
 
 def links(docs: DataFrame, percent: int = 80, n: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(features, edges) of the distinct texts: tid, n_shingles, bands; and (u, v), text ids whose sets link.
+    """(nodes, edges): the distinct texts, node, t1, t2, n_shingles; and (u, v), nodes whose sets link.
 
     Sets link if 100 * intersection >= percent * union, counted on the full sets. Candidates share a band. In each band's
-    bucket, all are first compared with the bucket's smallest text; what these links leave in several components is
-    compared further, pair by pair, but for pairs that the lengths, or the distances to a common text, already rule out
-    (Jaccard distance is a metric). Links between texts of one component are not all looked for; components lose none
-    of the candidates.
+    bucket, all are first compared with the bucket's smallest node. Texts of buckets that these links leave in several
+    components are the crowd. There, all are compared with the bucket's most usual text, that with the fewest shingles of
+    its own, and between the components left, ``prefix_pairs`` finds all pairs that can still link. Links between texts of
+    one component are not all looked for, and a found component comes back as links to its smallest node; components lose
+    none of the candidates. Null and empty texts have no shingles and no links; equal texts are one node; an empty table
+    has neither nodes nor edges.
     """
-    own = docs.select(text_id(F.col(text_col)).alias("tid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    keyed = _keyed(docs, text_col)
     # equal texts meet as small rows, one for each task, before anything else
-    features = cut(own.mapInArrow(_features(n, bands, rows), _FEATURES).groupBy("tid").agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
-    entries = features.filter("bands IS NOT NULL").select("tid", "n_shingles", F.explode("bands").alias("band"))
-    least = entries.groupBy("band").agg(F.min("tid").alias("first"), F.count(F.lit(1)).alias("held")).filter("held > 1")
-    entries = cut(entries.join(least.select("band", "first"), "band"))
-    wanted = entries.select("tid").distinct()
-    sets = cut(unique_texts(docs, text_col).join(wanted, "tid", "left_semi").select("tid", "text").mapInArrow(_sets(n), _SETS))
-    size = features.select("tid", "n_shingles")
-
-    def linked(found: DataFrame) -> DataFrame:
-        """Adds link, whether the pair's sets link, and far, 1 - similarity."""
-        found = found.join(size.select(F.col("tid").alias("u"), F.col("n_shingles").alias("a")), "u").join(size.select(F.col("tid").alias("v"), F.col("n_shingles").alias("b")), "v")
-        union = F.col("a") + F.col("b") - F.col("both")
-        return found.select("u", "v", (100 * F.col("both") >= percent * union).alias("link"), (1 - F.col("both") / union).alias("far"))
-
-    near = entries.filter("tid <> first").select(F.col("first").alias("u"), F.col("tid").alias("v")).distinct()
-    near = cut(linked(verify(near, sets)))
-    first_edges = near.filter("link").select("u", "v")
-    roots = cut(components(first_edges))
-    # members of buckets that still hold several components, with the distance to the bucket's smallest text
-    member = entries.join(near.select(F.col("u").alias("first"), F.col("v").alias("tid"), "far"), ["first", "tid"], "left")
-    member = member.join(roots, member["tid"] == roots["node"], "left").select("band", "tid", "n_shingles", "first", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("root", "tid").alias("root"))
-    open_ = member.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("held")).filter("r0 <> r1 AND held > 2")
-    member = cut(member.join(open_.select("band"), "band").filter("tid <> first"))
-    most = 1 - percent / 100 + 1e-9
-    x, y = member.alias("x"), member.alias("y")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.tid") < F.col("y.tid")) & (F.col("x.root") != F.col("y.root")) & (F.abs(F.col("x.far") - F.col("y.far")) <= most) & (100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles")))
-    rest = rest.select(F.col("x.tid").alias("u"), F.col("y.tid").alias("v")).distinct()
-    more = linked(verify(rest, sets)).filter("link").select("u", "v")
-    return features, cut(first_edges.union(more))
+    once = keyed.mapInArrow(_features(n, bands, rows), _FEATURES).groupBy("t1", "t2").agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    features = cut(once.withColumn("node", F.monotonically_increasing_id()))
+    nodes = features.select("node", "t1", "t2", "n_shingles")
+    entries = features.filter("bands IS NOT NULL").select("node", F.explode("bands").alias("band"))
+    least = entries.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("band", "first")
+    members = cut(entries.join(least, "band").filter("node <> first"))
+    star = members.select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
+    wanted = members.select("node").union(members.select("first")).distinct().join(nodes, "node").select("node", "t1", "t2")
+    texts = keyed.groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    sets = cut(texts.join(wanted, ["t1", "t2"]).select("node", "text").mapInArrow(_sets(n), _SETS))
+    roots = components(linked(star, sets, percent))
+    rooted = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    open_ = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band")
+    crowd = cut(rooted.join(open_, "band", "left_semi"))
+    ranked = cut(ranked_shingles(crowd.select("node").distinct(), sets))
+    own = ranked.groupBy("node").agg((F.max("place") + 1 - F.count(F.lit(1))).alias("own"))
+    usual = crowd.join(own, "node")
+    pivots = _pivots(usual, F.struct("own", "node", "root"))
+    edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    roots = components(edges.union(linked(pivots, sets, percent)))
+    edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    apart = crowd.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return nodes, edges.union(linked(prefix_pairs(ranked, apart, percent), sets, percent))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """Each row's id, tid, n_shingles, root (the class, as a text id) and component_id: the smallest id of the texts that links reach, itself included.
+    """Each row's id, t1, t2, n_shingles, root (the class, as a node) and component_id: the smallest id of the texts that links reach, itself included.
 
     Null and empty texts, and texts without words, have no shingles and link with nothing, not even with one another: each
     such row is a class of its own, by its id. Rows with equal texts are one class. A null id stays null and counts as
     larger than any other. Options: as of ``links``. An empty table gives an empty one.
     """
-    features, edges = links(docs, **options)
-    text_col = options.get("text_col", "text")
-    ids = docs.select(F.col(id_col).alias("id"), text_id(F.col(text_col)).alias("tid"))
-    roots = cut(components(edges))
-    root_of = features.select("tid", "n_shingles").join(roots, F.col("tid") == F.col("node"), "left").select("tid", "n_shingles", F.coalesce("root", "tid").alias("root"))
-    rows = ids.join(root_of, "tid")
+    nodes, edges = links(docs, **options)
+    t1, t2 = text_halves(F.col(options.get("text_col", "text")))
+    ids = docs.select(F.col(id_col).alias("id"), t1.alias("t1"), t2.alias("t2"))
+    roots = nodes.join(components(edges), "node", "left").select("t1", "t2", "n_shingles", F.coalesce("root", "node").alias("root"))
+    rows = ids.join(roots, ["t1", "t2"])
     least = rows.filter("n_shingles > 0").groupBy("root").agg(F.min("id").alias("least"))
     rows = rows.join(least, "root", "left")
-    return rows.select("id", "tid", "n_shingles", "root", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    return rows.select("id", "t1", "t2", "n_shingles", "root", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one row of each class: the smallest id, of several texts with it the smallest text id.
+    """``docs`` with one row of each class: the smallest id, of several texts with it the smallest digest, of equal rows any.
 
-    Rows without a shingle are all kept; a null id counts as the largest. Options: as of ``links``.
+    Rows without a shingle (null, empty, no words) are all kept; a null id counts as the largest. Other columns pass
+    through, whatever their names. An empty table gives an empty one. Options: as of ``links``.
     """
-    key, id_key, kept_key, kept_id = (chosen_name(docs, x) for x in ("text_key", "id_key", "kept_key", "kept_id"))
+    one, two, kept_one, kept_two, kept_id = (chosen_name(docs, x) for x in ("key_one", "key_two", "kept_one", "kept_two", "kept_id"))
+    text = F.col(options.get("text_col", "text"))
     found = classes(docs, id_col, **options).filter("n_shingles > 0")
-    order = F.struct(F.col("id").isNull().alias("last"), "id", "tid")
-    winner = found.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.tid").alias(kept_key), F.col("best.id").alias(kept_id))
-    keyed = docs.withColumns({key: text_id(F.col(options.get("text_col", "text"))), id_key: F.col(id_col)})
-    linked = keyed.join(winner, (F.col(key) == F.col(kept_key)) & F.col(id_key).eqNullSafe(F.col(kept_id)), "left_semi")
-    wordless = ~F.coalesce(docs[options.get("text_col", "text")], F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return linked.dropDuplicates([key]).unionByName(keyed.filter(wordless)).drop(key, id_key)
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "t1", "t2")
+    winner = found.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.t1").alias(kept_one), F.col("best.t2").alias(kept_two), F.col("best.id").alias(kept_id))
+    t1, t2 = text_halves(text)
+    keyed = docs.withColumns({one: t1, two: t2})
+    # the id stands outside the join's keys, so that the rows are dealt out once, by text, also for what follows
+    same_id = F.array_contains(F.array(F.struct(F.col(kept_id).alias("id"))), F.struct(F.col(id_col).alias("id")))
+    kept = keyed.join(winner, (F.col(one) == F.col(kept_one)) & (F.col(two) == F.col(kept_two)) & same_id, "left_semi")
+    wordless = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return kept.dropDuplicates([one, two]).drop(one, two).unionByName(docs.filter(wordless))
 
 
 def dedup_report(docs: DataFrame, percent: int = 85) -> DataFrame:
