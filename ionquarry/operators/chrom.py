@@ -21,14 +21,44 @@ def base_peak_trace(points: DataFrame) -> DataFrame:
     return points.groupBy("sample_id", "scan_id").agg(best.alias("b")).select("sample_id", "scan_id", F.col("b.intensity").alias("base_intensity"), (-F.col("b.neg")).alias("base_mz"))
 
 
-def extracted_ions(points: DataFrame, windows: list[tuple[int, float, float]]) -> DataFrame:
-    """For each m/z window and scan of a sample, the largest intensity in the window, or 0, and its m/z."""
-    # a handful of windows: each point is tested in its own task, and one shuffle gathers the scans
-    listed = F.array(*[F.struct(F.lit(k).alias("window_id"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for k, lo, hi in windows])
-    inside = F.col("mz").between(F.col("w.lo"), F.col("w.hi"))
-    best = F.max(F.when(inside, F.struct("intensity", (-F.col("mz")).alias("neg"))))
-    found = points.withColumn("w", F.explode(listed)).groupBy("sample_id", "scan_id", F.col("w.window_id").alias("window_id")).agg(best.alias("b"))
-    return found.select("sample_id", "scan_id", "window_id", F.coalesce("b.intensity", F.lit(0.0)).alias("intensity"), (-F.col("b.neg")).alias("mz"))
+def extracted_ions(points: DataFrame, windows: DataFrame, mslevel: int | None = None, rt: tuple[float, float] | None = None, scale: dict | None = None, bin_width: float = 1.0) -> DataFrame:
+    """For each window and scan of a sample, the largest intensity in the window, or 0, and its m/z (the smaller of equal ones).
+
+    ``windows``: window_id, mzmin, mzmax. Scans of another ``mslevel``, or outside ``rt``, are left out, and so are full scans
+    (mslevel 1) whose own range of m/z misses the window, when the points have these columns. ``scale``: sample_id to a factor
+    on intensities. Scans without points have no row; an empty table gives an empty one.
+
+    Windows are put into all bins of m/z that they reach and points into their own: an equi-join, of which only matches are
+    aggregated; the scans are then filled in from their distinct ids.
+    """
+    if mslevel is not None:
+        points = points.filter(F.col("mslevel") == mslevel)
+    if rt is not None:
+        points = points.filter(F.col("rt").between(*rt))
+    listed = windows.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("mzmin") / bin_width), F.floor(F.col("mzmax") / bin_width))))
+    found = points.select("sample_id", "scan_id", "mz", "intensity", F.floor(F.col("mz") / bin_width).alias("_bin")).join(listed, "_bin").filter("mz BETWEEN mzmin AND mzmax")
+    best = found.groupBy("sample_id", "scan_id", "window_id").agg(F.max(F.struct("intensity", (-F.col("mz")).alias("neg"))).alias("b"))
+    scans = points.groupBy("sample_id", "scan_id").agg(F.min("mz").alias("_lo"), F.max("mz").alias("_hi"))
+    ranges = F.array(*[F.struct(F.lit(w["window_id"]).alias("window_id"), F.lit(float(w["mzmin"])).alias("a"), F.lit(float(w["mzmax"])).alias("b")) for w in small_rows(windows)])
+    grid = scans.withColumn("_w", F.explode(ranges))
+    if mslevel == 1:
+        grid = grid.filter("_hi >= _w.a AND _lo <= _w.b")
+    dense = grid.select("sample_id", "scan_id", F.col("_w.window_id").alias("window_id")).join(best, ["sample_id", "scan_id", "window_id"], "left")
+    factor = F.lit(1.0) if not scale else F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in scale.items() for x in pair]), F.col("sample_id")), F.lit(1.0))
+    return dense.select("sample_id", "scan_id", "window_id", (F.coalesce("b.intensity", F.lit(0.0)) * factor).alias("intensity"), (-F.col("b.neg")).alias("mz"))
+
+
+def extracted_top(points: DataFrame, by: list[str]) -> DataFrame:
+    """The most intense row of each group, of equal ones the earliest."""
+    return points.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("intensity"), "rt"))).filter("_r = 1").drop("_r")
+
+
+def small_rows(table: DataFrame, most: int = 10_000) -> list:
+    """The rows of a table of parameters; more than ``most`` raise."""
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of parameters has at most {most} rows")
+    return rows
 
 
 def gaussian_weights(window: int) -> list[float]:
@@ -80,6 +110,26 @@ def savgol_smooth(trace: DataFrame, col: str, by: str, order: str, left: int = 2
     return trace.withColumn("smoothed", F.when(inner, F.greatest(weighted(col, w, savgol_weights(left, right, degree)), F.lit(0.0))).otherwise(F.col(col)))
 
 
+def middle(values: DataFrame, by: list[str], col: str, name: str) -> DataFrame:
+    """(by, name): the exact median of a column, by ranks; a group's values are sorted, with spills, and never held at once."""
+    w = Window.partitionBy(*by)
+    ranked = values.filter(F.col(col).isNotNull()).select(*by, col, F.row_number().over(w.orderBy(col)).alias("_r"), F.count(F.lit(1)).over(w).alias("_n"))
+    return ranked.filter("_r = floor((_n + 1) / 2) OR _r = floor(_n / 2) + 1").groupBy(*by).agg(F.avg(col).alias(name))
+
+
+def quantile_points(points: DataFrame, by: list[str], col: str) -> DataFrame:
+    """(by, q, col): the 101 nearest-rank points, place q / 100 * n, the last one at most.
+
+    Equal values are counted first; each distinct value answers the range of percentiles that falls on it.
+    """
+    counts = points.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*by)
+    held = counts.withColumns({"_hi": F.sum("_c").over(w.orderBy(col).rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(w)})
+    up = lambda rank: F.floor((100 * rank + F.col("_n") - 1) / F.col("_n"))
+    first, last = up(F.col("_hi") - F.col("_c")), F.when(F.col("_hi") == F.col("_n"), F.lit(100).cast("long")).otherwise(up(F.col("_hi")) - 1)
+    return held.withColumns({"_a": first, "_b": last}).filter("_a <= _b").select(*by, F.explode(F.sequence("_a", "_b")).alias("q"), col)
+
+
 def baseline_cut(trace: DataFrame, col: str, by: str, drop_top: float = 60.0) -> DataFrame:
     """``trace`` with cut, the intensity below which (100 - drop_top) of 101 parts lie, and the trace clipped to it."""
     ranked = trace.withColumns({"_rank": F.row_number().over(Window.partitionBy(by).orderBy(col)) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy(by))})

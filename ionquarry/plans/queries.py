@@ -41,7 +41,8 @@ _WINDOW_ROWS = ", ".join(f"({k}, {lo}, {hi})" for k, lo, hi in WINDOWS)
   FROM (SELECT DISTINCT sample_id, scan_id FROM signal) s CROSS JOIN (VALUES {_WINDOW_ROWS}) w(k, lo, hi)
   LEFT JOIN signal p ON p.sample_id = s.sample_id AND p.scan_id = s.scan_id AND p.mz BETWEEN w.lo AND w.hi GROUP BY 1, 2, 3""")
 def eic_extract(points):
-    return chrom.extracted_ions(points, WINDOWS)
+    windows = points.sparkSession.createDataFrame(WINDOWS, "window_id int, mzmin double, mzmax double")
+    return chrom.extracted_ions(points, windows)
 
 
 @query("signal", "SELECT sample_id, scan_id, round(sum(intensity), 6) AS tic FROM signal GROUP BY 1, 2")
@@ -56,7 +57,7 @@ def base_peak_trace(points):
 
 @query("signal", "SELECT sample_id, min(mz) AS min_mz, max(mz) AS max_mz, round(min(rt), 6) AS min_rt, round(max(rt), 6) AS max_rt, min(intensity) AS min_intensity, max(intensity) AS max_intensity, round(sum(intensity), 6) AS total FROM signal GROUP BY 1")
 def sample_ranges(points):
-    return points.groupBy("sample_id").agg(F.min("mz").alias("min_mz"), F.max("mz").alias("max_mz"), _r(F.min("rt")).alias("min_rt"), _r(F.max("rt")).alias("max_rt"), F.min("intensity").alias("min_intensity"), F.max("intensity").alias("max_intensity"), _r(F.sum("intensity")).alias("total"))
+    return points.groupBy("sample_id").agg(*[f(F.when((F.col("mz") > 0) & (F.col("mz") < 1e9), F.col("mz"))).alias(n) for f, n in ((F.min, "min_mz"), (F.max, "max_mz"))], _r(F.min("rt")).alias("min_rt"), _r(F.max("rt")).alias("max_rt"), F.min("intensity").alias("min_intensity"), F.max("intensity").alias("max_intensity"), _r(F.sum("intensity")).alias("total"))
 
 
 @query("signal", "SELECT sample_id, round(avg(gap), 6) AS mean_gap FROM (SELECT sample_id, scan_id - lag(scan_id) OVER (PARTITION BY sample_id ORDER BY scan_id) AS gap FROM (SELECT DISTINCT sample_id, scan_id FROM signal)) GROUP BY 1")
@@ -127,11 +128,7 @@ def snap_to_grid(points):
 
 @query("signal", "SELECT sample_id, q, v[1 + least(CAST(floor(q * n / 100) AS INT), n - 1)] AS intensity FROM (SELECT sample_id, list_sort(list(intensity)) AS v, CAST(count(*) AS INT) AS n FROM signal GROUP BY 1), (SELECT unnest(range(101)) AS q)")
 def quantile_table(points):
-    w = Window.partitionBy("sample_id")
-    ranked = points.select("sample_id", "intensity", (F.row_number().over(w.orderBy("intensity")) - 1).alias("rank"), F.count(F.lit(1)).over(w).alias("n"))
-    # a point answers the percentiles whose nearest rank is its own
-    q = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(100).cast("long")), lambda q: F.least(F.floor(q * F.col("n") / 100), F.col("n") - 1) == F.col("rank")))
-    return ranked.select("sample_id", q.alias("q"), "intensity")
+    return chrom.quantile_points(points, ["sample_id"], "intensity")
 
 
 @query("signal", "SELECT sample_id, scan_id, point_id, intensity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, scan_id ORDER BY intensity DESC, point_id) AS rank FROM signal) WHERE rank <= 3")
@@ -143,8 +140,12 @@ def top_n_per_scan(points):
 @query("signal", """SELECT channel, mz, count(*) AS peaks, count(DISTINCT sample_id) AS samples, max(intensity) AS max_intensity, round(avg(rt), 6) AS mean_rt, round(min(rt), 6) AS min_rt, round(max(rt), 6) AS max_rt,
   round(sum(intensity * rt) / sum(intensity), 6) AS weighted_rt, round(median(rt), 6) AS median_rt, count(*) FILTER (intensity > 50) AS good FROM signal WHERE intensity > 0 GROUP BY 1, 2""")
 def group_statistics(points):
-    weighted = F.sum(F.col("intensity") * F.col("rt")) / F.sum("intensity")
-    return points.filter("intensity > 0").groupBy("channel", "mz").agg(F.count(F.lit(1)).alias("peaks"), F.count_distinct("sample_id").alias("samples"), F.max("intensity").alias("max_intensity"), _r(F.avg("rt")).alias("mean_rt"), _r(F.min("rt")).alias("min_rt"), _r(F.max("rt")).alias("max_rt"), _r(weighted).alias("weighted_rt"), _r(F.median("rt")).alias("median_rt"), F.count_if(F.col("intensity") > 50).alias("good"))
+    held, by = points.filter("intensity > 0"), ["channel", "mz"]
+    # one row for each sample first, so that distinct samples are counted rows
+    per = held.groupBy(*by, "sample_id").agg(F.count(F.lit(1)).alias("n"), F.max("intensity").alias("top"), F.sum("rt").alias("rts"), F.min("rt").alias("r0"), F.max("rt").alias("r1"), F.sum(F.col("intensity") * F.col("rt")).alias("w"), F.sum("intensity").alias("i"), F.count_if(F.col("intensity") > 50).alias("good"))
+    mean, weighted = F.sum("rts") / F.sum("n"), F.sum("w") / F.sum("i")
+    out = per.groupBy(*by).agg(F.sum("n").alias("peaks"), F.count(F.lit(1)).alias("samples"), F.max("top").alias("max_intensity"), _r(mean).alias("mean_rt"), _r(F.min("r0")).alias("min_rt"), _r(F.max("r1")).alias("max_rt"), _r(weighted).alias("weighted_rt"), F.sum("good").alias("good"))
+    return out.join(chrom.middle(held, by, "rt", "m").select(*by, _r("m").alias("median_rt")), by)
 
 
 @query("signal", "SELECT channel, mz, sample_id, max(intensity) AS intensity, arg_max(point_id, (intensity, -point_id)) AS point_id FROM signal GROUP BY 1, 2, 3")

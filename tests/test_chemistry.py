@@ -2,7 +2,7 @@ import math
 
 import pytest
 
-from ionquarry.functions import chem, isotopes, lipids, peptides
+from ionquarry.functions import chem, isotopes, lipids, peptides, smiles
 
 
 def test_formulas():
@@ -139,3 +139,19 @@ def test_density_adds_up():
     steps = 20_000
     total = sum(peptides.probability_density(2 + 6 * (k + 0.5) / steps, 2, 3, 8) * 6 / steps for k in range(steps))
     assert total == pytest.approx(1, abs=1e-4) and peptides.probability_density(1, 2, 3, 8) == 0 and math.isfinite(peptides.probability_density(3, 2, 3, 8))
+
+
+@pytest.mark.parametrize(("text", "formula", "rings"), [
+    ("C", "CH4", 0), ("CCO", "C2H6O", 0), ("CC(=O)O", "C2H4O2", 0), ("c1ccccc1", "C6H6", 1), ("C1CCCCC1", "C6H12", 1), ("N[C@@H](C)C(=O)O", "C3H7NO2", 0), ("c1ccncc1", "C5H5N", 1),
+    ("c1cc[nH]c1", "C4H5N", 1), ("[13C]C", "CH3[13C]", 0), ("ClCCBr", "C2H4BrCl", 0), ("C#N", "CHN", 0), ("CS(=O)(=O)C", "C2H6O2S", 0), ("c1ccc2ccccc2c1", "C10H8", 2), ("[Na+].[Cl-]", "ClNa", 0), ("C/C=C/C", "C4H8", 0),
+])
+def test_smiles(text, formula, rings):
+    m = smiles.read(text)
+    assert isotopes.written(m.formula()) == formula and m.rings() == rings
+
+
+def test_smiles_fragments_and_errors():
+    assert {f for f, _, _ in smiles.read("CCO").fragments(1)} == {"CH3", "CH3O", "C2H5", "HO"} and smiles.read("CCO").fragments(0) == []
+    assert smiles.read("c1ccccc1").fragments(2) == [] and all(n == 2 for f, _, n in smiles.read("CCO").fragments(2) if f == "CH2")
+    for text in (None, "C(", "C1CC", "X!", "C)", "1CC"):
+        assert smiles.read(text) is None
