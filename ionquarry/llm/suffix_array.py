@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
+_ZERO = np.zeros(1, np.int64)
+
+
 def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Suffix array from sorted leftmost-smaller suffixes: two linear scans, bucket by bucket.
 
@@ -21,13 +26,13 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, bounds: np.nda
     def place(found: np.ndarray, where: np.ndarray, step: int) -> None:
         """Puts the suffixes, in their order, at the free ends of their buckets."""
         first = text[found]
-        turn = np.argsort(first, kind="stable")
+        turn = first.argsort(kind="stable")
         first = first[turn]
-        start = np.flatnonzero(np.r_[True, first[1:] != first[:-1]])
-        count = np.diff(np.r_[start, len(first)])
-        rank = np.arange(len(first)) - np.repeat(start, count)
-        out[where[first] + step * rank] = found[turn]
-        where[first[start]] += step * count
+        start = np.concatenate((_ZERO, np.flatnonzero(first[1:] != first[:-1]) + 1))
+        count = np.concatenate((start[1:], [len(first)])) - start
+        free = where[first[start]]
+        out[np.repeat(free - step * start, count) + step * np.arange(len(first))] = found[turn]
+        where[first[start]] = free + step * count
 
     heads = bounds[:-1].copy()
     for c in range(symbols):
@@ -62,8 +67,14 @@ def _induce(text: np.ndarray, small: np.ndarray, lms: np.ndarray, bounds: np.nda
     return out
 
 
+#: Names up to so many are symbols themselves; more are written with two digits.
+FEW = 64
+#: Reduced texts of so many names end the recursion.
+SHORT = 1 << 17
+
+
 def _by_rank(names: np.ndarray) -> np.ndarray:
-    """The suffixes of a text of many symbols in order, by doubling ranks of those not yet told apart."""
+    """The suffixes of a short text of many symbols in order, by doubling ranks of those not yet told apart."""
     n, rank, step = len(names), names.astype(np.int64), 1
     order = np.argsort(rank, kind="stable")
     while True:
@@ -88,19 +99,44 @@ def _by_rank(names: np.ndarray) -> np.ndarray:
         rank, step = key, 2 * step
 
 
+def _by_names(names: np.ndarray) -> np.ndarray:
+    """The suffixes of the reduced text in order. Names grow from 1 on; the last one, the sentinel's, is smallest and stands once.
+
+    Where names repeat, the reduced text is sorted by the same algorithm again, down to short texts. Many names are written with two digits each,
+    which keeps the alphabet small enough for a scan by buckets; suffixes that start at a name's first digit have the
+    order of the names' suffixes.
+    """
+    count = int(names.max()) + 1
+    if count > len(names):
+        out = np.empty(len(names), np.int64)
+        out[names - 1] = np.arange(len(names))
+        return out
+    if len(names) <= SHORT:
+        return _by_rank(names)
+    width, base = (1, count) if count <= FEW else (2, math.isqrt(count - 1) + 1)
+    digits = np.empty(len(names) * width + 1, np.int64)
+    rest = names.copy()
+    for k in range(width - 1, -1, -1):
+        digits[k:-1:width] = rest % base + 1
+        rest //= base
+    digits[-1] = 0
+    order = suffix_array(digits)
+    return order[(order % width == 0) & (order < len(digits) - 1)] // width
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Positions of all suffixes in order. The text's symbols are small integers; its last one is 0 and stands nowhere else.
 
     Suffixes are classified as smaller or larger than their successor; the leftmost-smaller substrings are sorted by
-    inducing and named; the text of their names is the reduced problem, which goes to rank doubling, since its alphabet is
-    too large for a scan by buckets; the sorted leftmost-smaller suffixes then induce all others in linear time.
+    inducing and named; the text of their names is sorted recursively; the sorted leftmost-smaller suffixes then induce all
+    others in linear time.
     """
     n = len(text)
-    text = text.astype(np.int64)
-    rises = np.zeros(n, bool)
-    change = np.flatnonzero(text[1:] != text[:-1])
+    text = text.astype(np.uint16)  # narrow symbols are sorted by radix
     if n == 1:
         return np.zeros(1, np.int64)
+    rises = np.zeros(n, bool)
+    change = np.flatnonzero(text[1:] != text[:-1])
     nearest = change[np.minimum(np.searchsorted(change, np.arange(n - 1)), len(change) - 1)]
     rises[:-1] = text[nearest] < text[nearest + 1]
     rises[-1] = True
@@ -123,8 +159,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
             live = live[same[live] & (size[1:][live] > k)]
         # the last substring is the sentinel alone
         names = np.empty(len(lms), np.int64)
-        names[place[rough]] = np.cumsum(np.r_[0, ~same])
-        start = lms[_by_rank(names)]
+        names[place[rough]] = np.cumsum(np.r_[1, ~same])
+        start = lms[_by_names(names)]
     return _induce(text, rises, start, bounds)
 
 

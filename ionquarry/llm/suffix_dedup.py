@@ -1,9 +1,14 @@
 """Suffix-array dedup: byte strings that start more than once are found by suffix arrays over shards of aligned windows.
 
-Every window of ``length`` bytes has one anchor: its ``GRAM`` bytes with the smallest hash, the leftmost of equal ones. So
-equal windows have equal anchors at equal offsets. The windows of a text that share an anchor are one stretch; stretches
-are dealt by the anchor's hash, so that all windows that could be equal meet in one shard, each of them once. There, a
-suffix array by induced sorting and its capped common prefixes tell which windows start elsewhere too.
+Every window of ``length`` bytes has one anchor: its ``GRAM`` bytes with the smallest hash (its upper bits), the leftmost of
+equal ones. So equal windows have equal anchors at equal offsets. The windows of a text that share an anchor are one
+stretch; stretches are dealt by the anchor's hash, so that all windows that could be equal meet in one shard, each of them
+once. There, a suffix array by induced sorting and its capped common prefixes tell which windows start elsewhere too.
+
+An anchor with more bytes of stretches than a shard holds is split: windows that start at similar distances before their
+anchor have bytes around it in common, more of them the closer the distances, and equal windows start at equal ones. So
+each of its stretches is parted by distance into two, and dealt by the hash of those bytes; and so on until the groups fit.
+When all distances of a stretch are one, it is one window, and equal ones have met already.
 """
 
 from __future__ import annotations
@@ -22,18 +27,18 @@ from ionquarry.llm.common import chosen_name, cut, text_id, unique_texts
 from ionquarry.llm.suffix_array import capped_prefixes, suffix_array
 
 LENGTH, GRAM = 400, 64
-#: Bytes of stretches in a shard; distinct stretches of one anchor from which on its windows are counted one by one.
-SHARD_BYTES, HOT = 1 << 20, 500
-#: Windows of a long text that are worked on at a time.
-WINDOWS = 1 << 17
+#: Bytes of stretches in a shard.
+SHARD_BYTES = 1 << 20
+#: Windows of a long text that are worked on at a time, and the bits that number their bytes.
+WINDOWS, _PLACE_BITS = 1 << 17, np.uint64(18)
 
-_ANCHORS = "tid binary, anchor long, first long, last long"
-_STRETCHES = "tid binary, anchor long, first long, digest binary, bytes binary"
-_RUNS = "tid binary, first long, last long"
+_ANCHORS = "tid binary, anchor long, place int, first int, last int"
+_STRETCHES = "tid binary, anchor long, place int, first int, digest binary, bytes binary"
+_RUNS = "tid binary, first int, last int"
 
 
-def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, anchor hash, first, last start of the windows) of every stretch; starts count from the text's first byte.
+def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(text, anchor hash, the anchor's place, first, last start of the windows) of every stretch, counted from the text's first byte.
 
     A long text is worked off in blocks of windows, which bounds the memory; a stretch that spans two of them stays whole.
     """
@@ -44,10 +49,9 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[n
         first, place, value = (np.concatenate(x) for x in zip(*blocks, strict=True))
         fresh = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
         first = first[fresh]
-        parts.append((np.full(len(first), d), value[fresh].view(np.int64), first, np.r_[first[1:] - 1, windows - 1]))
+        parts.append((np.full(len(first), d), value[fresh].view(np.int64), place[fresh], first, np.r_[first[1:] - 1, windows - 1]))
     if not parts:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
+        return (np.zeros(0, np.int64),) * 5
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -56,8 +60,9 @@ def _block_anchors(own: np.ndarray, begin: int, length: int, gram: int) -> tuple
     width = length - gram + 1
     starts = np.arange(len(own) - gram + 1)
     value = B.span_hash(B.prefix_hash(own, lower=False), starts, starts + gram)
-    low = value >> np.uint64(1)
-    # smallest hash of each window, by doubling
+    # the place stands in the lowest bits, so that the smallest of a window is the leftmost of its smallest hash
+    low = value >> _PLACE_BITS << _PLACE_BITS | starts.astype(np.uint64)
+    # by doubling
     least, reach = low, 1
     while 2 * reach <= width:
         least = np.minimum(least[:-reach], least[reach:])
@@ -65,27 +70,17 @@ def _block_anchors(own: np.ndarray, begin: int, length: int, gram: int) -> tuple
     if reach < width:
         shift = width - reach
         least = np.minimum(least[:-shift], least[shift:])
-    # its leftmost place: that hash's next occurrence from the window's start on
-    order = np.argsort(low, kind="stable")
-    place = _next_place(low[order], order, least, len(low))
+    place = (least & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
     fresh = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     return fresh + begin, place[fresh] + begin, value[place[fresh]]
 
 
-def _next_place(ranked: np.ndarray, order: np.ndarray, least: np.ndarray, n: int) -> np.ndarray:
-    """For each window w, the smallest place >= w whose hash is least[w]."""
-    group = np.cumsum(np.r_[0, ranked[1:] != ranked[:-1]])
-    which = group[np.searchsorted(ranked, least)]
-    keys = group * np.int64(n) + order
-    return order[np.searchsorted(keys, which * np.int64(n) + np.arange(len(least)))]
-
-
 def _find_anchors(length: int, gram: int):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, at in B.chunks(batch, "text"):
-                text, hashes, first, last = anchors(data, at, length, gram)
-                yield pa.RecordBatch.from_arrays([part.column("tid").take(pa.array(text)), pa.array(hashes), pa.array(first), pa.array(last)], names=["tid", "anchor", "first", "last"])
+                text, *found = anchors(data, at, length, gram)
+                yield pa.RecordBatch.from_arrays([part.column("tid").take(pa.array(text)), pa.array(found[0]), *(pa.array(x, pa.int32()) for x in found[1:])], names=["tid", "anchor", "place", "first", "last"])
 
     return step
 
@@ -100,7 +95,7 @@ def _cut_stretches(length: int):
                     tid = part.column("tid")[d].as_py()
                     for x in found:
                         held = own[x["first"] : x["last"] + length]
-                        rows.append((tid, x["anchor"], x["first"], hashlib.md5(held).digest(), held))
+                        rows.append((tid, x["anchor"], x["place"], x["first"], hashlib.md5(held).digest(), held))
                         if len(rows) >= 2000:
                             yield _batch(rows, _STRETCHES)
                             rows = []
@@ -110,7 +105,7 @@ def _cut_stretches(length: int):
     return step
 
 
-_KINDS = {"binary": pa.binary(), "long": pa.int64()}
+_KINDS = {"binary": pa.binary(), "long": pa.int64(), "int": pa.int32()}
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -157,38 +152,65 @@ def _shard(length: int):
     return step
 
 
-def _windows(length: int):
-    """Hashes of the windows, one by one, of stretches whose anchor is hot."""
+def _parted(length: int, gram: int, width: int):
+    """Stretches parted where the windows' distance to the anchor passes a multiple of ``width``, each with its new key."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tid, first, held, data in zip(*(batch.column(c).to_pylist() for c in ("tid", "first", "held", "bytes")), strict=True):
-                n = len(data) - length + 1
-                keys = [hashlib.md5(data[i : i + length]).digest() for i in range(n)]
-                yield _batch([(tid, first + i, held, k) for i, k in enumerate(keys)], "tid binary, first long, held long, window binary")
+            rows = []
+            for tid, anchor, place, first, held in zip(*(batch.column(c).to_pylist() for c in ("tid", "anchor", "place", "first", "bytes")), strict=True):
+                low, high = place - (first + len(held) - length), place - first
+                for part in range(low // width, high // width + 1):
+                    near, far = max(low, part * width), min(high, (part + 1) * width - 1)
+                    # the bytes that all windows at distances of this part hold, whether they are here or not
+                    reach = min((part + 1) * width - 1, length - gram)
+                    common = held[place - part * width - first : place - reach + length - first]
+                    key = int.from_bytes(hashlib.md5(b"%d %d %d " % (anchor, width, part) + common).digest()[:8], "little", signed=True)
+                    own = held[place - far - first : place - near + length - first]
+                    rows.append((tid, key, place, place - far, hashlib.md5(own).digest(), own))
+                if len(rows) >= 2000:
+                    yield _batch(rows, _STRETCHES)
+                    rows = []
+            if rows:
+                yield _batch(rows, _STRETCHES)
 
     return step
 
 
-def repeated_windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> DataFrame:
+def _distinct(stretches: DataFrame) -> DataFrame:
+    """One row for each anchor and content; equal stretches meet map-side, and ``held`` counts them."""
+    own = stretches.groupBy("anchor", "digest").agg(F.sum("held").alias("held"), F.first("bytes").alias("bytes"), F.min(F.struct("tid", "first", "place")).alias("at"))
+    return own.select("anchor", "digest", "held", "bytes", "at.tid", "at.first", "at.place")
+
+
+def repeated_windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(tid, first, last): ranges of starts of the windows that start elsewhere in the distinct ``texts`` (tid, text) too."""
     found = cut(texts.filter(F.octet_length("text") >= length).mapInArrow(_find_anchors(length, gram), _ANCHORS))
     again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    listed = found.join(again, "anchor", "left_semi").groupBy("tid").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("found"))
+    listed = found.join(again, "anchor", "left_semi").groupBy("tid").agg(F.collect_list(F.struct("anchor", "place", "first", "last")).alias("found"))
     stretches = cut(texts.join(listed, "tid").select("tid", "text", "found").mapInArrow(_cut_stretches(length), _STRETCHES))
-    # equal stretches meet map-side; all their windows are repeated, and one of them stands for all
-    distinct = cut(stretches.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("held"), F.first("bytes").alias("bytes"), F.min(F.struct("tid", "first")).alias("at")).select("anchor", "digest", "held", "bytes", "at.tid", "at.first"))
-    multiple = distinct.filter("held > 1").select("digest", (F.octet_length("bytes") - length).alias("more"))
-    whole = stretches.select("tid", "first", "digest").join(multiple, "digest").select("tid", "first", (F.col("first") + F.col("more")).alias("last"))
-    load = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("bytes")).alias("size")).filter("n > 1")
-    load = cut(load)
-    shards = max(1, (load.filter(F.col("n") <= hot).agg(F.sum("size")).first()[0] or 0) // shard_bytes)
-    several = distinct.join(load.filter(F.col("n") <= hot).select("anchor"), "anchor", "left_semi")
-    sorted_ = several.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).select("shard", "tid", "first", "held", "bytes").groupBy("shard").applyInArrow(_shard(length), _RUNS)
-    crowd = cut(distinct.join(load.filter(F.col("n") > hot).select("anchor"), "anchor", "left_semi").select("tid", "first", "held", "bytes").mapInArrow(_windows(length), "tid binary, first long, held long, window binary"))
-    twice = crowd.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
-    single = crowd.filter("held = 1").join(twice, "window", "left_semi").select("tid", "first", F.col("first").alias("last"))
-    return whole.unionByName(sorted_).unionByName(single)
+    runs, width = None, length - gram + 1
+    while True:
+        distinct = cut(_distinct(stretches.withColumn("held", F.lit(1).cast("long"))))
+        # all windows of a stretch that stands twice are repeated, and one of its places stands for all of them
+        multiple = distinct.filter("held > 1").select("anchor", "digest", (F.octet_length("bytes") - length).alias("more"))
+        whole = stretches.join(multiple, ["anchor", "digest"]).select("tid", "first", (F.col("first") + F.col("more")).alias("last"))
+        load = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("bytes")).alias("size")).filter("n > 1")
+        load = cut(load)
+        large = F.col("size") > shard_bytes // 2  # so that a shard that hash deals little too much stays small
+        fit, left = load.agg(F.sum(F.when(~large, F.col("size"))), F.count_if(large)).first()
+        shards = max(1, (fit or 0) // shard_bytes)
+        several = distinct.join(load.filter(~large).select("anchor"), "anchor", "left_semi")
+        dealt = several.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).select("shard", "tid", "first", "held", "bytes")
+        sorted_ = dealt.groupBy("shard").applyInArrow(_shard(length), _RUNS)
+        found = whole.unionByName(sorted_)
+        runs = found if runs is None else runs.unionByName(found)
+        if not left or width == 1:
+            return runs
+        width = (width + 1) // 2
+        # a stretch that stands twice goes on for the others' sake; its own windows are known
+        crowd = distinct.join(load.filter(large).select("anchor"), "anchor", "left_semi").select("tid", "anchor", "place", "first", "bytes")
+        stretches = cut(crowd.mapInArrow(_parted(length, gram, width), _STRETCHES))
 
 
 def _spans(found: list[dict] | None, copies: int, size: int, length: int) -> list[tuple[int, int]]:
@@ -207,7 +229,11 @@ def _spans(found: list[dict] | None, copies: int, size: int, length: int) -> lis
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with found and copies, from which ``_spans`` tells the bytes covered by repeated windows."""
+    """``docs`` with found and copies, from which ``_spans`` tells the bytes covered by repeated windows.
+
+    Null texts are empty; rows of equal text are copies of one another; a column of ``docs`` named found or copies must be
+    renamed first (``remove_repeats`` does so). An empty table gives an empty one.
+    """
     texts = cut(unique_texts(docs, text_col))
     runs = repeated_windows(texts.filter("length(text) > 0").select("tid", "text"), length, **options)
     found = runs.groupBy("tid").agg(F.collect_list(F.struct("first", "last")).alias("found"))
@@ -273,5 +299,9 @@ def _digest(length: int):
 
 
 def removal_report(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document (columns doc_id, text)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document (columns doc_id, text).
+
+    Null texts have no bytes; each of several equal rows is repeated whole, if it has ``length`` bytes; other columns don't
+    count; an empty table gives an empty one.
+    """
     return repeated_spans(docs.select("doc_id", "text"), length, **options).mapInArrow(_digest(length), _REPORT)

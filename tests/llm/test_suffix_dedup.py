@@ -2,9 +2,11 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from ionquarry.llm import suffix_dedup
+from ionquarry.llm.suffix_array import suffix_array
 
 
 def brute(texts, length):
@@ -32,14 +34,23 @@ def cases():
     return texts + [twin, twin, twin + "x", prose(39) * 2]
 
 
-@pytest.mark.parametrize("hot", [10, 500])
-def test_report_against_brute_force(spark, hot):
+@pytest.mark.parametrize("shard_bytes", [50, 2000, 1 << 20])
+def test_report_against_brute_force(spark, shard_bytes):
     texts = cases()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removal_report(docs, 40, gram=8, hot=hot).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removal_report(docs, 40, gram=8, shard_bytes=shard_bytes).collect()}
     assert got == dict(enumerate(brute(texts, 40)))
 
 
+@pytest.mark.parametrize("symbols", [1, 2, 5, 3000])
+def test_suffix_array_against_sorting(symbols):
+    r = random.Random(symbols)
+    for size in (0, 1, 2, 3, 50, 3000):
+        text = [r.randrange(1, symbols + 1) for _ in range(size)]
+        text = text + text[: size // 2] + [0]
+        assert suffix_array(np.array(text)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+
+
 def test_remove_keeps_other_columns(spark):
     docs = spark.createDataFrame([(1, "x" * 50, 7), (2, "y", 8), (3, None, None)], "found int, text string, copies int")
     got = suffix_dedup.remove_repeats(docs, 40, gram=8)
