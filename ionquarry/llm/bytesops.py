@@ -1,8 +1,8 @@
 """Vectorised kernels over the UTF-8 buffers of Arrow string columns.
 
 Every kernel works on one *chunk*: the bytes of some whole texts laid end to end, with the offsets that part them. Texts
-are never cut. A chunk holds about ``CHUNK`` bytes or one longer text, and the kernels use some 60 bytes of memory for
-each byte of a chunk, so the longest text sets the peak.
+are never cut. A chunk holds about ``CHUNK`` bytes or one longer text. Words are found and hashed in blocks of at most
+twice that, with some 60 bytes of memory for each byte of a block; what grows with a longer text is 24 bytes for each word.
 """
 
 from __future__ import annotations
@@ -124,6 +124,33 @@ def within(firsts: np.ndarray, n: int, count: int) -> np.ndarray:
     return out
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    starts, ends, firsts = words(data, at, kind)
-    return span_hash(prefix_hash(data), starts, ends), starts, ends, firsts
+def _parts(data: np.ndarray, kind: np.ndarray, size: int) -> list[int]:
+    """Bounds of blocks of about ``size`` bytes, each behind a byte that belongs to no word; a longer word stays whole."""
+    out = [0]
+    while len(data) - out[-1] > size:
+        at, reach = out[-1], size
+        while True:
+            free = np.flatnonzero(~kind[data[at : at + reach]])
+            if len(free) or at + reach >= len(data):
+                break
+            reach *= 2
+        out.append(at + int(free[-1]) + 1 if len(free) else len(data))
+    return out if out[-1] == len(data) else [*out, len(data)]
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray, kind: np.ndarray, size: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words, and the index of each text's first one.
+
+    Long texts are worked off in blocks, so that only what the words need, 24 bytes each, grows with the longest one.
+    """
+    size = size or 2 * CHUNK
+    if len(data) <= size:
+        starts, ends, firsts = words(data, at, kind)
+        return span_hash(prefix_hash(data), starts, ends), starts, ends, firsts
+    found, bounds = [], _parts(data, kind, size)
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        inner = at[(at > a) & (at < b)] - a
+        starts, ends, _ = words(data[a:b], np.concatenate([[0], inner, [b - a]]), kind)
+        found.append((span_hash(prefix_hash(data[a:b]), starts, ends), starts + a, ends + a))
+    hashes, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
+    return hashes, starts, ends, np.searchsorted(starts, at)

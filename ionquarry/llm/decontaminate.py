@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ionquarry.llm import bytesops as B
+from ionquarry.llm.common import cut
 
 #: Bytes of item text in one broadcast set. More items are searched for in further sets, one scan step each.
 BLOCK_BYTES = 4 << 20
@@ -94,7 +95,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "
 
     A window is n consecutive words of an item, or all the words of an item that has fewer. Each hash hit is verified
     against the words. The windows are broadcast in blocks of at most about ``block_bytes`` of item text (one longer item
-    makes a block of its own); with more blocks, the scan has more steps and still no shuffle.
+    makes a block of its own); with more blocks, the scan has more steps, each written before the next, and still no shuffle.
 
     A null text has no words; an item with null or wordless text gives no window; a null item id counts as the empty id;
     repeated items count once for each id; repeated documents are judged alike. Columns of ``docs`` named like an added
@@ -110,7 +111,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = 10, text_col: str = "
     def block(df: DataFrame, k: int) -> DataFrame:
         held = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k)
         grams = Grams([(r.item, r.words) for r in held.toLocalIterator()], n)
-        return df.mapInArrow(_scan(grams, text_col, k == 0), schema)
+        found = df.mapInArrow(_scan(grams, text_col, k == 0), schema)
+        return found if blocks == 1 else cut(found)  # written before the next block is read, so the driver holds one
 
     return reduce(block, range(blocks), out)
 
