@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionquarry.llm.bytesops import mix as mixed
@@ -67,34 +67,50 @@ def pivotal(size: np.ndarray, share: np.ndarray, draw: np.ndarray) -> np.ndarray
     return out
 
 
+def settle(size: float, share: float, sizes: np.ndarray, shares: np.ndarray, draws: np.random.Generator) -> tuple[float, np.ndarray]:
+    """A pivotal step of one document against all ``sizes`` as one unit, again and again until its share is 0 or 1 or they have no room.
+
+    The unit's shares move together, each by the smaller of its distances to 0 and 1, so that none leaves them; either
+    the document's share rises and theirs fall or the other way round, with the odds that leave all expectations as they are.
+    """
+    shares = shares.copy()
+    while 0 < share < 1:
+        reach = np.minimum(shares, 1 - shares)
+        room = float((sizes * reach).sum())
+        if room < 1e-9:
+            break
+        up, down = min(size * (1 - share), room), min(size * share, room)
+        rises = draws.random() * (up + down) < down
+        moved = up if rises else -down
+        share, shares = share + moved / size, shares - moved / room * reach
+        share = min(1.0, max(0.0, round(share, 12)))
+        shares = np.clip(np.round(shares, 12), 0, 1)
+    return share, shares
+
+
 def by_size(size: np.ndarray, share: np.ndarray, draw: np.ndarray) -> np.ndarray:
-    """``pivotal``, class by class of sizes in falling order; leaves at most one fractional share, of the smallest class.
+    """``pivotal``, class by class of sizes in falling order; the share that a class leaves over is settled with all smaller documents.
 
-    The share that a class leaves over is drawn at once, and the words which that draw adds or takes are taken from or
-    added to the shares of all smaller documents, as far as they reach. The draw adds nothing on average.
+    No document's expectation changes, and sum(size * share) stays. What no smaller document can settle stays fractional:
+    one share of a class at most.
     """
     out = share.copy()
     classes = np.floor(np.log2(np.maximum(size, 1)) / 2).astype(int)
     bounds = [0, *(np.flatnonzero(np.diff(classes)) + 1).tolist(), len(size)]
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         out[a:b] = pivotal(size[a:b], out[a:b], draw[a:b])
-        left = a + np.flatnonzero((out[a:b] > 0) & (out[a:b] < 1))
-        rest = size[b:].sum()
-        if len(left) and rest:
-            i = left[0]
-            taken = float(draw[i] < out[i])
-            out[b:] = np.clip(out[b:] - size[i] * (taken - out[i]) / rest, 0, 1)
-            out[i] = taken
+        for i in a + np.flatnonzero((out[a:b] > 0) & (out[a:b] < 1)):
+            out[i], out[b:] = settle(float(size[i]), float(out[i]), size[b:], out[b:], np.random.Generator(np.random.PCG64(int(draw[i] * 2**53))))
     return out
 
 
-_ROWS = "digest long, source string, size long, bucket long, share double"
+_ROWS = "digest long, twin long, source string, size long, bucket long, share double"
 
 
 def _round(seed: int, last: bool):
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         # large documents first: what is left over at the end is the share of a small one
-        pdf = pdf.sort_values(["size", "digest"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["size", "digest", "twin"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         key = pdf["digest"].to_numpy().astype(np.uint64) ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64)
         draw = (mixed(key + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(11)) / float(1 << 53)
         share = by_size(pdf["size"].to_numpy(), pdf["share"].to_numpy(), draw)
@@ -106,20 +122,26 @@ def _round(seed: int, last: bool):
     return step
 
 
+def _digests(docs: DataFrame) -> tuple[Column, Column]:
+    """128 bits, as two longs, of all of a row's columns that can be hashed."""
+    own = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    return F.xxhash64(*own), F.xxhash64(F.lit("twin"), *own)
+
+
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0, bucket: int = BUCKET, fan: int = FAN, text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(rows, decisions): each row of ``docs`` without its text but with its digest, size and source; and digest,
     source_size, target, copies. See ``mix``."""
     others = [c for c in docs.columns if c != text_col]
-    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(_WORD)), F.lit(0)).cast("long")
-    rows = cut(docs.select(F.xxhash64(*[F.col(f"`{c}`") for c in hashed]).alias("digest"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(1).alias("_")]).alias("kept")))
-    units = rows.groupBy("digest", "source").agg(F.sum("size").alias("size"))
+    digest, twin = _digests(docs)
+    rows = cut(docs.select(digest.alias("digest"), twin.alias("twin"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(1).alias("_")]).alias("kept")))
+    units = rows.groupBy("digest", "twin", "source").agg(F.sum("size").alias("size"))
     per = targets(rows.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")), weights, share, most)
     per = cut(per.withColumn("copies", F.when(F.col("words") > 0, F.least(F.col("target") / F.col("words"), F.lit(float(most)))).otherwise(0.0)))
     rate = per.select(F.col("source").alias("of"), "copies", "rows", F.col("words").alias("source_size"), "target")
     whole = units.join(rate, F.col("source").eqNullSafe(F.col("of")), "left")
     buckets = F.ceil(F.col("rows") / bucket)
-    start = whole.select("digest", "source", "size", F.pmod(F.xxhash64(F.col("digest")), buckets).alias("bucket"), (F.col("copies") - F.floor("copies")).alias("share"))
+    start = whole.select("digest", "twin", "source", "size", F.pmod(F.xxhash64(F.col("digest")), buckets).alias("bucket"), (F.col("copies") - F.floor("copies")).alias("share"))
     most_buckets = per.agg(F.max(F.ceil(F.col("rows") / bucket))).first()[0] or 1
     fractional, parts = start.filter("size > 0 AND share > 0 AND share < 1"), []
     while True:
@@ -129,35 +151,42 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
             break
         most_buckets = -(-most_buckets // fan)
         fractional = level.filter("share NOT IN (0, 1)").withColumn("bucket", F.floor(F.col("bucket") / fan) if most_buckets > 1 else F.lit(0).cast("long"))
-    extra = reduce(DataFrame.unionByName, parts).select(F.col("digest").alias("own"), F.col("source").alias("of_own"), F.col("share").cast("long").alias("extra"))
-    decided = whole.join(extra, (F.col("digest") == F.col("own")) & F.col("source").eqNullSafe(F.col("of_own")), "left")
+    extra = reduce(DataFrame.unionByName, parts).select(F.col("digest").alias("own"), F.col("twin").alias("own_twin"), F.col("source").alias("of_own"), F.col("share").cast("long").alias("extra"))
+    decided = whole.join(extra, (F.col("digest") == F.col("own")) & (F.col("twin") == F.col("own_twin")) & F.col("source").eqNullSafe(F.col("of_own")), "left")
     copies = F.when(F.col("size") > 0, F.floor("copies").cast("long") + F.coalesce("extra", F.lit(0))).otherwise(F.lit(0)).cast("long")
-    return rows, decided.select("digest", "source_size", "target", copies.alias("copies"))
+    return rows, decided.select("digest", "twin", F.coalesce("source", F.lit("")).alias("of"), F.col("source").isNull().alias("of_none"), "source_size", "target", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with size, source_size, target and copies (times that the mix takes the document).
 
     The copies of a document are the whole part of target / source_size and, by pivotal rounding of the rest, one more or
-    not. Rounding moves words, not documents, and large documents are settled before small ones, so a source's
-    taken words miss its target by about one small document; the one left over at the tree's root is drawn. Documents are dealt to buckets by a hash, rounded bucket by bucket, and
-    what is left fractional, one row of each bucket at most, meets by ``fan`` until one bucket is left. No group has more
-    than about ``bucket`` or ``fan`` rows, however large a source. The same rows give the same result.
+    not; its expectation is that rest. Rounding moves words, not documents, and large documents are settled before small
+    ones; what is left over at the tree's root is drawn. Documents are dealt to buckets by a hash, rounded bucket by
+    bucket, and what is left fractional, at most one row of each size class (sizes within a factor of four) and bucket,
+    meets by ``fan`` until one bucket is left. No group has more than about ``bucket`` rows or a few times ``fan``, however
+    large a source. The same rows give the same result.
 
     A null text has no words; documents without words are never taken (copies 0). A null source is a source, the last.
     Rows that are equal in every column are decided together. An empty table gives an empty one. Columns of ``docs`` with
     an added name are replaced.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("size", "source_size", "target", "copies")])
+    source_col = options.get("source_col", "source")
     rows, decisions = plan_mix(docs, text_col=text_col, **options)
-    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
-    key = chosen_name(docs, "mix_digest")
-    sizes = rows.groupBy("digest").agg(F.first("size").alias("size"))
-    add = decisions.join(sizes, "digest").withColumnRenamed("digest", key)
-    return docs.withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c in hashed])).join(add, key).drop(key)
+    keys = [chosen_name(docs, x) for x in ("mix_digest", "mix_twin", "mix_of", "mix_of_none")]
+    sizes = rows.groupBy("digest", "twin", F.coalesce("source", F.lit("")).alias("of"), F.col("source").isNull().alias("of_none")).agg(F.first("size").alias("size"))
+    add = decisions.join(sizes, ["digest", "twin", "of", "of_none"]).withColumnsRenamed(dict(zip(("digest", "twin", "of", "of_none"), keys, strict=True)))
+    source = F.col(source_col).cast("string")
+    own = docs.withColumns(dict(zip(keys, (*_digests(docs), F.coalesce(source, F.lit("")), source.isNull()), strict=True)))
+    return own.join(add, keys).drop(*keys)
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each row (columns doc_id, text, source)."""
+    """doc_id, size, source_size, target, taken of each row (columns doc_id, text, source).
+
+    Null texts have size 0, null sources are one, the last; equal rows are decided together; an empty table gives an empty one.
+    """
     rows, decisions = plan_mix(docs.select("doc_id", "text", "source"))
-    return rows.join(decisions, "digest").select("kept.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    keyed = rows.withColumns({"of": F.coalesce("source", F.lit("")), "of_none": F.col("source").isNull()})
+    return keyed.join(decisions, ["digest", "twin", "of", "of_none"]).select("kept.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

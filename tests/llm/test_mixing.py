@@ -76,6 +76,30 @@ def test_rounding_keeps_words_and_expectation():
     assert np.abs(sums / 400 - share).mean() < 0.05
 
 
+@pytest.mark.parametrize("sizes", [[1000, 5, 5, 5, 5, 5], [400, 300, 90, 60, 20, 7, 3, 1], [8] * 12])
+def test_rounding_by_size_is_unbiased(sizes):
+    r = np.random.default_rng(7)
+    size, share = np.array(sizes), np.full(len(sizes), 0.25)
+    sums, runs = np.zeros(len(sizes)), 4000
+    for _ in range(runs):
+        out = X.by_size(size, share, r.random(len(sizes)))
+        assert (out * size).sum() == pytest.approx((share * size).sum(), abs=1e-3) and out.min() >= 0 and out.max() <= 1
+        sums += out
+    assert sums / runs == pytest.approx(share, abs=0.04)
+
+
+def test_the_mix_is_unbiased(spark):
+    rows = [(i, " ".join(["w"] * n), "a") for i, n in enumerate([300, 40, 40, 40, 7, 7, 7, 7])]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1).cache()
+    taken, runs = defaultdict(int), 30
+    for seed in range(runs):
+        for x in X.mix(docs, share=0.3, seed=seed).collect():
+            taken[x.doc_id] += x.copies
+    # the smallest eight deviations of 30 draws at 0.3 lie within 0.3 of it but once in some thousands
+    assert all(abs(taken[i] / runs - 0.3) < 0.3 for i in range(len(rows)))
+    assert abs(sum(taken[i] * len(t.split()) for i, t, _ in rows) / runs - 0.3 * 448) < 45
+
+
 def test_clashing_names_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b", "s", 9, 9, 9, 9)], SCHEMA + ", Size int, digest int, mix_digest int, kept int")
     out = X.mix(docs)
