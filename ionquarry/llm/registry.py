@@ -66,4 +66,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op3_url_filters": url_filter.ORACLE_SQL,
+    "op8_warc_revisits": warc.ORACLE_SQL,
 }

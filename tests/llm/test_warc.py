@@ -1,5 +1,7 @@
 from datetime import datetime
 
+import duckdb
+
 from ionquarry.llm import warc
 
 SCHEMA = "record_id long, url string, at timestamp, kind string, etag string, last_modified string, headers map<string,string>, payload string"
@@ -26,6 +28,34 @@ def test_resolution(spark):
     }
 
 
+def test_repeated_records_give_one_row_each(spark):
+    t = lambda h: datetime(2024, 1, 1, h)
+    response = (1, "http://a.com/", t(1), "response", "e", None, {"Type": "h"}, "one")
+    revisit = (2, "http://a.com/", t(2), "revisit", "e", None, {"Date": "d"}, None)
+    rows = [response, response, (1, "http://b.com/", t(1), "response", "x", None, None, "b"), revisit, revisit, (2, "http://b.com/", t(2), "revisit", "x", None, None, None)]
+    rows += [(9, "http://c.com/", t(1), "response", "1", None, None, "low"), (10, "http://c.com/", t(1), "response", "2", None, None, "high"), (11, "http://c.com/", t(3), "revisit", None, None, None, None)]
+    got = sorted((x.record_id, x.status, x.source_id, x.payload) for x in warc.resolve_revisits(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(2, "resolved", 1, "b"), (2, "resolved", 1, "one"), (2, "resolved", 1, "one"), (11, "resolved", 10, "high")]
+
+
+def test_clashing_columns(spark):
+    row = (1, "http://a.com/", datetime(2024, 1, 1), "revisit", None, None, None, None, 5, 6, 7)
+    got = warc.resolve_revisits(spark.createDataFrame([row], SCHEMA + ", _url int, status int, _k1 int"))
+    assert [tuple(x) for x in got.collect()] == [(1, "missing", None, None, None)]
+
+
+def test_report_equals_its_sql(spark, tmp_path):
+    rows = [(i, [f"http://h{i % 9}.com/a?b=1/", f"HTTPS://www.H{i % 9}.com:443/a?b=1#f", None, "no scheme", "ftp://x.org:80/"][i % 5], None if i % 13 == 0 else f"<p>{i}</p>") for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages"))
+    duck = duckdb.connect()
+    duck.sql("SET timezone = 'UTC'")
+    duck.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages/*.parquet'")
+    found = warc.revisit_report(pages)
+    expected = duck.sql(warc.ORACLE_SQL)
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, expected.select(*found.columns).fetchall()))
+
+
 def test_empty_table(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], SCHEMA)).collect() == []
 
