@@ -17,28 +17,43 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages learnt from ``lang``; null texts, texts without a letter and other languages go."""
+    """Documents in one of the languages learnt from ``lang``; null texts, texts without a letter and other languages go.
+
+    Where no lang is known, all texts with a letter stay. Repeated rows are judged alike; an empty table stays empty.
+    """
     model = language_id.train(docs.filter(~held_out(F.col("doc_id"))))
     return language_id.in_learnt_language(docs, model)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at a similarity of 0.8 or more: the one with the smallest id."""
+    """One document of each group at a similarity of 0.8 or more: the one with the smallest id; null ids are the largest.
+
+    Of equal rows one stays; texts without words link with nothing and all stay; an empty table stays empty.
+    """
     return minhash.drop_near_duplicates(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that stand more than once in the corpus."""
+    """Texts without passages that stand more than once in the corpus; documents of which nothing is left go.
+
+    Null and empty texts stay; equal texts (of which the stage before leaves one) would lose all; an empty table stays empty.
+    """
     return _counted(suffix_dedup.remove_repeats(docs, PASSAGE_BYTES))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the spans that hold ten words in a row of a benchmark item."""
+    """Texts without the spans that hold ten words in a row of a benchmark item; documents of hit words alone go.
+
+    Null texts stay; without items nothing changes; an empty table stays empty.
+    """
     return _counted(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents the mix takes, with the number of times it does, copies."""
+    """The documents the mix takes, with the number of times it does, copies; wordless ones are never taken.
+
+    A null source is one of the sources; equal rows are taken together; an empty table stays empty.
+    """
     return mixing.mix(docs).filter("copies > 0")
 
 
@@ -49,7 +64,7 @@ STAGES = [
     ("decontamination", without_leaks),
     ("mix_sources", mixed),
 ]
-#: Not expressible in SQL; tests hold the stages against brute force.
+#: Not expressible in SQL; tests hold the operators of the stages against brute force, and the stages against planted cases.
 ORACLE_SQL = None
 
 

@@ -18,6 +18,8 @@ FEATURE_BITS, LENGTHS = 15, (1, 2, 3)
 #: Pseudo-count of every feature in every language.
 ALPHA = 0.1
 UNDECIDED = "und"
+#: Languages of a model at most: with 2**15 features, 256 MB that each task holds.
+MOST_LANGUAGES = 1000
 #: Likeness under which a long text is in none of the learnt languages. On sf0.1 all 10,000 texts stay; with a language left out
 #: of the training, 98 (de), 82 (en), 99 (es) and 99 (fr) percent of its texts go, and one other text with en left out.
 LEAST_LIKENESS = 0.6
@@ -116,8 +118,11 @@ def train(labelled: DataFrame, bits: int = FEATURE_BITS, lengths: tuple[int, ...
     """A model of the rows of ``labelled`` (text, lang); rows with a null in either are left out.
 
     Each task sends one row for a language and feature it has seen, so what is gathered has at most (languages) * 2**bits
-    rows. Priors are equal. With no rows at all, the model has no language and calls every text undecided.
+    rows, of at most ``MOST_LANGUAGES`` languages; more raise, since no such column names languages alone. Priors are
+    equal. With no rows at all, the model has no language and calls every text undecided.
     """
+    if labelled.select("lang").filter("lang IS NOT NULL").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values; the model that all tasks hold has a column for each")
     rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang").mapInArrow(_count(bits, lengths), COUNTS)
     counts = rows.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
     names = counts.column("lang").to_pylist()
@@ -183,7 +188,10 @@ def in_learnt_language(docs: DataFrame, model: Model, text_col: str = "text", le
 
 
 def predictions(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; learnt from the rows that aren't held out and have a lang."""
+    """doc_id, held_out, lang_pred, score; learnt from the rows that aren't held out and have a lang; cases as in ``identify``.
+
+    An empty table gives an empty one.
+    """
     out = held_out(F.col("doc_id"))
     model = train(docs.filter(~out))
     return identify(docs.select("doc_id", out.alias("held_out"), "text"), model).drop("text")

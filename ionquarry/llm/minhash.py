@@ -217,7 +217,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) ->
 
 
 def dedup_report(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row (columns doc_id, text)."""
+    """doc_id, n_shingles, component_id, kept of each row (columns doc_id, text); cases as in ``classes``."""
     found = classes(docs.select("doc_id", "text"), percent=percent)
     kept: Column = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))

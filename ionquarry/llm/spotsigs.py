@@ -26,12 +26,12 @@ _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 def signatures(text: Column, chain: int = CHAIN) -> Column:
     """The sorted distinct chains, hashed; a text without any, but not empty, has itself as its only one."""
     words = F.concat(F.lit("  "), F.regexp_replace(ascii_lower(text), _OTHER, "  "), F.lit("  "))
-    # a piece holds the content words between two runs of anchors; short ones are filled from the next piece. A repeated
+    # a piece holds the content words between two runs of anchors; short ones are filled from the next ones. A repeated
     # group would make the matcher recurse along a run of anchors, so that each one parts, and blank pieces go
     behind = F.split(words, f" (?:{'|'.join(sorted(set(ANCHORS)))}) ")
     pieces = lambda b: F.filter(F.transform(F.slice(b, 2, F.greatest(F.size(b) - 1, F.lit(0))), lambda x: F.trim(x)), lambda x: x != "")
     head = lambda x: F.regexp_replace(F.substring_index(x, "  ", chain), " +", " ")
-    filled = lambda p: F.transform(p, lambda x, i: F.trim(head(F.concat_ws("  ", x, F.get(p, i + 1)))))
+    filled = lambda p: F.transform(p, lambda x, i: F.trim(head(F.concat_ws("  ", F.slice(p, i + 1, chain)))))
     hashed = lambda c: F.array_sort(F.array_distinct(F.transform(F.filter(c, lambda x: x.contains(" ")), lambda x: F.lower(F.hex(F.xxhash64(x))))))
     alone = F.when(F.length(text) > 0, F.array(F.lower(F.hex(F.xxhash64(text))))).otherwise(F.array().cast("array<string>"))
     return once(once(once(once(behind, pieces), filled), hashed), lambda h: F.when(F.size(h) > 0, h).otherwise(alone))
@@ -54,7 +54,7 @@ def similar_pairs(docs: DataFrame, threshold: float = 0.8, text_col: str = "text
     Only distinct fingerprints are compared; rows of one fingerprint are one class. Sets are partitioned by their length,
     so that a set meets its own partition and the next longer one; there, a pair must share one of the rarest signatures of
     both, and the lengths must allow the similarity, before the sets are compared in full. Null and empty texts have an
-    empty fingerprint and no pairs.
+    empty fingerprint and no pairs; repeated rows are members of one fingerprint; an empty table has neither.
     """
     out = docs.drop(*[c for c in docs.columns if c.lower() == "fingerprint"])
     members = out.withColumn("fingerprint", F.array_join(signatures(F.coalesce(F.col(text_col), F.lit(""))), ","))
@@ -93,7 +93,11 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (columns doc_id, text)."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (columns doc_id, text).
+
+    Null texts are empty; equal ids are ordered by the texts' digests; repeated rows each have a row, and the last of all is
+    followed by the first, a single one by itself; an empty table gives an empty one.
+    """
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half))
     rows = with_next(docs).select("doc_id", "text", "next_text", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))

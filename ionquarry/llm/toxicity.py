@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -143,10 +142,17 @@ def _score(block: Block, text_col: str, first: bool):
 
 
 def likelihoods(docs: DataFrame, model: list, text_col: str = "text") -> DataFrame:
-    """``docs`` with kn_words, and the sum and the largest of the words' log-likelihood ratios (toxic to ordinary)."""
+    """``docs`` with kn_words, and the sum and the largest of the words' log-likelihood ratios (toxic to ordinary).
+
+    Each scan adds one block's words; its result is written before the next block is loaded, so the driver holds one block.
+    Null and wordless texts have 0 words, the sum 0 and no largest ratio (-infinity); an empty table gives an empty one.
+    """
     out = docs.drop(*[c for c in docs.columns if c.lower() in _PARTS.names])
     schema = T.StructType([*out.schema.fields, *_PARTS.fields])
-    return reduce(lambda df, k: df.mapInArrow(_score(model[k](), text_col, k == 0), schema), range(len(model)), out)
+    for k, load in enumerate(model):
+        out = out.mapInArrow(_score(load(), text_col, k == 0), schema)
+        out = cut(out) if k < len(model) - 1 else out
+    return out
 
 
 def evidence(n: np.ndarray, total: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -212,7 +218,11 @@ def classify(docs: DataFrame, classifier: Classifier, text_col: str = "text", sc
 
 
 def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted; learnt from the labels of the rows that aren't held out."""
+    """doc_id, held_out, score, predicted; learnt from the labels of the rows that aren't held out.
+
+    Null, empty and wordless texts get the score of no evidence; repeated rows get equal scores; without usable labels all
+    scores are 0.5; an empty table gives an empty one.
+    """
     out = held_out(F.col("doc_id"))
     classifier = train_classifier(docs.filter(~out), labels)
     found = classify(docs.select("doc_id", out.alias("held_out"), "text"), classifier, score_col="score")
