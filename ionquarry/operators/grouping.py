@@ -15,6 +15,8 @@ from ionquarry.operators import trace_kernels as K
 
 #: Order in which peaks choose their group: the most intense first; sample and rt settle what is left.
 PEAK_ORDER = ("-intensity", "-area_top", "-area_corrected", "-area", "sample_id", "rt")
+#: The older order: the most intense first, then by sample.
+OLDER_ORDER = ("-intensity", "sample_id", "rt")
 
 
 def peak_order() -> list[Column]:
@@ -109,7 +111,7 @@ def clustered(peaks: list[dict], most: float) -> list[int]:
     return [top(i) for i in range(len(peaks))]
 
 
-def _grouped(peaks: DataFrame, keys: list[str], kernel, tops: DataFrame | None = None) -> DataFrame:
+def _grouped(peaks: DataFrame, keys: list[str], kernel, tops: DataFrame | None = None, order: tuple[str, ...] = PEAK_ORDER) -> DataFrame:
     """``peaks`` with group_id, as ``kernel``(merged peaks, sample peaks) says; rows it gives None are dropped."""
     schema = T.StructType([*peaks.schema.fields, T.StructField("group_id", T.LongType())])
     marked = peaks.withColumn("_top", F.lit(False))
@@ -118,7 +120,7 @@ def _grouped(peaks: DataFrame, keys: list[str], kernel, tops: DataFrame | None =
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         own = group[~group["_top"]].drop(columns="_top")
-        own = own.sort_values([c.lstrip("-") for c in PEAK_ORDER], ascending=[c[0] != "-" for c in PEAK_ORDER], kind="stable")
+        own = own.sort_values([c.lstrip("-") for c in order], ascending=[c[0] != "-" for c in order], kind="stable")
         rows = own.to_dict("records")
         found = kernel(group[group["_top"]].sort_values("rt").to_dict("records"), rows)
         out = pd.DataFrame(rows, columns=own.columns).assign(group_id=pd.array(found, "Int64"))
@@ -127,8 +129,8 @@ def _grouped(peaks: DataFrame, keys: list[str], kernel, tops: DataFrame | None =
     return marked.groupBy(*keys).applyInPandas(run, schema)
 
 
-def group_by_merged(peaks: DataFrame, tops: DataFrame, keys: list[str], most: float = 0.25, least_overlap: float = 0.8) -> DataFrame:
-    """``peaks`` with group_id: each goes to the nearest peak of the slice's merged trace (``tops``); then overlapping groups merge.
+def group_by_merged(peaks: DataFrame, tops: DataFrame, keys: list[str], most: float = 0.25, least_overlap: float = 0.8, order: tuple[str, ...] = PEAK_ORDER) -> DataFrame:
+    """``peaks`` with group_id: each, in ``order``, goes to the nearest peak of the slice's merged trace (``tops``); then overlapping groups merge.
 
     A sample has one peak in a group; peaks without a group are dropped; ``least_overlap`` below 0 leaves groups unmerged.
     Groups count from 0 in order of the merged peaks.
@@ -145,7 +147,7 @@ def group_by_merged(peaks: DataFrame, tops: DataFrame, keys: list[str], most: fl
                 out[p["_at"]] = k
         return out
 
-    return _grouped(peaks, keys, kernel, tops)
+    return _grouped(peaks, keys, kernel, tops, order)
 
 
 def group_by_distance(peaks: DataFrame, keys: list[str], most: float = 0.25) -> DataFrame:

@@ -104,6 +104,23 @@ def subtract_background(spectrum_points: DataFrame, background: DataFrame, ppm:
     return most.withColumn("subtracted", left).drop("_b", "_n")
 
 
+def isolation_purity(scans: DataFrame, width: float, ppm: float, look_back: int = 50) -> DataFrame:
+    """(sample_id, scan_id, full_scan, purity) of each MS2 scan: the precursor's share of what the last full scan holds around it.
+
+    ``scans``: sample_id, scan_id, mslevel, precursor_mz and spectrum, an array of (mz, intensity). The full scan is the last
+    one among the ``look_back`` scans before; the region is ``width`` Da on either side, the precursor its highest peak
+    within ``ppm``. Without a full scan there is no purity; an empty region or no precursor gives 0.
+    """
+    order = Window.partitionBy("sample_id").orderBy("scan_id").rowsBetween(-look_back, -1)
+    last = F.last(F.when(F.col("mslevel") == 1, F.struct("scan_id", "spectrum")), ignorenulls=True).over(order)
+    held = scans.withColumn("_full", last).filter("mslevel = 2")
+    near = F.filter("_full.spectrum", lambda p: F.abs(p["mz"] - F.col("precursor_mz")) <= width)
+    own = F.filter(near, lambda p: F.abs(p["mz"] - F.col("precursor_mz")) <= F.col("precursor_mz") * ppm / 1e6)
+    total = F.aggregate(near, F.lit(0.0), lambda s, p: s + p["intensity"])
+    share = F.when(total > 0, F.coalesce(F.array_max(F.transform(own, lambda p: p["intensity"])), F.lit(0.0)) / total).otherwise(0.0)
+    return held.select("sample_id", "scan_id", F.col("_full.scan_id").alias("full_scan"), F.when(F.col("_full").isNotNull(), share).alias("purity"))
+
+
 #: m/z of the ten TMT reporter ions
 TMT = {"126": 126.127726, "127N": 127.124761, "127C": 127.131081, "128N": 128.128116, "128C": 128.134436, "129N": 129.131471, "129C": 129.13779, "130N": 130.134825, "130C": 130.141145, "131": 131.13818}
 

@@ -85,6 +85,23 @@ def interpolate_gaps(traces: DataFrame, keys: list[str]) -> DataFrame:
     return by_trace(traces, keys, kernel, rt=T.DoubleType(), intensity=T.DoubleType())
 
 
+def centroids(profiles: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, mz, intensity): the peaks of profile spectra, whose points (mz, intensity) are taken in order of m/z."""
+    kernel = lambda rt, mz, y: [{"mz": m, "intensity": v} for m, v in K.centroided(y, mz)]
+    return by_trace(profiles.withColumn("rt", profiles["mz"]), keys, kernel, mz=T.DoubleType(), intensity=T.DoubleType())
+
+
+def cross_correlations(traces: DataFrame, keys: list[str], one: float, other: float) -> DataFrame:
+    """(keys, z): how far the correlation of a trace's parts before and behind two rts, of one length, exceeds that of shifts."""
+
+    def kernel(rt, mz, y):
+        n = min(int((rt >= one).sum()), int((rt >= other).sum()))
+        a, b = y[rt >= one][:n], y[rt >= other][:n]
+        return [{"z": K.shifted_correlation_z(a, b)}]
+
+    return by_trace(traces, keys, kernel, z=T.DoubleType())
+
+
 def power_spectra(traces: DataFrame, keys: list[str]) -> DataFrame:
     kernel = lambda rt, mz, y: [{"frequency": k, "power": p} for k, p in enumerate(K.power_spectrum(y).tolist())]
     return by_trace(traces, keys, kernel, frequency=T.LongType(), power=T.DoubleType())

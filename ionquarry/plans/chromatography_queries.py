@@ -66,6 +66,49 @@ def trace_interpolated(points):
     return peaks.interpolate_gaps(traces(points), _KEYS)
 
 
+@query("signal")
+def profile_centroids(points):
+    """Centroids of each channel's sums over m/z as a profile."""
+    profile = points.groupBy("channel", "mz").agg(F.sum("intensity").alias("intensity"))
+    return peaks.centroids(profile, ["channel"]).withColumn("intensity", _r("intensity"))
+
+
+@query("signal")
+def trace_cross_correlation(points):
+    return peaks.cross_correlations(traces(points), ["channel"], 0.0, 24.0).withColumn("z", _r("z"))
+
+
+@query("signal")
+def group_peaks_older(points):
+    """Peaks assigned in the older order, by intensity and sample, without merging."""
+    return grouping.group_by_merged(_peaks(points), _tops(points), ["channel"], most=12.0, least_overlap=-1.0, order=grouping.OLDER_ORDER)
+
+
+@query("signal", """, c AS (SELECT sample_id, scan_id, scan_id % 3 <> 0 AS two, min(mz) AS precursor FROM signal GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY scan_id) AS n FROM c),
+  f AS (SELECT a.sample_id, a.scan_id, a.precursor, max(b.scan_id) AS full_scan FROM o a LEFT JOIN o b ON a.sample_id = b.sample_id AND NOT b.two AND b.n BETWEEN a.n - 50 AND a.n - 1 WHERE a.two GROUP BY 1, 2, 3)
+  SELECT f.sample_id, f.scan_id, f.full_scan, CASE WHEN f.full_scan IS NOT NULL THEN round(coalesce(max(CASE WHEN abs(p.mz - precursor) <= precursor * 0.001 THEN p.intensity END) / nullif(sum(p.intensity), 0), 0), 6) END AS purity
+  FROM f LEFT JOIN signal p ON p.sample_id = f.sample_id AND p.scan_id = f.full_scan AND abs(p.mz - precursor) <= 20 GROUP BY 1, 2, 3""")
+def isolation_purity(points):
+    """The precursor's share of its region in the last full scan; two of three scans stand for MS2."""
+    spectrum = F.array_sort(F.collect_list(F.struct("mz", "intensity")))
+    scans = points.groupBy("sample_id", "scan_id").agg(F.min("mz").alias("precursor_mz"), spectrum.alias("spectrum")).withColumn("mslevel", F.when(F.col("scan_id") % 3 != 0, 2).otherwise(1))
+    return identification.isolation_purity(scans, 20.0, 1000.0).withColumn("purity", _r("purity"))
+
+
+@query("signal")
+def qqq_chain(points):
+    """Filter lines to transitions, traces, peaks, groups, blanks and representatives, in one."""
+    lines = points.withColumn("filter_line", F.concat(F.lit("- SRM ms2 "), (100 + F.length("channel")).cast("string"), F.lit(" [79.5-80.5] name="), F.col("channel")))
+    found = targeted.transitions(lines).select("filter_line", F.col("name").alias("compound"))
+    held = traces(points).join(found, F.col("channel") == F.col("compound"))
+    picked = peaks.pick_peaks(held, ["compound", "sample_id"], Picking(drop_top=60)).select("compound", "sample_id", "pos", "rt", "rtmin", "rtmax", "mz", "intensity", "area", "area_top", "area_corrected", "area_fractional", "no_noise", "signal_to_noise")
+    tops = peaks.pick_peaks(grouping.merged_eic(held, ["compound"]), ["compound"], Picking(drop_top=60)).select("compound", "pos", "rt", "rtmin", "rtmax", "intensity")
+    grouped = grouping.group_by_merged(picked, tops, ["compound"], most=24.0).withColumn("is_blank", F.col("sample_id") % 5 == 0)
+    kept = targeted.filtered_groups(grouped, ["compound", "group_id"], 1.0, ["view"])
+    table = grouping.group_statistics(kept, ["compound"], F.col("is_blank")).select("compound", F.concat_ws("/", "compound", "group_id").alias("group_id"), "rt", F.col("max_intensity").alias("intensity"))
+    return targeted.rolled_up(table.withColumns({"category": F.col("compound"), "transition_kind": F.lit("quant")}), 48.0)
+
+
 @query("signal")
 def trace_power(points):
     return peaks.power_spectra(traces(points), _KEYS).withColumn("power", _r("power", 3))
