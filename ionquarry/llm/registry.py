@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from ionquarry.llm import decontaminate, language_id, license_scan, minhash, mixing, spotsigs, suffix_dedup, toxicity, url_filter, warc
 from ionquarry.llm.common import table
 
@@ -51,6 +50,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # stands at the repository's top, and itself uses this subpackage
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -62,7 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
     "op3_url_filters": url_filter.ORACLE_SQL,
