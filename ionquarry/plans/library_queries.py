@@ -16,11 +16,12 @@ from ionquarry.plans.queries import _r, query
 from ionquarry.plans.spectrum_queries import with_peaks
 from ionquarry.sources import codecs, text_files
 
-_SIZE = F.col("expected_rt").cast("int")
+def _size() -> Column:
+    return F.col("expected_rt").cast("int")
 
 
 def _formula() -> Column:
-    return F.concat(F.lit("C"), _SIZE.cast("string"), F.lit("H"), (2 * _SIZE + 2).cast("string"), F.lit("N2O3S"))
+    return F.concat(F.lit("C"), _size().cast("string"), F.lit("H"), (2 * _size() + 2).cast("string"), F.lit("N2O3S"))
 
 
 _MASS = f"(n * 12.0::DOUBLE + (2 * n + 2) * {chem.ELEMENTS['H']!r} + 2 * {chem.ELEMENTS['N']!r} + 3 * {chem.ELEMENTS['O']!r} + {chem.ELEMENTS['S']!r})"
@@ -65,7 +66,7 @@ def isotope_neutrons(rows):
   FROM (SELECT DISTINCT CAST(expected_rt AS INT) AS n FROM library), (SELECT CAST(unnest(range(3)) AS INT) AS c), (SELECT CAST(unnest(range(3)) AS INT) AS k) WHERE c <= n""")
 def isotope_labels(rows):
     """All counts of up to two 13C and two 15N, by binomial abundance."""
-    held = rows.select(_SIZE.alias("size"), _formula().alias("formula")).distinct()
+    held = rows.select(_size().alias("size"), _formula().alias("formula")).distinct()
     each = held.select("size", F.explode(I.isotopes_of(F.col("formula"), F.lit("[M]"), {"C": 2, "N": 2})).alias("i"))
     count = lambda mark: F.coalesce(F.regexp_extract("i.name", rf"\[{mark}\](\d+)", 1).try_cast("int"), F.lit(0))
     return each.select("size", count("13C").alias("c"), count("15N").alias("k"), _r("i.abundance", 9).alias("abundance"))
