@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ionquarry.llm import bytesops as B
-from ionquarry.llm.common import cut
+from ionquarry.llm.common import ASCII_LOWER, ASCII_UPPER, cut
 
 #: Bytes of item text in one broadcast set. More items are searched for in further sets, one scan step each.
 BLOCK_BYTES = 4 << 20
@@ -156,3 +156,17 @@ def leak_report(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     found = find_leaks(docs.select("doc_id", "text"), items, n)
     n_hit = F.size("hit_words").cast("long")
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+_LISTED = rf"regexp_extract_all(translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: The report's rows: windows of items joined with windows of the same number of words of documents.
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_LISTED} AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_LISTED} AS w FROM benchmark),
+g AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, least(10, len(w)) AS n FROM b WHERE len(w) > 0))),
+h AS (SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d JOIN (SELECT DISTINCT n FROM g) ON len(w) >= n)),
+f AS (SELECT rid, i, h.n, item FROM h JOIN g ON h.n = g.n AND h.gram = g.gram),
+c AS (SELECT rid, count(DISTINCT place) AS hit FROM (SELECT rid, unnest(range(i, i + n)) AS place FROM f) GROUP BY 1),
+t AS (SELECT rid, count(*) AS items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT rid, item FROM f) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit, 0) AS n_hit, coalesce(items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)"""

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionquarry.llm import bytesops as B
-from ionquarry.llm.common import chosen_name, cut, text_halves
+from ionquarry.llm.common import ASCII_LOWER, ASCII_UPPER, chosen_name, cut, text_halves
 from ionquarry.llm.components import components
 
 #: Words in a shingle; bands and rows of the signature. At a similarity of 0.8, all bands miss once in 300,000 pairs.
@@ -221,3 +221,14 @@ def dedup_report(docs: DataFrame, percent: int = 85) -> DataFrame:
     found = classes(docs.select("doc_id", "text"), percent=percent)
     kept: Column = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
+
+
+#: The report's rows by all pairs that share a shingle, and all texts that their links reach; for small tables.
+ORACLE_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS size FROM s GROUP BY 1),
+e AS (SELECT u, v FROM (SELECT a.rid AS u, b.rid AS v, count(*) AS shared FROM s a JOIN s b ON a.gram = b.gram AND a.rid <> b.rid GROUP BY 1, 2) JOIN n x ON x.rid = u JOIN n y ON y.rid = v WHERE 100 * shared >= 85 * (x.size + y.size - shared)),
+r AS (SELECT rid, rid AS other FROM d UNION SELECT r.rid, e.v FROM r JOIN e ON e.u = r.other),
+m AS (SELECT r.rid, min(o.doc_id) AS least FROM r JOIN d o ON o.rid = r.other GROUP BY 1)
+SELECT doc_id, coalesce(size, 0) AS n_shingles, least AS component_id, doc_id = least AS kept FROM d JOIN m USING (rid) LEFT JOIN n USING (rid)"""

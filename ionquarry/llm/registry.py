@@ -70,6 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
+    "op1_decontaminate": decontaminate.ORACLE_SQL,
+    "op2_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op3_url_filters": url_filter.ORACLE_SQL,
+    "op4_minhash": minhash.ORACLE_SQL,
     "op8_warc_revisits": warc.ORACLE_SQL,
 }

@@ -305,3 +305,17 @@ def removal_report(docs: DataFrame, length: int = LENGTH, **options) -> DataFram
     count; an empty table gives an empty one.
     """
     return repeated_spans(docs.select("doc_id", "text"), length, **options).mapInArrow(_digest(length), _REPORT)
+
+
+#: The report's rows by the digests of all windows; for small tables.
+ORACLE_SQL = f"""
+WITH d AS (SELECT *, octet_length(b) AS n FROM (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents)),
+w AS (SELECT rid, i, md5(array_slice(b, i, i + {LENGTH - 1})) AS h FROM (SELECT rid, b, unnest(range(1, n - {LENGTH} + 2)) AS i FROM d WHERE n >= {LENGTH})),
+t AS (SELECT rid, i FROM w JOIN (SELECT h FROM w GROUP BY 1 HAVING count(*) > 1) USING (h)),
+g AS (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) > {LENGTH} THEN 1 ELSE 0 END AS fresh FROM t)),
+r AS (SELECT rid, min(i) AS a, max(i) + {LENGTH} AS z FROM g GROUP BY rid, k),
+p AS (SELECT rid, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 1) AS x, a - 1 AS y FROM r UNION ALL SELECT r.rid, max(z), any_value(n) FROM r JOIN d ON d.rid = r.rid GROUP BY 1),
+k AS (SELECT rid, string_agg(hex(array_slice(b, x, y)), '' ORDER BY x) AS kept FROM p JOIN d USING (rid) WHERE y >= x GROUP BY 1),
+c AS (SELECT rid, CAST(sum(z - a) AS BIGINT) AS removed, count(*) AS spans FROM r GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, CASE WHEN spans IS NULL THEN sha256(b) ELSE sha256(unhex(coalesce(kept, ''))) END AS kept_sha256
+FROM d LEFT JOIN c USING (rid) LEFT JOIN k USING (rid)"""
