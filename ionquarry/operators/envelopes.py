@@ -49,6 +49,36 @@ def correlated_extraction(windows: DataFrame, points: DataFrame, parent: str = "
     return extracted(windows, points).join(kept.drop("_r"), ["group_id", "isotope", "sample_id"], "left_semi")
 
 
+def near_apex(windows: DataFrame, parents: DataFrame, points: DataFrame, most_error: float | None = None, parent: str = "C12 PARENT", scans: int = 3) -> DataFrame:
+    """(group_id, isotope, sample_id, rt, intensity): of each parent peak's isotopes the highest point within ``scans`` scans of its apex.
+
+    ``parents``: group_id, sample_id, scan_id, intensity; ``windows`` has abundance beside proportion where ``most_error`` is
+    given: then isotopes too rare to see (abundance below 1e-8, or less than 1 of the parent's intensity), and those whose
+    observed share is off by more than so many percent, are left out, but for the parent. The last scan does not count.
+    """
+    listed = windows.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("mzmin") * 10), F.floor(F.col("mzmax") * 10)))).drop("mz", "rtmin", "rtmax")
+    apex = parents.select("group_id", "sample_id", F.col("scan_id").alias("_apex"), F.col("intensity").alias("_parent"))
+    wanted = apex.join(listed, "group_id")
+    own = points.withColumn("_bin", F.floor(F.col("mz") * 10))
+    near = own.join(wanted, ["sample_id", "_bin"]).filter(f"mz BETWEEN mzmin AND mzmax AND scan_id >= _apex - {scans} AND scan_id < _apex + {scans}")
+    order = Window.partitionBy("group_id", "isotope", "sample_id", "_apex").orderBy(F.desc("intensity"), "scan_id", "mz")
+    best = near.withColumn("_r", F.row_number().over(order)).filter("_r = 1")
+    if most_error is not None:
+        seen = F.col("intensity") / (F.col("_parent") + F.col("intensity"))
+        error = F.abs(seen - F.col("abundance")) / F.col("abundance") * 100
+        rare = (F.col("abundance") < 1e-8) | (F.col("abundance") * F.col("_parent") < 1)
+        best = best.filter((F.col("isotope") == parent) | (~rare & (error <= most_error)))
+    return best.select("group_id", "isotope", "sample_id", "rt", "intensity")
+
+
+def nearest_peaks(found: DataFrame, peaks: DataFrame, most: float) -> DataFrame:
+    """Of each isotope found (group_id, isotope, sample_id, rt) the closest of its trace's picked ``peaks``, at most ``most`` away."""
+    keys = ["group_id", "isotope", "sample_id"]
+    near = found.select(*keys, F.col("rt").alias("_rt")).join(peaks, keys).filter(F.abs(F.col("rt") - F.col("_rt")) <= most)
+    order = Window.partitionBy(*keys).orderBy(F.abs(F.col("rt") - F.col("_rt")), "rt")
+    return near.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r", "_rt")
+
+
 def corrected(quant: DataFrame, windows: DataFrame, parent: str = "C12 PARENT") -> DataFrame:
     """``quant`` with corrected: intensity less what the parent's natural abundance explains, 0 at least."""
     share = windows.select("group_id", "isotope", "proportion")

@@ -1,4 +1,4 @@
-"""Spectra in mzML, mzXML and mzData files, read as scans through Spark's own file reader, so from any store it reaches.
+"""Spectra in mzML, mzXML, mzData and SQLite files, read as scans through Spark's own file reader, so from any store it reaches.
 
 One row for each scan, in the schema ``SCANS``: rt in minutes, spectra in order of m/z, points without intensity left out of
 mzXML. A file is parsed as a stream by one task (Spark's binary reader takes files of up to 2 GB; split larger ones). Files
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import re
+import sqlite3
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -159,12 +160,28 @@ def mzdata(data: bytes, sample: str) -> Iterator[dict]:
         yield _row(sample, int(element.get("id", "0")), mslevel=level, rt=rt, precursor_mz=precursor, polarity=polarity, mz=arrays[0][order].tolist(), intensity=arrays[1][order].tolist())
 
 
-PARSERS = {"mzml": mzml, "mzxml": mzxml, "mzdata": mzdata}
-
-
 def kind_of(path: str) -> str:
     """The format that the file's name holds; mzXML where it holds none."""
-    return next((k for k in ("mzdata", "mzxml", "mzml") if k in path.rpartition("/")[2].lower()), "mzxml")
+    return next((k for k in ("mzdata", "mzxml", "mzml", "sqlite") if k in path.rpartition("/")[2].lower()), "mzxml")
+
+
+def sqlite(data: bytes, sample: str) -> Iterator[dict]:
+    """Scans of an SQLite file of spectra (tables msScan and msScanData), read from memory; blobs hold doubles and floats, deflated or not."""
+    base = sqlite3.connect(":memory:")
+    base.deserialize(data)
+    sql = "SELECT startScanNumber, level, retentionTime, precursorMZ, peakCount, peakMZ, peakIntensity FROM msScan JOIN msScanData ON msScan.id = scanID ORDER BY msScan.id"
+    for scan, level, rt, precursor, count, mz, y in base.execute(sql):
+        arrays = []
+        for blob, kind in ((mz, "<f8"), (y, "<f4")):
+            raw = blob or b""
+            raw = raw if len(raw) == (count or 0) * int(kind[-1]) else codecs.zlib.decompress(raw)
+            arrays.append(np.frombuffer(raw, kind).astype(float))
+        order = np.argsort(arrays[0], kind="stable")
+        yield _row(sample, scan, mslevel=level, rt=rt, precursor_mz=precursor if precursor and precursor > 0 else None, polarity=0, mz=arrays[0][order].tolist(), intensity=arrays[1][order].tolist())
+    base.close()
+
+
+PARSERS = {"mzml": mzml, "mzxml": mzxml, "mzdata": mzdata, "sqlite": sqlite}
 
 
 def read_scans(spark: SparkSession, path: str, mslevel: int | None = None) -> DataFrame:

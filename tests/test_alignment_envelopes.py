@@ -76,3 +76,16 @@ def test_centroids_of_a_table(spark):
     rows = [("s", 500 + k / 100, 100 * 2.718281828 ** (-0.5 * ((k - 40) / 4) ** 2)) for k in range(100)]
     got = peaks.centroids(spark.createDataFrame(rows, "id string, mz double, intensity double"), ["id"]).filter(F.col("intensity") > 1).collect()
     assert [(x.mz, round(x.intensity)) for x in got] == [(500.4, 100)] and K.centroided is not None
+
+
+def test_isotopes_near_the_apex(spark):
+    windows = spark.createDataFrame([(1, "C12 PARENT", 100.0, 99.99, 100.01, 0.9, 1.0), (1, "x", 101.0, 100.99, 101.01, 0.1, 0.11), (1, "rare", 102.0, 101.99, 102.01, 1e-9, 1e-9)], "group_id long, isotope string, mz double, mzmin double, mzmax double, abundance double, proportion double").withColumns({"rtmin": F.lit(0.0), "rtmax": F.lit(9.0)})
+    parents = spark.createDataFrame([(1, 5, 10, 100.0)], "group_id long, sample_id long, scan_id long, intensity double")
+    rows = [(5, 10, 1.0, 100.0, 100.0), (5, 9, 0.9, 101.0, 11.0), (5, 12, 1.2, 101.0, 10.0), (5, 13, 1.3, 101.0, 99.0), (5, 10, 1.0, 102.0, 1.0), (6, 10, 1.0, 101.0, 500.0)]
+    points = spark.createDataFrame(rows, "sample_id long, scan_id long, rt double, mz double, intensity double")
+    got = {x.isotope: (x.rt, x.intensity) for x in envelopes.near_apex(windows, parents, points).collect()}
+    assert got == {"C12 PARENT": (1.0, 100.0), "x": (0.9, 11.0), "rare": (1.0, 1.0)}
+    strict = envelopes.near_apex(windows, parents, points, 20.0)
+    assert {x.isotope for x in strict.collect()} == {"C12 PARENT", "x"} and {x.isotope for x in envelopes.near_apex(windows, parents, points, 0.1).collect()} == {"C12 PARENT"}
+    peaks = spark.createDataFrame([(1, "x", 5, 0.8, 7.0), (1, "x", 5, 0.95, 9.0), (1, "x", 5, 5.0, 1.0)], "group_id long, isotope string, sample_id long, rt double, area double")
+    assert [x.area for x in envelopes.nearest_peaks(strict, peaks, 0.2).collect()] == [9.0] and envelopes.nearest_peaks(strict, peaks, 0.01).count() == 0

@@ -1,6 +1,7 @@
 """Files written and read again; codecs; text parsers."""
 
 import random
+import sqlite3
 import zlib
 
 import numpy as np
@@ -55,6 +56,19 @@ def test_mzxml_and_mzdata(spark, tmp_path):
     assert [(x["scan_id"], x["rt"], x["polarity"], x["mz"], x["intensity"]) for x in xml_files.mzdata(text.encode(), "s")] == [(4, 2.5, 1, [1.0, 2.0], [9.0, 8.0])]
 
 
+def test_sqlite(spark, tmp_path):
+    base = sqlite3.connect(tmp_path / "run.sqlite")
+    base.execute("CREATE TABLE msScan(id INTEGER PRIMARY KEY, startScanNumber INTEGER, level INTEGER, precursorMZ REAL, retentionTime REAL, peakCount INTEGER)")
+    base.execute("CREATE TABLE msScanData(scanID INTEGER, peakMZ BLOB, peakIntensity BLOB)")
+    mz, y = np.array([200.0, 100.0]).tobytes(), np.array([2.0, 1.0], "<f4").tobytes()
+    base.executemany("INSERT INTO msScan VALUES (?, ?, ?, ?, ?, ?)", [(1, 10, 1, 0.0, 0.5, 2), (2, 11, 2, 500.5, 0.6, 2), (3, 12, 1, None, 0.7, 0)])
+    base.executemany("INSERT INTO msScanData VALUES (?, ?, ?)", [(1, mz, y), (2, zlib.compress(mz), zlib.compress(y)), (3, b"", None)])
+    base.commit()
+    base.close()
+    got = sorted(xml_files.read_scans(spark, str(tmp_path / "run.sqlite")).collect(), key=lambda x: x.scan_id)
+    assert [(x.scan_id, x.mslevel, x.rt, x.precursor_mz, x.mz, x.intensity) for x in got] == [(10, 1, 0.5, None, [100.0, 200.0], [1.0, 2.0]), (11, 2, 0.6, 500.5, [100.0, 200.0], [1.0, 2.0]), (12, 1, 0.7, None, [], [])]
+
+
 def test_samples_points_and_precursors(spark):
     table = {x.sample: x for x in xml_files.sample_table(scans(spark)).collect()}
     assert (table["a"].sample_id, table["a"].is_blank, table["a"].mzmin, table["a"].mzmax) == (0, False, 100.0, 300.25)
