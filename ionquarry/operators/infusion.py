@@ -221,9 +221,9 @@ def ms3_matches(library: DataFrame, peaks: DataFrame, ppm1: float, ppm2: float,
 def ms3_summary(matches: DataFrame, scans: DataFrame, least_scans: int, least_fraction: float, how: str = "median") -> DataFrame:
     """(compound, fragments, intensity): the fragments that enough of a group's scans hold, and the sum of their mean or median intensity."""
     f = {"mean": F.avg, "median": F.median}[how]
-    total = scans.agg(F.count_distinct("scan_id").alias("_all"))
+    total = scans.agg(F.count_distinct("scan_id")).scalar()  # one number, as a subquery
     per = matches.groupBy("compound", "fragment").agg(F.count_distinct("scan_id").alias("_n"), f("intensity").alias("_i"))
-    kept = per.join(F.broadcast(total)).filter((F.col("_n") >= least_scans) & (F.col("_n") >= least_fraction * F.col("_all")))
+    kept = per.filter((F.col("_n") >= least_scans) & (F.col("_n") >= least_fraction * total))
     return kept.groupBy("compound").agg(F.count(F.lit(1)).alias("fragments"), F.sum("_i").alias("intensity"))
 
 

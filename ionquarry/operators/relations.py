@@ -25,13 +25,12 @@ def related_groups(groups: DataFrame, peaks: DataFrame, most_rt: float, least_ov
     shared = F.least("a1", "b1") - F.greatest("a0", "b0")
     near = a.join(b, "_bin").filter((F.col("one") < F.col("other")) & (F.abs(F.col("r1") - F.col("r2")) <= width) & (shared >= least_overlap * (F.greatest("a1", "b1") - F.least("a0", "b0")))).select("one", "other")
     top = peaks.groupBy("group_id", "sample_id").agg(F.max("intensity").alias("y"))
-    samples = peaks.agg(F.count_distinct("sample_id").alias("n"))
+    n = peaks.agg(F.count_distinct("sample_id")).scalar()  # one number, as a subquery
     sums = top.groupBy("group_id").agg(F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
     x, y = top.select(F.col("group_id").alias("one"), "sample_id", F.col("y").alias("x")), top.select(F.col("group_id").alias("other"), "sample_id", F.col("y").alias("z"))
     joint = near.join(x, "one").join(y, ["other", "sample_id"]).groupBy("one", "other").agg(F.sum(F.col("x") * F.col("z")).alias("p"))
     of = lambda c, k: sums.select(F.col("group_id").alias(c), F.col("s").alias(f"s{k}"), F.col("q").alias(f"q{k}"))
-    held = joint.join(of("one", 1), "one").join(of("other", 2), "other").join(F.broadcast(samples))
-    n = F.col("n")
+    held = joint.join(of("one", 1), "one").join(of("other", 2), "other")
     spread = F.sqrt(F.greatest(F.col("q1") * n - F.col("s1") * F.col("s1"), F.lit(0.0)) * F.greatest(F.col("q2") * n - F.col("s2") * F.col("s2"), F.lit(0.0)))
     r = F.when(spread > 1e-9, (F.col("p") * n - F.col("s1") * F.col("s2")) / spread).otherwise(0.0)
     return held.select("one", "other", r.alias("correlation")).filter(F.col("correlation") >= least_correlation)
