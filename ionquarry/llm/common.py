@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Of small columns.
-ROWS_A_FILE = 200_000
+ROWS_A_FILE, FILES_A_CORE = 200_000, 4
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -23,16 +23,19 @@ def shared_folder(spark: SparkSession) -> str:
     raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
 
 
-def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None, small: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read again.
 
     It ends the lineage: what follows survives the loss of executors without computing ``df`` again, and reads only the
-    columns it needs. ``rows``: as many rows at most are known to come; few of them go to few files. The folder is left
-    to the cluster's clean-up of its checkpoint directory.
+    columns it needs. ``rows``: as many rows at most are known to come; few of them go to few files. ``small``: the table is
+    far smaller than what it is made of, and goes to ``FILES_A_CORE`` files for each core at most, not to one for each
+    partition. The folder is left to the cluster's clean-up of its checkpoint directory.
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(1 + rows // ROWS_A_FILE)
+    elif small:
+        df = df.coalesce(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

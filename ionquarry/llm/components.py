@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     star is reduced by a map-side minimum and joined back, so that no task holds a whole star. Nodes of any orderable
     type; loops, repeated edges and nulls are left out, and only nodes with an edge to another are returned.
     """
-    edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), small=True)
     rows, before = edges.count(), None
     for _ in range(MOST_ROUNDS):
         both = edges.union(edges.select(F.col("v"), F.col("u")))

@@ -155,20 +155,20 @@ def links(docs: DataFrame, percent: int = 80, n: int = SHINGLE, bands: int = BAN
     keyed = _keyed(docs, text_col)
     # equal texts meet as small rows, one for each task, before anything else
     once = keyed.mapInArrow(_features(n, bands, rows), _FEATURES).groupBy("t1", "t2").agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    features = cut(once.withColumn("node", F.monotonically_increasing_id()))
+    features = cut(once.withColumn("node", F.monotonically_increasing_id()), small=True)
     nodes = features.select("node", "t1", "t2", "n_shingles")
     entries = features.filter("bands IS NOT NULL").select("node", F.explode("bands").alias("band"))
     least = entries.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("band", "first")
-    members = cut(entries.join(least, "band").filter("node <> first"))
+    members = cut(entries.join(least, "band").filter("node <> first"), small=True)
     star = members.select(F.col("first").alias("u"), F.col("node").alias("v")).distinct()
     wanted = members.select("node").union(members.select("first")).distinct().join(nodes, "node").select("node", "t1", "t2")
     texts = keyed.groupBy("t1", "t2").agg(F.first("text").alias("text"))
-    sets = cut(texts.join(wanted, ["t1", "t2"]).select("node", "text").mapInArrow(_sets(n), _SETS))
+    sets = cut(texts.join(wanted, ["t1", "t2"]).select("node", "text").mapInArrow(_sets(n), _SETS), small=True)
     roots = components(linked(star, sets, percent))
     rooted = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     open_ = rooted.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band")
-    crowd = cut(rooted.join(open_, "band", "left_semi"))
-    ranked = cut(ranked_shingles(crowd.select("node").distinct(), sets))
+    crowd = cut(rooted.join(open_, "band", "left_semi"), small=True)
+    ranked = cut(ranked_shingles(crowd.select("node").distinct(), sets), small=True)
     own = ranked.groupBy("node").agg((F.max("place") + 1 - F.count(F.lit(1))).alias("own"))
     usual = crowd.join(own, "node")
     pivots = _pivots(usual, F.struct("own", "node", "root"))

@@ -191,12 +191,12 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, s
     stretches = cut(texts.join(listed, "tid").select("tid", "text", "found").mapInArrow(_cut_stretches(length), _STRETCHES))
     runs, width = None, length - gram + 1
     while True:
-        distinct = cut(_distinct(stretches.withColumn("held", F.lit(1).cast("long"))))
+        distinct = cut(_distinct(stretches.withColumn("held", F.lit(1).cast("long"))), small=True)
         # all windows of a stretch that stands twice are repeated, and one of its places stands for all of them
         multiple = distinct.filter("held > 1").select("anchor", "digest", (F.octet_length("bytes") - length).alias("more"))
         whole = stretches.join(multiple, ["anchor", "digest"]).select("tid", "first", (F.col("first") + F.col("more")).alias("last"))
         load = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("bytes")).alias("size")).filter("n > 1")
-        load = cut(load)
+        load = cut(load, small=True)
         large = F.col("size") > shard_bytes // 2  # so that a shard that hash deals little too much stays small
         fit, left = load.agg(F.sum(F.when(~large, F.col("size"))), F.count_if(large)).first()
         shards = max(1, (fit or 0) // shard_bytes)
@@ -210,7 +210,7 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, s
         width = (width + 1) // 2
         # a stretch that stands twice goes on for the others' sake; its own windows are known
         crowd = distinct.join(load.filter(large).select("anchor"), "anchor", "left_semi").select("tid", "anchor", "place", "first", "bytes")
-        stretches = cut(crowd.mapInArrow(_parted(length, gram, width), _STRETCHES))
+        stretches = cut(crowd.mapInArrow(_parted(length, gram, width), _STRETCHES), small=True)
 
 
 def _spans(found: list[dict] | None, copies: int, size: int, length: int) -> list[tuple[int, int]]:
