@@ -37,15 +37,18 @@ def extracted_ions(points: DataFrame, windows: DataFrame, mslevel: int | None =
         points = points.filter(F.col("rt").between(*rt))
     listed = windows.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("mzmin") / bin_width), F.floor(F.col("mzmax") / bin_width))))
     found = points.select("sample_id", "scan_id", "mz", "intensity", F.floor(F.col("mz") / bin_width).alias("_bin")).join(listed, "_bin").filter("mz BETWEEN mzmin AND mzmax")
-    best = found.groupBy("sample_id", "scan_id", "window_id").agg(F.max(F.struct("intensity", (-F.col("mz")).alias("neg"))).alias("b"))
-    scans = points.groupBy("sample_id", "scan_id").agg(F.min("mz").alias("_lo"), F.max("mz").alias("_hi"))
+    by = ["sample_id", "scan_id"]
+    # dealt out by scan once: the windows of a scan, and the scan itself, meet without a further shuffle
+    best = found.select(*by, "window_id", "mz", "intensity").repartition(*by).groupBy(*by, "window_id").agg(F.max(F.struct("intensity", (-F.col("mz")).alias("neg"))).alias("b"))
+    held = best.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("window_id", "b"))).alias("_m"))
+    scans = points.groupBy(*by).agg(F.min("mz").alias("_lo"), F.max("mz").alias("_hi")).join(held, by, "left")
     ranges = F.array(*[F.struct(F.lit(w["window_id"]).alias("window_id"), F.lit(float(w["mzmin"])).alias("a"), F.lit(float(w["mzmax"])).alias("b")) for w in small_rows(windows)])
     grid = scans.withColumn("_w", F.explode(ranges))
     if mslevel == 1:
         grid = grid.filter("_hi >= _w.a AND _lo <= _w.b")
-    dense = grid.select("sample_id", "scan_id", F.col("_w.window_id").alias("window_id")).join(best, ["sample_id", "scan_id", "window_id"], "left")
+    own = F.try_element_at("_m", F.col("_w.window_id"))
     factor = F.lit(1.0) if not scale else F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in scale.items() for x in pair]), F.col("sample_id")), F.lit(1.0))
-    return dense.select("sample_id", "scan_id", "window_id", (F.coalesce("b.intensity", F.lit(0.0)) * factor).alias("intensity"), (-F.col("b.neg")).alias("mz"))
+    return grid.select(*by, F.col("_w.window_id").alias("window_id"), (F.coalesce(own["intensity"], F.lit(0.0)) * factor).alias("intensity"), (-own["neg"]).alias("mz"))
 
 
 def extracted_top(points: DataFrame, by: list[str]) -> DataFrame:
