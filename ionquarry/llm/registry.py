@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ionquarry.llm import decontaminate, language_id, license_scan, minhash, mixing, spotsigs, suffix_dedup, toxicity, url_filter, warc
+from ionquarry.llm import decontaminate, fim, language_id, license_scan, minhash, mixing, packing, search, spotsigs, suffix_dedup, toxicity, url_filter, warc
 from ionquarry.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # stands at the repository's top, and itself uses this subpackage
 
@@ -67,6 +79,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_fill_in_middle": op13_fill_in_middle,
     "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
@@ -75,4 +90,6 @@ ORACLES: dict[str, str] = {
     "op3_url_filters": url_filter.ORACLE_SQL,
     "op4_minhash": minhash.ORACLE_SQL,
     "op8_warc_revisits": warc.ORACLE_SQL,
+    "op11_ranked_search": search.ORACLE_SQL,
+    "op13_fill_in_middle": fim.ORACLE_SQL,
 }
