@@ -1,34 +1,17 @@
-"""Slices of m/z and retention time: made of points or precursors, merged, looked up.
-
-Slices that could touch share an island: a run of m/z without a gap as wide as the tolerance. Order-dependent steps run
-island by island, so their cost follows the densest stretch of m/z, not the table.
-"""
+"""Slices of m/z and retention time: made of points or precursors, merged, looked up."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-SLICE = "mzmin double, mzmax double, rtmin double, rtmax double, mz double, rt double, ion_count double"
+from ionquarry.operators.boxes import BOX as SLICE
+from ionquarry.operators.boxes import merge_boxes
 
-
-def mz_islands(rows: DataFrame, reach: Column, low: str = "mzmin", high: str = "mzmax") -> DataFrame:
-    """``rows`` with island: a number that grows where m/z has a gap of more than ``reach``.
-
-    The order over all m/z is taken in two steps, within bins of 1 Da and over the bins' small table.
-    """
-    bin_ = F.floor(low)
-    own = Window.partitionBy("_bin").orderBy(low, high)
-    held = rows.withColumn("_bin", bin_).withColumn("_top", F.max(high).over(own.rowsBetween(Window.unboundedPreceding, -1)))
-    tops = held.groupBy("_bin").agg(F.max(high).alias("_end"))
-    before = tops.select("_bin", F.max("_end").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    held = held.join(before, "_bin").withColumn("_fresh", (F.col(low) - F.coalesce(F.greatest("_top", "_before"), F.lit(float("-inf"))) > reach).cast("long"))
-    counted = held.withColumn("_own", F.sum("_fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    sums = counted.groupBy("_bin").agg(F.sum("_fresh").alias("_n"))
-    base = sums.select("_bin", F.coalesce(F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    return counted.join(base, "_bin").withColumn("island", F.col("_base") + F.col("_own")).drop("_bin", "_top", "_before", "_fresh", "_own", "_base")
+_SLICE = [c.split()[0] for c in SLICE.split(", ")]
 
 
 def overlaps(a: str = "a", b: str = "b") -> Column:
@@ -44,33 +27,9 @@ def same_bounds(a: str = "a", b: str = "b", error: float = 1e-6) -> Column:
     return out
 
 
-def _absorbed(slices: list[dict], ppm: float) -> list[dict]:
-    """Later slices take in earlier ones that they overlap, until none do."""
-    slices = sorted(slices, key=lambda s: (s["mz"], s["rt"], s["mzmin"], s["rtmin"]))
-    changed = True
-    while changed:
-        changed, gone = False, [False] * len(slices)
-        for i, a in enumerate(slices):
-            for j in range(i + 1, len(slices)):
-                b = slices[j]
-                if b["mzmin"] > a["mzmax"] and (b["mz"] - a["mz"]) / a["mz"] * 1e6 > ppm:
-                    break
-                if not gone[j] and min(a["mzmax"], b["mzmax"]) > max(a["mzmin"], b["mzmin"]) and min(a["rtmax"], b["rtmax"]) > max(a["rtmin"], b["rtmin"]):
-                    b |= {"mzmin": min(a["mzmin"], b["mzmin"]), "mzmax": max(a["mzmax"], b["mzmax"]), "rtmin": min(a["rtmin"], b["rtmin"]), "rtmax": max(a["rtmax"], b["rtmax"]), "ion_count": max(a["ion_count"], b["ion_count"])}
-                    b |= {"mz": (b["mzmin"] + b["mzmax"]) / 2, "rt": (b["rtmin"] + b["rtmax"]) / 2}
-                    gone[i] = changed = True
-                    break
-        slices = sorted((s for s, g in zip(slices, gone, strict=True) if not g), key=lambda s: (s["mz"], s["rt"], s["mzmin"], s["rtmin"]))
-    return slices
-
-
-def merge_slices(slices: DataFrame, ppm: float) -> DataFrame:
-    """Slices of which no two overlap: of those that do, the later in m/z takes in the earlier, again and again."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_absorbed(group[[c.split()[0] for c in SLICE.split(", ")]].to_dict("records"), ppm), columns=[c.split()[0] for c in SLICE.split(", ")])
-
-    return mz_islands(slices, F.col("mzmin") * ppm / 1e6).groupBy("island").applyInPandas(run, SLICE)
+def merge_slices(slices: DataFrame) -> DataFrame:
+    """Slices of which no two overlap: those that do become their common bounds, again and again; see ``boxes.merge_boxes``."""
+    return merge_boxes(slices)
 
 
 def around_points(points: DataFrame, ppm: float, rt_window: float) -> DataFrame:
@@ -79,46 +38,60 @@ def around_points(points: DataFrame, ppm: float, rt_window: float) -> DataFrame:
     return points.select((F.col("mz") - width).alias("mzmin"), (F.col("mz") + width).alias("mzmax"), (F.col("rt") - 2 * rt_window).alias("rtmin"), (F.col("rt") + 2 * rt_window).alias("rtmax"), "mz", "rt", F.col("intensity").cast("double").alias("ion_count"))
 
 
-def _gathered(points: list[tuple[float, float, float]], ppm: float, rt_window: float, first_wins: bool) -> list[dict]:
-    """Slices of points (mz, rt, intensity) in order: a point in a slice widens it, or (first wins) leaves it; others open one."""
-    held: dict[int, list[dict]] = {}
-    out = []
-    for mz, rt, y in points:
-        inside = [s for s in held.get(int(mz * 10), []) if s["mzmin"] <= mz <= s["mzmax"] and s["rtmin"] <= rt <= s["rtmax"]]
-        if inside:
-            if first_wins:
-                continue
+class _Open:
+    """The slices of a tenth of a Da that points to come, by rising rt, can still fall into."""
+
+    def __init__(self, ppm: float, rt_window: float, first_wins: bool) -> None:
+        self.ppm, self.reach, self.first_wins, self.held = ppm / 1e6, 2 * rt_window, first_wins, []
+
+    def add(self, mz: float, rt: float, y: float) -> list[dict]:
+        """Takes a point in; returns the slices that end before it."""
+        gone = [s for s in self.held if s["rtmax"] < rt]
+        if gone:
+            self.held = [s for s in self.held if s["rtmax"] >= rt]
+        inside = [s for s in self.held if s["mzmin"] <= mz <= s["mzmax"] and s["rtmin"] <= rt]
+        low, high = mz * (1 - self.ppm), mz * (1 + self.ppm)
+        if not inside:
+            self.held.append({"mzmin": low, "mzmax": high, "rtmin": rt - self.reach, "rtmax": rt + self.reach, "mz": mz, "rt": rt, "ion_count": y})
+        elif not self.first_wins:
             s = min(inside, key=lambda s: (abs(s["mz"] - mz), abs(s["rt"] - rt)))
-            s |= {"rtmin": min(s["rtmin"], rt - 2 * rt_window), "rtmax": max(s["rtmax"], rt + 2 * rt_window), "ion_count": max(s["ion_count"], y)}
-            low, high = mz * (1 - ppm / 1e6), mz * (1 + ppm / 1e6)
+            s |= {"rtmin": min(s["rtmin"], rt - self.reach), "rtmax": max(s["rtmax"], rt + self.reach), "ion_count": max(s["ion_count"], y)}
             s |= {"mzmin": max(min(s["mzmin"], low), low), "mzmax": min(max(s["mzmax"], high), high)}
             s |= {"mz": (s["mzmin"] + s["mzmax"]) / 2, "rt": (s["rtmin"] + s["rtmax"]) / 2}
-        else:
-            s = {"mzmin": mz * (1 - ppm / 1e6), "mzmax": mz * (1 + ppm / 1e6), "rtmin": rt - 2 * rt_window, "rtmax": rt + 2 * rt_window, "mz": mz, "rt": rt, "ion_count": y}
-            held.setdefault(int(mz * 10), []).append(s)
-            out.append(s)
-    return out
+        return gone
 
 
 def slice_points(points: DataFrame, ppm: float, rt_window: float = 2.0, first_wins: bool = False) -> DataFrame:
-    """Slices that cover all ``points`` (mz, rt, intensity), made in order of rt, then m/z.
+    """Slices that cover all ``points`` (mz, rt, intensity), made in order of rt, then m/z, then intensity.
+
+    A point inside slices that were opened in its tenth of a Da widens the closest one, whose m/z bounds then follow the
+    point; with ``first_wins`` it adds nothing. Other points open a slice. Points without m/z or rt are left out.
 
-    A point inside slices of its tenth of a Da widens the closest one, whose m/z bounds then follow the point; with
-    ``first_wins`` it adds nothing. Other points open a slice. Islands of m/z are worked off by themselves.
+    Tenths of a Da don't touch each other. Each is read as a stream sorted by rt, in which a slice is sent on as soon as its
+    rt has passed: a task holds the open slices of one tenth, however many points that has. Their order makes the points of one tenth one
+    task's work.
     """
-    spread = points.select("mz", "rt", F.col("intensity").cast("double").alias("intensity"), (F.col("mz") * (1 - ppm / 1e6)).alias("mzmin"), (F.col("mz") * (1 + ppm / 1e6)).alias("mzmax"))
+    usable = points.filter("mz IS NOT NULL AND rt IS NOT NULL AND NOT isnan(mz) AND NOT isnan(rt)")
+    keyed = usable.select(F.floor(F.col("mz") * 10).alias("tenth"), F.col("mz").cast("double").alias("mz"), F.col("rt").cast("double").alias("rt"), F.coalesce(F.col("intensity").cast("double"), F.lit(0.0)).alias("intensity"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ordered = group.sort_values(["rt", "mz", "intensity"], kind="stable")
-        rows = list(ordered[["mz", "rt", "intensity"]].itertuples(index=False, name=None))
-        return pd.DataFrame(_gathered(rows, ppm, rt_window, first_wins), columns=[c.split()[0] for c in SLICE.split(", ")])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tenth, held, out = None, _Open(ppm, rt_window, first_wins), []
+        for batch in batches:
+            for key, mz, rt, y in batch.itertuples(index=False, name=None):
+                if key != tenth:
+                    out += held.held
+                    tenth, held = key, _Open(ppm, rt_window, first_wins)
+                out += held.add(mz, rt, y)
+            yield pd.DataFrame(out, columns=_SLICE)
+            out = []
+        yield pd.DataFrame(held.held, columns=_SLICE)
 
-    return mz_islands(spread, F.col("mzmin") * ppm / 1e6).groupBy("island").applyInPandas(run, SLICE)
+    return keyed.repartition("tenth").sortWithinPartitions("tenth", "rt", "mz", "intensity").mapInPandas(run, SLICE)
 
 
 def slice_precursors(scans: DataFrame, ppm: float, rt_window: float, merge: bool = True) -> DataFrame:
     """Slices around MS2 precursors (mz, rt, intensity): all merged to those that don't overlap, or the first of each place."""
-    return merge_slices(around_points(scans, ppm, rt_window), ppm) if merge else slice_points(scans, ppm, rt_window, first_wins=True)
+    return merge_slices(around_points(scans, ppm, rt_window)) if merge else slice_points(scans, ppm, rt_window, first_wins=True)
 
 
 def slice_filter_lines(scans: DataFrame) -> DataFrame:

@@ -51,21 +51,6 @@ def test_transitive_classes(spark):
     assert got == {1: 1, 2: 1, 3: 1, **dict.fromkeys(range(4, 10), 4)}
 
 
-def brute_merge(slices, ppm):
-    slices = sorted((dict(s) for s in slices), key=lambda s: (s["mz"], s["rt"], s["mzmin"], s["rtmin"]))
-    return slicing._absorbed(slices, ppm)
-
-
-def test_slices_merge_island_by_island_as_a_whole(spark):
-    r = random.Random(6)
-    rows = [(100 + r.random() * 3 + 50 * r.randrange(3), r.random() * 20, r.random()) for _ in range(120)]
-    points = spark.createDataFrame(rows, "mz double, rt double, intensity double")
-    around = slicing.around_points(points, 500, 0.5)
-    got = sorted((round(x.mzmin, 9), round(x.rtmin, 9), round(x.rtmax, 9)) for x in slicing.merge_slices(around, 500).collect())
-    expected = brute_merge([x.asDict() for x in around.collect()], 500)
-    assert got == sorted((round(s["mzmin"], 9), round(s["rtmin"], 9), round(s["rtmax"], 9)) for s in expected)
-
-
 def test_every_point_has_a_slice(spark):
     r = random.Random(8)
     rows = [(100 + r.random() * 5, r.random() * 50, r.random()) for _ in range(200)]
