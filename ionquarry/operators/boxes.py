@@ -21,6 +21,8 @@ _COLUMNS = [c.split()[0] for c in BOX.split(", ")]
 #: Boxes that a tile is made for, boxes of the sample that tiles are laid by, and the share of boxes that a round must
 #: take away for the next one to be made without halos.
 TILE, SAMPLE, WORTH = 20_000, 200_000, 0.1
+#: Boxes that grew in a sweep, up to which they are compared with all others instead of another sweep.
+FEW = 300
 
 
 def sweep(x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> np.ndarray:
@@ -55,20 +57,43 @@ def sweep(x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> np.
     return np.array([root(k) for k in range(n)], np.int64)
 
 
+def _grown(boxes: np.ndarray, of: np.ndarray, grown: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """``closed`` where all overlaps are ones of the rows ``grown``: each takes in what it overlaps until there is nothing left."""
+    boxes, into = boxes.copy(), np.arange(len(boxes))
+    alive = np.ones(len(boxes), bool)
+    for k in grown:
+        while alive[k]:
+            x0, x1, y0, y1 = boxes[k]
+            hit = alive & (boxes[:, 0] < x1) & (boxes[:, 1] > x0) & (boxes[:, 2] < y1) & (boxes[:, 3] > y0)
+            hit[k] = False
+            rows = np.flatnonzero(hit)
+            if not len(rows):
+                break
+            alive[rows], into[rows] = False, k
+            boxes[k, ::2] = np.minimum(boxes[k, ::2], boxes[rows, ::2].min(0))
+            boxes[k, 1::2] = np.maximum(boxes[k, 1::2], boxes[rows, 1::2].max(0))
+    while (into[into] != into).any():
+        into = into[into]
+    return boxes[alive], (np.cumsum(alive) - 1)[into][of]
+
+
 def closed(boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bounds (x0, x1, y0, y1) of the merged boxes, and for each given box the row of the one that holds it.
 
-    A merged box may reach back over one that the sweep has left behind, so sweeps are repeated until nothing merges.
+    A merged box may reach back over one that the sweep has left behind, so sweeps are repeated until nothing merges. After
+    a sweep only boxes that have just grown can overlap others; a few of them are settled by themselves.
     """
     of = np.arange(len(boxes))
     while len(boxes):
-        label, joined = np.unique(sweep(*boxes.T), return_inverse=True)
+        label, joined, size = np.unique(sweep(*boxes.T), return_inverse=True, return_counts=True)
         if len(label) == len(boxes):
             break
         low, high = np.full((len(label), 2), np.inf), np.full((len(label), 2), -np.inf)
         np.minimum.at(low, joined, boxes[:, [0, 2]])
         np.maximum.at(high, joined, boxes[:, [1, 3]])
         boxes, of = np.stack([low[:, 0], high[:, 0], low[:, 1], high[:, 1]], 1), joined[of]
+        if (size > 1).sum() <= FEW:
+            return _grown(boxes, of, np.flatnonzero(size > 1).tolist())
     return boxes, of
 
 

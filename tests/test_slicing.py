@@ -30,7 +30,8 @@ def random_boxes(r, n, wide):
 
 
 @pytest.mark.parametrize("seed", range(40))
-def test_closed_equals_plain_search(seed):
+def test_closed_equals_plain_search(seed, monkeypatch):
+    monkeypatch.setattr(boxes, "FEW", (0, 2, 300)[seed % 3])
     r = random.Random(seed)
     rows = [b for b in random_boxes(r, r.randrange(0, 90), r.choice([1, 4, 25])) if b[3] > b[2] and b[1] > b[0]]
     got, of = boxes.closed(np.array([b[:4] for b in rows]).reshape(-1, 4))
@@ -115,3 +116,17 @@ def test_slices_of_points_equal_plain_search(spark, first_wins):
     got = slicing.slice_points(table, 300, 0.4, first_wins).collect()
     assert sorted(map(tuple, got)) == plain_slices(points, 300, 0.4, first_wins)
     assert slicing.slice_points(table.limit(0), 300).collect() == []
+
+
+def test_registered_queries_equal_plain_search(spark):
+    from ionquarry.plans import catalog
+    from ionquarry.sources import views
+
+    sf = "/root/testdata/sf0.001"
+    points = [(x.mz, x.rt / 60, float(x.intensity)) for x in views.signal(spark, sf).select("mz", "rt", "intensity").collect()]
+    got = {n: sorted(map(tuple, catalog.QUERIES[n](spark, sf).select("mzmin", "mzmax", "rtmin", "rtmax", "mz", "rt", "ion_count").collect())) for n in ("slices_by_points", "slices_first", "slices_merged")}
+    high = [p for p in points if p[2] > 200]
+    assert np.allclose(got["slices_by_points"], plain_slices([p for p in points if p[2] > 150], 2000, 2.0, False), rtol=1e-12)
+    assert np.allclose(got["slices_first"], plain_slices(high, 3000, 6.0, True), rtol=1e-12)
+    around = np.array([(mz - mz * 3000 / 1e6, mz + mz * 3000 / 1e6, rt - 12.0, rt + 12.0) for mz, rt, _ in high])
+    assert np.allclose([x[:4] for x in got["slices_merged"]], sorted(map(tuple, boxes.closed(around)[0].tolist())), rtol=1e-12)
