@@ -1,8 +1,8 @@
 """Spectra in mzML, mzXML, mzData and SQLite files, read as scans through Spark's own file reader, so from any store it reaches.
 
 One row for each scan, in the schema ``SCANS``: rt in minutes, spectra in order of m/z, points without intensity left out of
-mzXML. A file is parsed as a stream by one task (Spark's binary reader takes files of up to 2 GB; split larger ones). Files
-that hold no scans give no rows.
+mzXML. Here a file is parsed as a stream by one task (Spark's binary reader takes files of up to 2 GB); ``spectra_source``
+reads one mzML or mzXML file by many tasks, and leaves out what filters don't ask for. Files that hold no scans give no rows.
 """
 
 from __future__ import annotations
@@ -77,31 +77,41 @@ def _row(sample: str, scan: int, **values) -> dict:
     return dict.fromkeys(_NAMES) | {"sample": sample, "scan_id": scan} | values
 
 
+def _target(element: ElementTree.Element) -> float | None:
+    p = _params(element)
+    return _number(p.get("isolation window target m/z", ("", ""))[0]) or _number(p.get("selected ion m/z", ("", ""))[0])
+
+
+def _polarity(p: dict[str, tuple[str, str]]) -> int:
+    return 1 if "positive scan" in p else -1 if "negative scan" in p else 0
+
+
+def mzml_scan(element: ElementTree.Element, sample: str, scan: int) -> dict:
+    """The row of a spectrum element."""
+    arrays, p = _arrays(element), _params(element)
+    y, mz = arrays.get("intensity array", np.zeros(0)), arrays.get("m/z array", np.zeros(0))
+    order = np.argsort(mz[: len(y)], kind="stable")
+    # of a third-level scan's two precursors, the last is the one that was isolated last
+    precursors = [x for x in element.iter() if _local(x.tag) == "precursor"]
+    value, unit = p.get("scan start time", ("", ""))
+    level = int(_number(p.get("ms level", ("1", ""))[0]) or 1)
+    return _row(sample, scan, mslevel=level, rt=_minutes(_number(value), unit), precursor_mz=_target(precursors[-1]) if precursors else None, polarity=_polarity(p), filter_line=p.get("filter string", (None, ""))[0], collision_energy=_number(p.get("collision energy", ("", ""))[0]), mz=mz[order].tolist(), intensity=y[order].tolist())
+
+
 def mzml(data: bytes, sample: str) -> Iterator[dict]:
     """Scans of an mzML file's spectra; without spectra, one for each point of its SRM chromatograms, in order of rt, from 1."""
     scans, found = 0, []
     for element in _elements(data, {"spectrum", "chromatogram"}):
-        arrays, p = _arrays(element), _params(element)
-        y = arrays.get("intensity array", np.zeros(0))
-        precursors = [x for x in element.iter() if _local(x.tag) == "precursor"]
-        target = lambda x: _number(_params(x).get("isolation window target m/z", ("", ""))[0]) or _number(_params(x).get("selected ion m/z", ("", ""))[0])
-        energy = _number(p.get("collision energy", ("", ""))[0])
-        polarity = 1 if "positive scan" in p else -1 if "negative scan" in p else 0
-        if _local(element.tag) == "chromatogram":
-            products = [x for x in element.iter() if _local(x.tag) == "product"]
-            q1, q3 = (target(x[0]) if x else None for x in (precursors, products))
-            if q1 and q3 and q1 > 0 and q3 > 0:
-                line = element.get("id", "")
-                found += [(t, i, q1, q3, line, polarity, energy) for t, i in zip(arrays.get("time array", np.zeros(0)).tolist(), y.tolist(), strict=False)]
+        if _local(element.tag) == "spectrum":
+            yield mzml_scan(element, sample, scans)
+            scans += 1
             continue
-        mz = arrays.get("m/z array", np.zeros(0))
-        order = np.argsort(mz[: len(y)], kind="stable")
-        # of a third-level scan's two precursors, the last is the one that was isolated last
-        precursor = target(precursors[-1]) if precursors else None
-        value, unit = p.get("scan start time", ("", ""))
-        level = int(_number(p.get("ms level", ("1", ""))[0]) or 1)
-        yield _row(sample, scans, mslevel=level, rt=_minutes(_number(value), unit), precursor_mz=precursor, polarity=polarity, filter_line=p.get("filter string", (None, ""))[0], collision_energy=energy, mz=mz[order].tolist(), intensity=y[order].tolist())
-        scans += 1
+        arrays, p = _arrays(element), _params(element)
+        first = lambda name: next((_target(x) for x in element.iter() if _local(x.tag) == name), None)  # noqa: B023, E731
+        q1, q3 = first("precursor"), first("product")
+        if q1 and q3 and q1 > 0 and q3 > 0:
+            more = (q1, q3, element.get("id", ""), _polarity(p), _number(p.get("collision energy", ("", ""))[0]))
+            found += [(t, i, *more) for t, i in zip(arrays.get("time array", np.zeros(0)).tolist(), arrays.get("intensity array", np.zeros(0)).tolist(), strict=False)]
     if not scans:
         for k, (t, i, q1, q3, line, polarity, energy) in enumerate(sorted(found), 1):
             yield _row(sample, k, mslevel=2, rt=t, precursor_mz=q1, product_mz=q3, polarity=polarity, filter_line=line, collision_energy=energy, mz=[q3], intensity=[i])
@@ -116,31 +126,30 @@ def _duration(text: str | None) -> float | None:
     return hours * 60 + minutes + seconds / 60
 
 
+def mzxml_scan(element: ElementTree.Element, sample: str) -> dict:
+    """The row of a scan element; scans inside it are not looked at."""
+    child = {_local(x.tag): x for x in element if _local(x.tag) in ("peaks", "precursorMz")}
+    peaks, precursor = child.get("peaks"), child.get("precursorMz")
+    both = np.zeros(0)
+    if peaks is not None and peaks.text:
+        both = codecs.floats(peaks.text, int(peaks.get("precision", "32")), peaks.get("compressionType") == "zlib", True)
+    pairs = both[: len(both) // 2 * 2].reshape(-1, 2)
+    pairs = pairs[pairs[:, 1] > 0]
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    line, q1 = element.get("filterLine"), _number(precursor.text) if precursor is not None else None
+    level = int(element.get("msLevel", "1"))
+    polarity = {"+": 1, "-": -1}.get(element.get("polarity") or (line or "")[12:13], 0)
+    if line is None and element.get("scanType") in ("MRM", "SRM") and len(pairs):
+        line = f"SRM ms2 {q1 or 0:.3f} [{pairs[0, 0]:.3f}-{pairs[-1, 0]:.3f}]"
+    return _row(sample, int(element.get("num", "0")), mslevel=level, rt=_duration(element.get("retentionTime")), precursor_mz=q1, product_mz=float(pairs[0, 0]) if level > 1 and len(pairs) else None, polarity=polarity, filter_line=line, collision_energy=_number(element.get("collisionEnergy")), mz=pairs[:, 0].tolist(), intensity=pairs[:, 1].tolist())
+
+
 def mzxml(data: bytes, sample: str) -> Iterator[dict]:
     """Scans of an mzXML file, nested ones too; points without intensity are left out, a missing filter line of an SRM scan is made."""
-    parents: list[ElementTree.Element] = []
     for event, element in ElementTree.iterparse(io.BytesIO(data), events=("start", "end")):
-        if _local(element.tag) != "scan":
-            continue
-        if event == "start":
-            parents.append(element)
-            continue
-        parents.pop()
-        child = {_local(x.tag): x for x in element if _local(x.tag) in ("peaks", "precursorMz")}
-        peaks, precursor = child.get("peaks"), child.get("precursorMz")
-        both = np.zeros(0)
-        if peaks is not None and peaks.text:
-            both = codecs.floats(peaks.text, int(peaks.get("precision", "32")), peaks.get("compressionType") == "zlib", True)
-        pairs = both[: len(both) // 2 * 2].reshape(-1, 2)
-        pairs = pairs[pairs[:, 1] > 0]
-        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-        line, q1 = element.get("filterLine"), _number(precursor.text) if precursor is not None else None
-        level = int(element.get("msLevel", "1"))
-        polarity = {"+": 1, "-": -1}.get(element.get("polarity") or (line or "")[12:13], 0)
-        if line is None and element.get("scanType") in ("MRM", "SRM") and len(pairs):
-            line = f"SRM ms2 {q1 or 0:.3f} [{pairs[0, 0]:.3f}-{pairs[-1, 0]:.3f}]"
-        yield _row(sample, int(element.get("num", "0")), mslevel=level, rt=_duration(element.get("retentionTime")), precursor_mz=q1, product_mz=float(pairs[0, 0]) if level > 1 and len(pairs) else None, polarity=polarity, filter_line=line, collision_energy=_number(element.get("collisionEnergy")), mz=pairs[:, 0].tolist(), intensity=pairs[:, 1].tolist())
-        element.clear()
+        if event == "end" and _local(element.tag) == "scan":
+            yield mzxml_scan(element, sample)
+            element.clear()
 
 
 def mzdata(data: bytes, sample: str) -> Iterator[dict]:
