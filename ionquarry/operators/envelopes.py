@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ionquarry.operators.ranking import ranked
+
 from ionquarry.functions import isotopes as I
 
 
@@ -108,7 +110,7 @@ def enough_isotopes(quant: DataFrame, least: int) -> DataFrame:
     kept = seen.groupBy("group_id").agg(F.max("_n").alias("_n")).filter(F.col("_n") >= least).select("group_id")
     held = quant.join(kept, "group_id", "left_semi")
     tops = held.groupBy("group_id").agg(F.max("intensity").alias("_top"))
-    ranks = tops.withColumn("group_rank", F.row_number().over(Window.orderBy(F.desc("_top"), "group_id"))).drop("_top")
+    ranks = ranked(tops, [F.desc("_top"), F.col("group_id")], "group_rank").drop("_top")
     return held.join(ranks, "group_id")
 
 

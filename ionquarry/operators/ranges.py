@@ -24,12 +24,12 @@ def ppm_join(left: DataFrame, right: DataFrame, left_mz: str, right_mz: str, tol
     return own.join(spread, "_bin").filter(ppm(F.col(right_mz), F.col(left_mz)) <= tolerance).drop("_bin")
 
 
-def near_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str, tolerance: float) -> DataFrame:
-    """Pairs with ``abs(left_col - right_col) <= tolerance``."""
+def near_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str, tolerance: float, keys: list[str] | None = None) -> DataFrame:
+    """Pairs, equal in ``keys``, with ``abs(left_col - right_col) <= tolerance``."""
     own = left.withColumn("_bin", F.floor(F.col(left_col) / tolerance))
     home = F.floor(F.col(right_col) / tolerance)
     spread = right.withColumn("_bin", F.explode(F.array(home - 1, home, home + 1)))
-    return own.join(spread, "_bin").filter(F.abs(F.col(left_col) - F.col(right_col)) <= tolerance).drop("_bin")
+    return own.join(spread, [*(keys or []), "_bin"]).filter(F.abs(F.col(left_col) - F.col(right_col)) <= tolerance).drop("_bin")
 
 
 def overlap_fraction(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:

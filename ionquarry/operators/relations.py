@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionquarry.functions.maths import C13_STEP, PROTON
-from ionquarry.operators import chrom, matching
+from ionquarry.operators import chrom, matching, ranges
 
 # Names of the identifier keys of a compound
 IDENTIFIERS = {"HMDB": "hmdb_id", "KEGG": "kegg_id", "PubChem": "pubchem_id", "ChEBI": "chebi_id", "InChIKey": "inchikey", "SMILES": "smiles"}
@@ -40,9 +40,10 @@ def covariants(points: DataFrame, peaks: DataFrame, window: float = 0.1, least:
     """(peak_id, mz, correlation): bins of m/z, 1 mDa wide, that rise and fall with a peak within ``window`` of its apex.
 
     ``points``: sample_id, scan_id, rt, mz, intensity; ``peaks``: peak_id, sample_id, rt, mz. Neighbouring bins are one, with
-    their mean m/z and best correlation. Scans without a bin's points count as 0; fewer than three scans give nothing.
+    their mean m/z and best correlation. Scans without a bin's points count as 0; fewer than three scans give nothing. Points and
+    peaks meet by sample and stretch of rt as wide as the window, so what is read grows with the window, not with the run.
     """
-    near = points.join(peaks.select("peak_id", "sample_id", F.col("rt").alias("_rt"), F.col("mz").alias("_mz")), "sample_id").filter(F.abs(F.col("rt") - F.col("_rt")) <= window)
+    near = ranges.near_join(points, peaks.select("peak_id", "sample_id", F.col("rt").alias("_rt"), F.col("mz").alias("_mz")), "rt", "_rt", window, ["sample_id"])
     binned = near.groupBy("peak_id", "_mz", F.floor(F.col("mz") / width).alias("_bin"), "scan_id").agg(F.max("intensity").alias("y"))
     own = binned.filter(F.abs(F.col("_bin") * width - F.col("_mz")) <= width).groupBy("peak_id", "scan_id").agg(F.max("y").alias("x"))
     scans = near.groupBy("peak_id").agg(F.count_distinct("scan_id").alias("n"))

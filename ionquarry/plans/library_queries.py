@@ -12,9 +12,11 @@ from ionquarry.functions import chem, lipids, peptides
 from ionquarry.functions import isotopes as I
 from ionquarry.functions import spectrum as S
 from ionquarry.operators import envelopes, identification, infusion, matching, neural
+from ionquarry.operators.written import shared_path
 from ionquarry.plans.queries import _r, query
 from ionquarry.plans.spectrum_queries import with_peaks
-from ionquarry.sources import codecs, text_files
+from ionquarry.sources import codecs, spectra_source, text_files, xml_files
+
 
 def _size() -> Column:
     return F.col("expected_rt").cast("int")
@@ -238,6 +240,19 @@ def mzcsv_round_trip(rows):
     return back.select((F.col("scannum") - 1).cast("long").alias("order_id"), "points", "mslevel", "total", "first_mz")
 
 
+@query("signal", "SELECT channel AS sample, scan_id, count(*) AS points, min(mz) AS first_mz, round(sum(intensity), 4) AS total, round(min(rt), 6) AS rt FROM signal WHERE intensity IS NOT NULL GROUP BY 1, 2")
+def spectra_files(points):
+    """Scans written as indexed mzML files, one for each channel, and read back by ranges of bytes."""
+    held = points.filter("intensity IS NOT NULL").groupBy(F.col("channel").alias("sample"), "scan_id").agg(F.min("rt").alias("rt"), F.array_sort(F.collect_list(F.struct("mz", "intensity"))).alias("s"))
+    given = {"mslevel": F.lit(1), "polarity": F.lit(1), "mz": F.col("s.mz"), "intensity": F.col("s.intensity")}
+    names = [c.split()[0] for c in xml_files.SCANS.split(", ")]
+    scans = held.select(*[given.get(c, F.col(c) if c in held.columns else F.lit(None)).alias(c) for c in names])
+    path = shared_path(points.sparkSession, "spectra")
+    spectra_source.write_spectra(scans, path)
+    back = spectra_source.read_spectra(points.sparkSession, path, 1 << 20)
+    return back.select("sample", "scan_id", F.size("mz").cast("long").alias("points"), F.array_min("mz").alias("first_mz"), _r(F.aggregate("intensity", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), _r("rt").alias("rt"))
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
     """Each spectrum as an observed one and the next as a library one, m/z moved by a little."""
     held = with_peaks(rows)

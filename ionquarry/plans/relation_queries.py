@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ionquarry.functions import smiles
 from ionquarry.functions import spectrum as S
-from ionquarry.operators import chrom, grouping, infusion, relations, targeted
+from ionquarry.operators import chrom, grouping, infusion, ranking, relations, targeted
 from ionquarry.plans.queries import _r, query
 from ionquarry.plans.spectrum_queries import with_peaks
 
@@ -28,13 +28,30 @@ def window_correlation(points):
     return relations.window_correlation(points, (100.0, 130.0), (150.0, 190.0), (0.0, 30000.0)).withColumn("correlation", _r("correlation"))
 
 
-@query("signal")
+_COVARIANTS = """, peak AS (SELECT point_id AS peak_id, sample_id, rt AS prt, mz AS pmz FROM signal WHERE intensity > 250),
+near AS (SELECT peak_id, pmz, CAST(floor(mz / 1.0) AS BIGINT) AS bin, scan_id, max(intensity) AS y FROM signal JOIN peak USING (sample_id) WHERE abs(rt - prt) <= 3000 GROUP BY ALL),
+own AS (SELECT peak_id, scan_id, max(y) AS x FROM near WHERE abs(bin - pmz) <= 1 GROUP BY ALL),
+base AS (SELECT peak_id, sx, qx, n FROM (SELECT peak_id, sum(x) AS sx, sum(x * x) AS qx FROM own GROUP BY 1) JOIN (SELECT peak_id, count(DISTINCT scan_id) AS n FROM near GROUP BY 1) USING (peak_id) WHERE n >= 3),
+joint AS (SELECT peak_id, bin, sum(y) AS sy, sum(y * y) AS qy, sum(y * coalesce(x, 0)) AS p FROM near LEFT JOIN own USING (peak_id, scan_id) GROUP BY 1, 2),
+spread AS (SELECT peak_id, bin, sqrt(greatest(qx * n - sx * sx, 0) * greatest(qy * n - sy * sy, 0)) AS s, p * n - sx * sy AS c FROM joint JOIN base USING (peak_id)),
+kept AS (SELECT peak_id, bin, CASE WHEN s > 1e-9 THEN c / s ELSE 0.0 END AS r FROM spread),
+island AS (SELECT *, bin - row_number() OVER (PARTITION BY peak_id ORDER BY bin) AS k FROM kept WHERE r >= 0.5)
+SELECT peak_id, round(avg(bin), 6) AS mz, round(max(r), 6) AS correlation FROM island GROUP BY peak_id, k"""
+
+
+@query("signal", _COVARIANTS)
 def covariants(points):
     """Bins of m/z that rise and fall with the most intense peaks."""
     peaks = points.filter("intensity > 250").select(F.col("point_id").alias("peak_id"), "sample_id", "rt", "mz")
     return relations.covariants(points, peaks, 3000.0, 0.5, 1.0).withColumns({"mz": _r("mz"), "correlation": _r("correlation")})
 
 
+@query("signal", "SELECT point_id, channel, intensity, row_number() OVER (ORDER BY intensity DESC NULLS LAST, point_id) AS place FROM signal")
+def group_rank(points):
+    """The place of each point by intensity over the whole table."""
+    return ranking.ranked(points.select("point_id", "channel", "intensity"), [F.desc("intensity"), F.col("point_id")], "place")
+
+
 @query("signal", "SELECT channel, mz, sample_id, intensity, point_id FROM (SELECT *, row_number() OVER (PARTITION BY channel, mz ORDER BY intensity DESC, sample_id, point_id) AS r FROM signal) WHERE r = 1")
 def representative_peaks(points):
     """The best peak of each group."""
