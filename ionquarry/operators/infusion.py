@@ -10,28 +10,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionquarry.functions import text
+from ionquarry.operators.block_search import first_window
 
 
 def search_set(compounds: DataFrame, adducts: DataFrame, windows: DataFrame, matching_adduct: bool = False) -> DataFrame:
     """Ions (compound_id, adduct, mz, window_id): compounds (exact_mass, charge) by adducts of the same sign of charge.
 
-    ``windows`` (window_id, low, high) are a small table of isolation windows; an ion goes to the first that holds it, or to
-    -1. Adducts and windows are broadcast up to a checked number of rows.
+    ``windows`` (window_id, low, high) are isolation windows; an ion goes to the one with the lowest id that holds it, or to
+    -1. Adducts are a table of 10,000 rows at most.
     """
     listed = adducts.limit(10_001).collect()
-    isolation = windows.limit(10_001).collect()
-    if max(len(listed), len(isolation)) > 10_000:
-        raise ValueError("adducts and windows are tables of at most 10,000 rows")
+    if len(listed) > 10_000:
+        raise ValueError("adducts are a table of at most 10,000 rows")
     ions = F.array(*[F.struct(F.lit(a["name"]).alias("adduct"), F.lit(int(a["molecules"])).alias("molecules"), F.lit(int(a["charge"])).alias("z"), F.lit(float(a["added"])).alias("added")) for a in listed])
     both = compounds.withColumn("_a", F.explode(ions)).filter(F.signum("charge") == F.signum("_a.z"))
     if matching_adduct:
         both = both.filter(F.col("adduct_name").isNull() | (F.col("adduct_name") == F.col("_a.adduct")))
     mz = (F.col("exact_mass") * F.col("_a.molecules") + F.col("_a.added")) / F.abs("_a.z")
     held = both.select("compound_id", "_a.adduct", mz.alias("mz"))
-    found = F.lit(-1)
-    for w in sorted(isolation, key=lambda w: -w["window_id"]):
-        found = F.when(F.col("mz").between(w["low"], w["high"]), w["window_id"]).otherwise(found)
-    return held.withColumn("window_id", found)
+    return first_window(held, windows, "window_id", inclusive=True, name="window_id").withColumn("window_id", F.col("window_id").cast("int"))
 
 
 def unique_evidence(matches: DataFrame) -> DataFrame:
