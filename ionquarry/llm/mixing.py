@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ionquarry.llm.bytesops import mix as mixed
-from ionquarry.llm.common import chosen_name, cut
+from ionquarry.llm.common import cut
 
 #: Weights of the sources in order, repeating; share of all words to take; most copies of a document.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 #: Documents that one task rounds together, and residuals that meet in one task of a further level.
 BUCKET, FAN = 20_000, 2_000
+#: Parts that equal rows are numbered in.
+PARTS = 256
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -128,20 +130,21 @@ def _digests(docs: DataFrame) -> tuple[Column, Column]:
     return F.xxhash64(*own), F.xxhash64(F.lit("twin"), *own)
 
 
-def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0, bucket: int = BUCKET, fan: int = FAN, text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(rows, decisions): each row of ``docs`` without its text but with its digest, size and source; and digest,
-    source_size, target, copies. See ``mix``."""
+def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0, bucket: int = BUCKET, fan: int = FAN, text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Each row of ``docs`` without its text: digest, twin, size, source_size, target, copies, and kept with its other columns. See ``mix``."""
     others = [c for c in docs.columns if c != text_col]
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(_WORD)), F.lit(0)).cast("long")
     digest, twin = _digests(docs)
-    rows = cut(docs.select(digest.alias("digest"), twin.alias("twin"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(1).alias("_")]).alias("kept")))
-    units = rows.groupBy("digest", "twin", "source").agg(F.sum("size").alias("size"))
+    rows = cut(docs.select(digest.alias("digest"), twin.alias("twin"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(1).alias("_")]).alias("kept"), F.monotonically_increasing_id().alias("place")))
+    units = rows.groupBy("digest", "twin", "source").agg(F.first("size").alias("size"), F.count(F.lit(1)).alias("alike"))
     per = targets(rows.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")), weights, share, most)
     per = cut(per.withColumn("copies", F.when(F.col("words") > 0, F.least(F.col("target") / F.col("words"), F.lit(float(most)))).otherwise(0.0)))
     rate = per.select(F.col("source").alias("of"), "copies", "rows", F.col("words").alias("source_size"), "target")
-    whole = units.join(rate, F.col("source").eqNullSafe(F.col("of")), "left")
+    # of equal rows as many take one more as the whole part of their joint share says; the rest is one row's share
+    share_of = F.round(F.col("alike") * (F.col("copies") - F.floor("copies")), 9)
+    whole = units.join(rate, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("sure", F.floor(share_of))
     buckets = F.ceil(F.col("rows") / bucket)
-    start = whole.select("digest", "twin", "source", "size", F.pmod(F.xxhash64(F.col("digest")), buckets).alias("bucket"), (F.col("copies") - F.floor("copies")).alias("share"))
+    start = whole.select("digest", "twin", "source", "size", F.pmod(F.xxhash64(F.col("digest")), buckets).alias("bucket"), (share_of - F.col("sure")).alias("share"))
     most_buckets = per.agg(F.max(F.ceil(F.col("rows") / bucket))).first()[0] or 1
     fractional, parts = start.filter("size > 0 AND share > 0 AND share < 1"), []
     while True:
@@ -153,8 +156,25 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         fractional = level.filter("share NOT IN (0, 1)").withColumn("bucket", F.floor(F.col("bucket") / fan) if most_buckets > 1 else F.lit(0).cast("long"))
     extra = reduce(DataFrame.unionByName, parts).select(F.col("digest").alias("own"), F.col("twin").alias("own_twin"), F.col("source").alias("of_own"), F.col("share").cast("long").alias("extra"))
     decided = whole.join(extra, (F.col("digest") == F.col("own")) & (F.col("twin") == F.col("own_twin")) & F.col("source").eqNullSafe(F.col("of_own")), "left")
-    copies = F.when(F.col("size") > 0, F.floor("copies").cast("long") + F.coalesce("extra", F.lit(0))).otherwise(F.lit(0)).cast("long")
-    return rows, decided.select("digest", "twin", F.coalesce("source", F.lit("")).alias("of"), F.col("source").isNull().alias("of_none"), "source_size", "target", copies.alias("copies"))
+    once, more = F.floor("copies").cast("long"), F.col("sure") + F.coalesce("extra", F.lit(0))
+    chosen = decided.select("digest", "twin", F.coalesce("source", F.lit("")).alias("of"), F.col("source").isNull().alias("of_none"), "source_size", "target", once.alias("once"), more.alias("more"))
+    return _numbered(rows, chosen)
+
+
+def _numbered(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``rows`` with what is ``chosen`` for them: of equal ones the first ``more`` are taken once more than the others.
+
+    Equal rows are counted within ``PARTS`` parts of their places, then over the parts, so that no task has more than one
+    part of them; which of them come first makes no difference.
+    """
+    unit = ["digest", "twin", "of", "of_none"]
+    held = rows.withColumns({"of": F.coalesce("source", F.lit("")), "of_none": F.col("source").isNull(), "part": F.pmod("place", F.lit(PARTS))})
+    counts = held.groupBy(*unit, "part").agg(F.count(F.lit(1)).alias("before"))
+    earlier = F.coalesce(F.sum("before").over(Window.partitionBy(*unit).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = counts.withColumn("before", earlier).join(chosen, unit)
+    own = held.withColumn("number", F.row_number().over(Window.partitionBy(*unit, "part").orderBy("place")))
+    copies = F.when(F.col("size") > 0, F.col("once") + (F.col("before") + F.col("number") <= F.col("more")).cast("long")).otherwise(F.lit(0)).cast("long")
+    return own.join(parts, [*unit, "part"]).select("digest", "twin", "kept", "size", "source_size", "target", copies.alias("copies"))
 
 
 def mix(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
@@ -168,25 +188,24 @@ def mix(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     large a source. The same rows give the same result.
 
     A null text has no words; documents without words are never taken (copies 0). A null source is a source, the last.
-    Rows that are equal in every column are decided together. An empty table gives an empty one. Columns of ``docs`` with
-    an added name are replaced.
+    Of rows that are equal in every column as many are taken once more as their joint share says, give or take one. An empty
+    table gives an empty one. Columns of ``docs`` with an added name are replaced.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("size", "source_size", "target", "copies")])
-    source_col = options.get("source_col", "source")
-    rows, decisions = plan_mix(docs, text_col=text_col, **options)
-    keys = [chosen_name(docs, x) for x in ("mix_digest", "mix_twin", "mix_of", "mix_of_none")]
-    sizes = rows.groupBy("digest", "twin", F.coalesce("source", F.lit("")).alias("of"), F.col("source").isNull().alias("of_none")).agg(F.first("size").alias("size"))
-    add = decisions.join(sizes, ["digest", "twin", "of", "of_none"]).withColumnsRenamed(dict(zip(("digest", "twin", "of", "of_none"), keys, strict=True)))
-    source = F.col(source_col).cast("string")
-    own = docs.withColumns(dict(zip(keys, (*_digests(docs), F.coalesce(source, F.lit("")), source.isNull()), strict=True)))
-    return own.join(add, keys).drop(*keys)
+    rows = plan_mix(docs, text_col=text_col, **options)
+    # a text for each digest; equal rows have one
+    digest, twin = _digests(docs)
+    texts = docs.select(digest.alias("digest"), twin.alias("twin"), F.col(text_col).alias("body")).groupBy("digest", "twin").agg(F.first("body").alias("body"))
+    held = rows.join(texts, ["digest", "twin"])
+    own = [F.col("body").alias(text_col) if c == text_col else F.col(f"kept.`{c}`").alias(c) for c in docs.columns]
+    return held.select(*own, "size", "source_size", "target", "copies")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of each row (columns doc_id, text, source).
 
-    Null texts have size 0, null sources are one, the last; equal rows are decided together; an empty table gives an empty one.
+    Null texts have size 0, null sources are one, the last; equal rows share what falls to them, give or take one row; an
+    empty table gives an empty one.
     """
-    rows, decisions = plan_mix(docs.select("doc_id", "text", "source"))
-    keyed = rows.withColumns({"of": F.coalesce("source", F.lit("")), "of_none": F.col("source").isNull()})
-    return keyed.join(decisions, ["digest", "twin", "of", "of_none"]).select("kept.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    rows = plan_mix(docs.select("doc_id", "text", "source"))
+    return rows.select("kept.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -51,7 +51,7 @@ def test_sources_come_near_their_targets(spark, monkeypatch, seed, bucket, fan):
         assert x.target == pytest.approx(target[x.source])
         assert x.copies in ((0,) if x.size == 0 else (int(x.target / x.source_size), -int(-x.target // x.source_size)))
         taken[x.source] += x.copies * x.size
-    # within the size of one unit of equal rows that the tree's root draws
+    # within the size of one row that the tree's root draws
     assert all(abs(taken[s] - target[s]) <= max(30, 0.02 * target[s]) for s in target)
 
 
@@ -64,6 +64,21 @@ def test_report_reruns_agree_in_any_order(spark):
     assert all(t <= 2 * s for _, s, _, _, t in once)
 
 
+@pytest.mark.parametrize("parts", [1, 7, 256])
+def test_equal_rows_share_what_falls_to_them(spark, monkeypatch, parts):
+    monkeypatch.setattr(X, "PARTS", parts)
+    rows = [(1, "ten words " * 5, "a")] * 50 + [(i, " ".join(["w"] * 31), "b") for i in range(10)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = X.mix_report(docs).collect()
+    assert len(found) == 60
+    for source, size in ((500, 10), (310, 31)):
+        own = [x for x in found if x.source_size == source]
+        assert abs(sum(x.taken for x in own) - own[0].target) <= size and all(x.taken <= 2 * x.size for x in own)
+    mixed = X.mix(docs).collect()
+    assert sorted((x.size, x.copies * x.size) for x in mixed) == sorted((x["size"], x.taken) for x in found)
+    assert sorted((x.doc_id, x.text, x.source) for x in mixed) == sorted(rows)
+
+
 def test_rounding_keeps_words_and_expectation():
     r = np.random.default_rng(1)
     size, share = r.integers(1, 50, 200), r.random(200)
