@@ -12,6 +12,17 @@ from ionquarry.llm.common import cut, held_out, table
 PASSAGE_BYTES = 240
 
 
+#: Bytes of a batch of rows between the JVM and Python. Texts go both ways, so that each core holds a few batches on either side.
+BATCH_BYTES = 4 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Sets ``BATCH_BYTES`` for the session, unless it has less already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long"))
 
@@ -21,6 +32,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Where no lang is known, all texts with a letter stay. Repeated rows are judged alike; an empty table stays empty.
     """
+    _small_batches(spark)
     model = language_id.train(docs.filter(~held_out(F.col("doc_id"))))
     return language_id.in_learnt_language(docs, model)
 
@@ -30,6 +42,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Of equal rows one stays; texts without words link with nothing and all stay; an empty table stays empty.
     """
+    _small_batches(spark)
     return minhash.drop_near_duplicates(docs)
 
 
@@ -38,6 +51,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null and empty texts stay; equal texts (of which the stage before leaves one) would lose all; an empty table stays empty.
     """
+    _small_batches(spark)
     return _counted(suffix_dedup.remove_repeats(docs, PASSAGE_BYTES))
 
 
@@ -46,14 +60,16 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null texts stay; without items nothing changes; an empty table stays empty.
     """
+    _small_batches(spark)
     return _counted(decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents the mix takes, with the number of times it does, copies; wordless ones are never taken.
 
-    A null source is one of the sources; equal rows are taken together; an empty table stays empty.
+    A null source is one of the sources; equal rows share what falls to them; an empty table stays empty.
     """
+    _small_batches(spark)
     return mixing.mix(docs).filter("copies > 0")
 
 
@@ -69,6 +85,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stages, one after another, make of documents; each works on what the one before wrote. An empty table gives an empty one."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
