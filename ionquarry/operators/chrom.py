@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Windows that are tested point by point.
+FEW_WINDOWS = 64
+
+
 def tic_trace(points: DataFrame) -> DataFrame:
     """Total ion current of each scan."""
     return points.groupBy("sample_id", "scan_id").agg(F.sum("intensity").alias("tic"))
@@ -28,27 +32,36 @@ def extracted_ions(points: DataFrame, windows: DataFrame, mslevel: int | None =
     (mslevel 1) whose own range of m/z misses the window, when the points have these columns. ``scale``: sample_id to a factor
     on intensities. Scans without points have no row; an empty table gives an empty one.
 
-    Windows are put into all bins of m/z that they reach and points into their own: an equi-join, of which only matches are
-    aggregated; the scans are then filled in from their distinct ids.
+    The points are read once. Up to ``FEW_WINDOWS`` windows are tested point by point, and a scan's points in any of them
+    meet; more windows are put into all bins of m/z that they reach and points into their own, an equi-join of which only
+    matches are aggregated. Each scan is then filled in for all windows.
     """
     if mslevel is not None:
         points = points.filter(F.col("mslevel") == mslevel)
     if rt is not None:
         points = points.filter(F.col("rt").between(*rt))
-    listed = windows.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("mzmin") / bin_width), F.floor(F.col("mzmax") / bin_width))))
-    found = points.select("sample_id", "scan_id", "mz", "intensity", F.floor(F.col("mz") / bin_width).alias("_bin")).join(listed, "_bin").filter("mz BETWEEN mzmin AND mzmax")
-    by = ["sample_id", "scan_id"]
-    # dealt out by scan once: the windows of a scan, and the scan itself, meet without a further shuffle
-    best = found.select(*by, "window_id", "mz", "intensity").repartition(*by).groupBy(*by, "window_id").agg(F.max(F.struct("intensity", (-F.col("mz")).alias("neg"))).alias("b"))
-    held = best.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("window_id", "b"))).alias("_m"))
-    scans = points.groupBy(*by).agg(F.min("mz").alias("_lo"), F.max("mz").alias("_hi")).join(held, by, "left")
-    ranges = F.array(*[F.struct(F.lit(w["window_id"]).alias("window_id"), F.lit(float(w["mzmin"])).alias("a"), F.lit(float(w["mzmax"])).alias("b")) for w in small_rows(windows)])
+    by, rows = ["sample_id", "scan_id"], small_rows(windows)
+    ranges = F.array(*[F.struct(F.lit(w["window_id"]).alias("window_id"), F.lit(float(w["mzmin"])).alias("a"), F.lit(float(w["mzmax"])).alias("b")) for w in rows])
+    bounds = [F.min("mz").alias("_lo"), F.max("mz").alias("_hi")] if mslevel == 1 else []
+    point = F.struct("intensity", (-F.col("mz")).alias("neg"))
+    if 0 < len(rows) <= FEW_WINDOWS:
+        inside = reduce(lambda x, y: x | y, [F.col("mz").between(float(w["mzmin"]), float(w["mzmax"])) for w in rows])
+        scans = points.groupBy(*by).agg(F.collect_list(F.when(inside, point)).alias("_p"), *bounds)
+        own = F.array_max(F.filter("_p", lambda p: (-p["neg"]).between(F.col("_w.a"), F.col("_w.b"))))
+    else:
+        listed = windows.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("mzmin") / bin_width), F.floor(F.col("mzmax") / bin_width))))
+        found = points.select(*by, "mz", "intensity", F.floor(F.col("mz") / bin_width).alias("_bin")).join(listed, "_bin").filter("mz BETWEEN mzmin AND mzmax")
+        # dealt out by scan once: the windows of a scan, and the scan itself, meet without a further shuffle
+        best = found.select(*by, "window_id", "mz", "intensity").repartition(*by).groupBy(*by, "window_id").agg(F.max(point).alias("b"))
+        held = best.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("window_id", "b"))).alias("_m"))
+        scans = (points.groupBy(*by).agg(*bounds) if bounds else points.select(*by).distinct()).join(held, by, "left")
+        own = F.try_element_at("_m", F.col("_w.window_id"))
     grid = scans.withColumn("_w", F.explode(ranges))
     if mslevel == 1:
         grid = grid.filter("_hi >= _w.a AND _lo <= _w.b")
-    own = F.try_element_at("_m", F.col("_w.window_id"))
     factor = F.lit(1.0) if not scale else F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in scale.items() for x in pair]), F.col("sample_id")), F.lit(1.0))
-    return grid.select(*by, F.col("_w.window_id").alias("window_id"), (F.coalesce(own["intensity"], F.lit(0.0)) * factor).alias("intensity"), (-own["neg"]).alias("mz"))
+    out = grid.select(*by, F.col("_w.window_id").alias("window_id"), own.alias("_b"))
+    return out.select(*by, "window_id", (F.coalesce(F.col("_b.intensity"), F.lit(0.0)) * factor).alias("intensity"), (-F.col("_b.neg")).alias("mz"))
 
 
 def extracted_top(points: DataFrame, by: list[str]) -> DataFrame:
