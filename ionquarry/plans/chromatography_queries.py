@@ -343,6 +343,13 @@ def delta_mining(points):
     return deltas.mine(_full_scans(points), least_hits=1, top=20, history=6, least=10.0, correlation=0.8).withColumn("correlation", _r("correlation"))
 
 
+@query("signal")
+def delta_cache(points):
+    """The pairs as the cache of each sample holds them."""
+    pairs = deltas.correlated_pairs(_full_scans(points), top=20, history=6, least=10.0, correlation=0.8)
+    return deltas.cached_sessions(pairs).withColumn("correlation", _r("correlation"))
+
+
 @query("signal")
 def sec_pairs(points):
     """Similarity of size-exclusion profiles within a channel."""

@@ -5,17 +5,19 @@ The same definitions as in ``ionquarry.operators.deltas``, so that a replayed ta
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from ionquarry.operators import deltas
 
 PAIRS = "sample_id long, scan_id long, n long, mz1 double, mz2 double, correlation double"
 _NAMES = [c.split()[0] for c in PAIRS.split(", ")]
+_CACHED = ["sample_id", *[c.split()[0] for c in deltas.CACHED.split(", ")]]
 
 
 def pairs_of(history: list[tuple[np.ndarray, np.ndarray]], top: int, least: float, correlation: float, ppm: float) -> list[tuple[float, float, float]]:
@@ -38,44 +40,181 @@ def pairs_of(history: list[tuple[np.ndarray, np.ndarray]], top: int, least: floa
     return out
 
 
-def correlated_pairs(points: DataFrame, top: int = 1000, history: int = 10, least: float = 1e3, correlation: float = 0.9, ppm: float = 1.0) -> DataFrame:
-    """Pairs of each scan of a stream of points (sample_id, scan_id, mz, intensity), scans in order within a sample.
+def _rocksdb(spark: SparkSession) -> None:
+    """State of several columns needs the RocksDB store, which also keeps it on disk instead of on the heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    A sample's state is its last ``history`` scans and the open one, which a later scan closes; points of scans already
-    closed are late and left out. So a sample's last scan is judged when the next one comes.
-    """
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last, held, open_ = (0, None, [], None) if not state.exists else pickle.loads(state.get[0])
-        rows = pd.concat(list(frames), ignore_index=True)
+def _joined(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(rows), ignore_index=True)
+
+
+class _Idle(StatefulProcessor):
+    """State with one timer, set anew by each batch of rows: ``idle`` milliseconds after the latest time in them."""
+
+    def __init__(self, time_col: str | None, idle: int) -> None:
+        self.time_col, self.idle = time_col, idle
+
+    def renew(self, rows: pd.DataFrame) -> None:
+        if self.time_col is None:
+            return
+        at = int(rows[self.time_col].max().timestamp() * 1000) + self.idle
+        timers = list(self.handle.listTimers())
+        if not timers or max(timers) < at:
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at)
+
+    def close(self) -> None:
+        pass
+
+
+class ScanHistory(_Idle):
+    """The last ``history`` scans of a sample, a state row each, and the open scan; a scan is judged when the next one comes or the sample falls idle."""
+
+    def __init__(self, options: tuple, history: int, time_col: str | None, idle: int) -> None:
+        super().__init__(time_col, idle)
+        self.options, self.history = options, history
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "mz array<double>, intensity array<double>")
+        self.open = handle.getValueState("open", "closed long, scan_id long, mz array<double>, intensity array<double>")
+
+    def _judged(self, key: tuple, scans: list[tuple], n: int) -> list[tuple]:
+        """Pairs of ``scans`` (scan_id, mz, intensity) that are complete, of which ``n`` came before."""
+        held = [(np.array(m, float), np.array(y, float)) for m, y in self.held.get()]
         out = []
-        for scan, group in rows.groupby("scan_id", sort=True):
-            scan = int(scan)
-            if last is not None and scan <= last:
-                continue
-            points_ = list(zip(group["mz"].tolist(), group["intensity"].tolist(), strict=True))
-            if open_ is not None and open_[0] == scan:
-                open_ = (scan, open_[1] + points_)
-                continue
-            if open_ is not None and scan < open_[0]:
+        for k, (scan, mz, y) in enumerate(scans, n + 1):
+            mz, y = np.array(mz, float), np.array(y, float)
+            order = np.lexsort((y, mz))
+            held = [*held, (mz[order], y[order])][-self.history :]
+            if len(held) == self.history:
+                out += [(key[0], scan, k, *p) for p in pairs_of(held, *self.options)]
+        self.held.put([(m.tolist(), y.tolist()) for m, y in held])
+        return out
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frame = _joined(rows)
+        n, last, mz, y = self.open.get() if self.open.exists() else (0, None, [], [])
+        scans = [] if last is None else [(last, list(mz), list(y))]
+        for scan, group in frame.groupby("scan_id", sort=True):
+            if last is not None and scan < last:
                 continue
-            if open_ is not None:
-                n, last, held, found = _closed(n, open_, held, history, top, least, correlation, ppm)
-                out += [(key[0], open_[0], n, *p) for p in found]
-            open_ = (scan, points_)
-        state.update((pickle.dumps((n, last, held, open_)),))
+            if scan == last:
+                scans[-1][1].extend(group["mz"])
+                scans[-1][2].extend(group["intensity"])
+            else:
+                scans.append((int(scan), group["mz"].tolist(), group["intensity"].tolist()))
+        out = self._judged(key, scans[:-1], n) if len(scans) > 1 else []
+        if scans:
+            scan, mz, y = scans[-1]
+            self.open.update((n + len(scans) - 1, scan, [float(m) for m in mz], [float(v) for v in y]))
+        self.renew(frame)
+        yield pd.DataFrame(out, columns=_NAMES)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out = []
+        if self.open.exists():
+            n, scan, mz, y = self.open.get()
+            out = self._judged(key, [(scan, mz, y)], n)
+        self.open.clear()
+        self.held.clear()
         yield pd.DataFrame(out, columns=_NAMES)
 
-    grouped = points.select("sample_id", "scan_id", "mz", "intensity").groupBy("sample_id")
-    return grouped.applyInPandasWithState(run, PAIRS, "held binary", "append", GroupStateTimeout.NoTimeout)
 
+def correlated_pairs(points: DataFrame, top: int = 1000, history: int = 10, least: float = 1e3, correlation: float = 0.9, ppm: float = 1.0, time_col: str | None = None, idle: str = "10 minutes", delay: str = "1 minute") -> DataFrame:
+    """Pairs of each scan of a stream of points (sample_id, scan_id, mz, intensity), scans in order within a sample.
 
-def _closed(n: int, scan: tuple, held: list, history: int, top: int, least: float, correlation: float, ppm: float) -> tuple:
-    """(scans so far, the closed scan's id, the history, pairs) after a scan is complete."""
-    pairs = sorted(scan[1])
-    held = [*held, (np.array([m for m, _ in pairs]), np.array([y for _, y in pairs]))][-history:]
-    found = pairs_of(held, top, least, correlation, ppm) if len(held) == history else []
-    return n + 1, scan[0], held, found
+    A sample's state is its last ``history`` scans and the open one, which a later scan closes; points of scans already
+    closed are late and left out, as are points with a null. With ``time_col``, a timestamp, a sample of which nothing came for
+    ``idle`` by the watermark has its last scan judged and its state dropped; without it the state stays and the last scan open. Spark drops rows at or
+    before the watermark, so ``delay`` must be longer than the rows of one scan lie apart.
+    """
+    _rocksdb(points.sparkSession)
+    kept = points.select("sample_id", "scan_id", "mz", "intensity", *[c for c in [time_col] if c]).dropna()
+    if time_col:
+        kept = kept.withWatermark(time_col, delay)
+    state = ScanHistory((top, least, correlation, ppm), history, time_col, int(pd.Timedelta(idle).total_seconds() * 1000))
+    return kept.groupBy("sample_id").transformWithStateInPandas(state, PAIRS, "append", "eventTime" if time_col else "none")
+
+
+class HeldPairs(_Idle):
+    """A sample's ``PairCache`` as state: a row for each bin of mz1, of which a batch reads and writes those its pairs reach."""
+
+    _FIELDS = {"number": "long", "mz1": "double", "mz2": "double", "correlation": "double", "first": "long", "last": "long", "hits": "long"}
+
+    def __init__(self, ppm: float, gap: int, every: int, time_col: str, idle: int) -> None:
+        super().__init__(time_col, idle)
+        self.ppm, self.gap, self.every = ppm, gap, every
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bins = handle.getMapState("bins", "bin long", ", ".join(f"{k} array<{t}>" for k, t in self._FIELDS.items()))
+        self.seen = handle.getValueState("seen", "n long, number long")
+
+    def _store(self, bin_: int, entries: list[list]) -> None:
+        if entries:
+            self.bins.updateValue((bin_,), tuple(list(c) for c in zip(*entries, strict=True)))
+        elif self.bins.containsKey((bin_,)):
+            self.bins.removeKey((bin_,))
+
+    def _all(self) -> list[tuple[int, list[list]]]:
+        return [(k[0], [list(e) for e in zip(*v, strict=True)]) for k, v in self.bins.iterator()]
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frame = _joined(rows)
+        before, number = self.seen.get() if self.seen.exists() else (None, 0)
+        cache = deltas.PairCache(self.ppm, self.gap)
+        cache.count = number
+        kept = frame if before is None else frame[frame["n"] >= before]
+        homes = {cache.bin(m) for m in kept["mz1"].unique()}
+        for b in sorted({b + d for b in homes for d in (-1, 0, 1)}):
+            found = self.bins.getValue((b,))
+            for entry in zip(*found, strict=True) if found else []:
+                cache.put(list(entry))
+        for n, mz1, mz2, r in kept.sort_values(["n", "mz1", "mz2", "correlation"])[["n", "mz1", "mz2", "correlation"]].itertuples(index=False):
+            cache.add(int(n), mz1, mz2, r)
+        for b, of in cache.held.items():
+            self._store(b, [e for some in of.values() for e in some])
+        out = []
+        if len(kept):
+            now = int(kept["n"].max())
+            if before is None or now // self.every > before // self.every:
+                out = self._spilled(now)
+            self.seen.update((now, cache.count))
+        self.renew(frame)
+        yield pd.DataFrame(deltas.cached_rows(key[0], out), columns=_CACHED)
+
+    def _spilled(self, now: int) -> list[list]:
+        """Takes out the entries that no scan from ``now`` on can extend."""
+        out = []
+        for b, entries in self._all():
+            gone = [e for e in entries if now - e[5] >= self.gap]
+            if gone:
+                out += gone
+                self._store(b, [e for e in entries if now - e[5] < self.gap])
+        return out
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        out = [e for _, entries in self._all() for e in entries]
+        self.bins.clear()
+        self.seen.clear()
+        yield pd.DataFrame(deltas.cached_rows(key[0], out), columns=_CACHED)
+
+
+def cached_sessions(pairs: DataFrame, time_col: str, ppm: float = 3.0, gap: int = 5, every: int = 10, idle: str = "10 minutes", delay: str = "1 minute") -> DataFrame:
+    """``operators.deltas.cached_sessions`` of a stream of pairs (sample_id long, n, mz1, mz2, correlation, ``time_col``), scans in order in a sample.
+
+    An entry is given out once no later scan can extend it, looked at every ``every`` scans, or when nothing of its sample came
+    for ``idle`` by the watermark; then the sample's state is dropped. Pairs of scans before the last one seen are late and
+    left out, as are pairs with a null or an m/z of 0 or less. State is bounded by the pairs of the last ``every`` + ``gap``
+    scans; rows at or before the watermark, ``delay`` behind the latest, are dropped. A sample, one run of one instrument, is one key, since each entry depends on those before it.
+    """
+    _rocksdb(pairs.sparkSession)
+    kept = pairs.select("sample_id", "n", "mz1", "mz2", "correlation", time_col).dropna().filter("mz1 > 0 AND mz2 > 0").withWatermark(time_col, delay)
+    state = HeldPairs(ppm, gap, every, time_col, int(pd.Timedelta(idle).total_seconds() * 1000))
+    return kept.groupBy("sample_id").transformWithStateInPandas(state, f"sample_id long, {deltas.CACHED}", "append", "eventTime")
 
 
 def sessions(pairs: DataFrame, time_col: str, gap: str, delay: str = "0 seconds") -> DataFrame:
