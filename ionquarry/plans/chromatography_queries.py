@@ -352,11 +352,15 @@ def delta_cache(points):
 
 @query("signal")
 def sec_pairs(points):
-    """Similarity of size-exclusion profiles within a channel."""
+    """Similar size-exclusion profiles within a channel."""
+    return fractionation.similar_above(sec_profiles(points), "trace", "block", 0.9, 1.5)
+
+
+def sec_profiles(points):
+    """A profile for each channel and sample, in blocks by channel."""
     held = fractionation.densified(points.select(F.concat_ws("-", "channel", "sample_id").alias("trace"), F.floor(F.col("scan_id") / 12).alias("fraction"), "intensity"), ["trace"])
     found = fractionation.picked(held, ["trace"], Picking(drop_top=60))
-    rows = fractionation.profiles(held, found, "trace").withColumn("block", F.substring_index("trace", "-", 1))
-    return fractionation.similar_traces(rows.filter(F.substring_index("trace", "-", -1).cast("int") <= 15), "trace", "block", 1.5)
+    return fractionation.profiles(held, found, "trace").withColumn("block", F.substring_index("trace", "-", 1))
 
 
 @query("signal")
