@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ionquarry.operators.chrom import middle
+
 
 def segments(anchors: DataFrame) -> DataFrame:
     """Contiguous segments (sample_id, rt0, rt1, new0, new1) of each sample from its anchors (sample_id, rt, rt_update).
@@ -55,61 +59,123 @@ def fit_error(peaks: DataFrame, keys: list[str]) -> DataFrame:
     return peaks.join(medians, keys).groupBy("sample_id").agg(F.sum(F.pow(F.col("_median") - F.col("rt"), 2)).alias("error"), F.count(F.lit(1)).alias("peaks"))
 
 
-def polynomial(x: np.ndarray, y: np.ndarray, most_degree: int, seed: int, attempts: int = 11) -> np.ndarray | None:
-    """Coefficients, highest power first, of the best of several fits on random halves; null with fewer than ten points.
+def _moments(most: int) -> list[Column]:
+    """s0.. = sums of u^k up to twice the degree, t0.. = sums of u^k d, and the sum of d^2: all that least squares of d on u need."""
+    power = lambda k: F.lit(1.0) if k == 0 else F.pow(F.col("_u"), F.lit(float(k)))
+    return [F.array(*[F.sum(power(k)) for k in range(2 * most + 1)]).alias("s"), F.array(*[F.sum(power(k) * F.col("_d")) for k in range(most + 1)]).alias("t"), F.sum(F.col("_d") * F.col("_d")).alias("dd")]
 
-    At most five points of one x count; outliers (squared residuals of a cubic over 1.5 deviations) are left out. All
-    degrees below ``most_degree`` are tried; the smallest root mean square over all points wins, if it is below that of
-    leaving x as it is.
-    """
-    if len(x) < 10:
-        return None
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    place = np.arange(len(x)) - np.searchsorted(x, x, "left")
-    x, y = x[place < 5], y[place < 5]
-    if len(x) < 10:
+
+def solved(s: np.ndarray, t: np.ndarray, degree: int) -> np.ndarray | None:
+    """Coefficients, lowest power first, of least squares from moments; null where the points don't determine them."""
+    at = np.arange(degree + 1)
+    normal = s[at[:, None] + at[None, :]]
+    if np.linalg.matrix_rank(normal, tol=1e-9 * max(abs(normal).max(), 1e-300)) <= degree:
         return None
-    centre, scale = x.mean(), x.std() or 1.0
-    u = (x - centre) / scale
-    residual = (np.polyval(np.polyfit(u, y, 3), u) - y) ** 2
-    spread = residual.std()
-    keep = (residual - residual.mean()) / spread <= 1.5 if spread else np.ones(len(u), bool)
-    u, own_y, own_x = u[keep], y[keep], x[keep]
-    best, least = None, float(np.sqrt(((own_x - own_y) ** 2).mean()))
-    r = np.random.Generator(np.random.PCG64(seed))
+    return np.linalg.solve(normal, t[: degree + 1])
+
+
+def _squares(c: np.ndarray, s: np.ndarray, t: np.ndarray, dd: float) -> float:
+    """Sum of squared residuals of a polynomial ``c``, lowest power first, from the moments of the points."""
+    at = np.arange(len(c))
+    return max(float(c @ s[at[:, None] + at[None, :]] @ c - 2 * c @ t[: len(c)] + dd), 0.0)
+
+
+def best_of(every: tuple, halves: list[tuple], most_degree: int) -> np.ndarray | None:
+    """The fit on one of ``halves`` with the smallest root mean square over ``every`` point; null if none is below that of no change.
+
+    Moments are (s, t, dd). Of equal fits the one of the lower degree, then of the earlier half, wins.
+    """
+    s, t, dd = every
+    best, least = None, math.sqrt(dd / s[0])
     for degree in range(1, most_degree):
-        for _ in range(attempts):
-            some = r.permutation(len(u))[: max(len(u) // 2, degree + 1)]
-            if len(np.unique(u[some])) <= degree:
+        for half in halves:
+            fit = solved(half[0], half[1], degree)
+            if fit is None:
                 continue
-            fit = np.polyfit(u[some], own_y[some], degree)
-            error = float(np.sqrt(((np.polyval(fit, u) - own_y) ** 2).mean()))
-            if error < least - 1e-12:
-                best, least = (fit, centre, scale), error
-    if best is None:
-        return None
-    fit, centre, scale = best
-    return np.atleast_1d(np.poly1d(fit)(np.poly1d([1 / scale, -centre / scale])).coeffs)
+            error = math.sqrt(_squares(fit, s, t, dd) / s[0])
+            if error < least - 1e-9:
+                best, least = fit, error
+    return best
 
 
-def polynomial_fits(peaks: DataFrame, keys: list[str], most_degree: int = 4, seed: int = 0) -> DataFrame:
-    """(sample_id, coefficients, highest power first): the map of each sample's rt onto its groups' medians; null without a better one."""
-    medians = peaks.groupBy(*keys).agg(F.median("rt").alias("_median"), F.count(F.lit(1)).alias("_n")).filter("_n >= 2")
+def fit_points(peaks: DataFrame, keys: list[str]) -> DataFrame:
+    """The points that count for a sample's fit: sample_id, rt, _median, _copy, _u and _d (rt, and the way to the median, in deviations), _centre, _scale.
+
+    Groups of two peaks or more; at most five points of one rt; samples of ten points or more; without outliers, whose
+    squared residuals of a cubic lie over 1.5 deviations from their mean. Peaks with a null rt don't count. All by sums for
+    each sample, combined before they are shuffled: no sample's points are held at once.
+    """
+    known = peaks.filter("rt IS NOT NULL AND sample_id IS NOT NULL").select(*keys, "sample_id", "rt")
+    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").drop("_n")
+    medians = middle(known, keys, "rt", "_median").join(sizes, keys, "left_semi")
+    pairs = known.join(medians, keys).select("sample_id", "rt", "_median")
+    five = pairs.withColumn("_copy", F.row_number().over(Window.partitionBy("sample_id", "rt").orderBy("_median"))).filter("_copy <= 5")
+    about = five.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_n"), F.avg("rt").alias("_centre"), F.stddev_pop("rt").alias("_scale")).filter("_n >= 10").drop("_n")
+    about = about.withColumn("_scale", F.when(F.col("_scale") > 0, F.col("_scale")).otherwise(1.0))
+    placed = five.join(about, "sample_id").withColumns({"_u": (F.col("rt") - F.col("_centre")) / F.col("_scale"), "_d": (F.col("_median") - F.col("rt")) / F.col("_scale")})
+    sums = placed.groupBy("sample_id").agg(*_moments(3))
+
+    def cubic(batches):
+        for batch in batches:
+            rows = [(np.array(s), np.array(t)) for s, t in zip(batch["s"], batch["t"], strict=True)]
+            fits = [next((f for f in (solved(s, t, d) for d in (3, 2, 1, 0)) if f is not None), np.zeros(1)) for s, t in rows]
+            yield pd.DataFrame({"sample_id": batch["sample_id"], "_cubic": [f[::-1].tolist() for f in fits]})
+
+    schema = T.StructType([peaks.schema["sample_id"], T.StructField("_cubic", T.ArrayType(T.DoubleType()))])
+    value = F.aggregate("_cubic", F.lit(0.0), lambda a, c: a * F.col("_u") + c)
+    off = placed.join(sums.select("sample_id", "s", "t").mapInPandas(cubic, schema), "sample_id").withColumn("_r", F.pow(value - F.col("_d"), F.lit(2.0)))
+    spread = off.groupBy("sample_id").agg(F.avg("_r").alias("_mean"), F.stddev_pop("_r").alias("_dev"))
+    near = (F.col("_dev") <= 1e-15) | ((F.col("_r") - F.col("_mean")) / F.col("_dev") <= 1.5)
+    return off.join(spread, "sample_id").filter(near).select("sample_id", "rt", "_median", "_copy", "_u", "_d", "_centre", "_scale")
+
+
+def in_half(attempt: Column, seed: int) -> Column:
+    """Whether a point is in the random half of an ``attempt``; attempt 0 takes all. Points of one rt and median fall apart by their number.
+
+    It goes by values that were read, not by sums, so that a task that runs again draws the same half.
+    """
+    return (attempt == 0) | (F.pmod(F.xxhash64(F.lit(seed), attempt, "rt", "_median", "_copy"), F.lit(2)) == 0)
+
+
+def polynomial_fits(peaks: DataFrame, keys: list[str], most_degree: int = 4, seed: int = 0, attempts: int = 11) -> DataFrame:
+    """(sample_id, coefficients, highest power first): the map of each sample's rt onto its groups' medians; null without a better one.
+
+    Of ``fit_points``, all degrees below ``most_degree`` are fitted to several random halves, and judged on all points, by
+    sums of powers for each sample and attempt; a row of sums for each is all that Python sees. Samples with fewer than ten points are not listed
+    or have none.
+    """
+    points = fit_points(peaks, keys)
+    tried = points.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(attempts)))).filter(in_half(F.col("_k"), seed))
+    sums = tried.groupBy("sample_id", "_k").agg(*_moments(max(most_degree - 1, 1)), F.first("_centre").alias("_centre"), F.first("_scale").alias("_scale"))
+    listed = sums.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("_k", "s", "t", "dd"))).alias("m"), F.first("_centre").alias("_centre"), F.first("_scale").alias("_scale"))
     schema = T.StructType([peaks.schema["sample_id"], T.StructField("coefficients", T.ArrayType(T.DoubleType()))])
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        found = polynomial(group["rt"].to_numpy(float), group["_median"].to_numpy(float), most_degree, seed)
-        return pd.DataFrame([(key[0], None if found is None else found.tolist())], columns=schema.names)
+    def run(batches):
+        for batch in batches:
+            out = []
+            for m, centre, scale in zip(batch["m"], batch["_centre"], batch["_scale"], strict=True):
+                every, *halves = [(np.array(x["s"]), np.array(x["t"]), x["dd"]) for x in m]
+                fit = best_of(every, halves, most_degree)
+                if fit is None:
+                    out.append(None)
+                else:
+                    moved = np.poly1d(fit[::-1])(np.poly1d([1 / scale, -centre / scale])) * scale + np.poly1d([1.0, 0.0])
+                    out.append(np.atleast_1d(moved.coeffs).tolist())
+            yield pd.DataFrame({"sample_id": batch["sample_id"], "coefficients": out})
+
+    return listed.mapInPandas(run, schema)
+
 
-    return peaks.join(medians, keys).select("sample_id", "rt", "_median").groupBy("sample_id").applyInPandas(run, schema)
+def moved_by(points: DataFrame, fits: DataFrame) -> DataFrame:
+    """``points`` with the rt that its sample's polynomial gives; without one the rt stays."""
+    value = F.aggregate("coefficients", F.lit(0.0), lambda s, c: s * F.col("rt") + c)
+    held = points.join(fits, "sample_id", "left")
+    return held.withColumn("rt", F.when(F.col("coefficients").isNull(), F.col("rt")).otherwise(value)).select(*points.columns)
 
 
 def apply_polynomial(points: DataFrame, fits: DataFrame) -> DataFrame:
-    """``points`` with rt_original and the rt that its sample's polynomial gives; without one the rt stays."""
-    value = F.aggregate("coefficients", F.lit(0.0), lambda s, c: s * F.col("rt_original") + c)
-    held = points.withColumnRenamed("rt", "rt_original").join(fits, "sample_id", "left")
-    return held.withColumn("rt", F.when(F.col("coefficients").isNull(), F.col("rt_original")).otherwise(value)).drop("coefficients")
+    """``moved_by`` that keeps the rt a point had as rt_original."""
+    return moved_by(points.withColumn("rt_original", F.col("rt")), fits)
 
 
 def restored(points: DataFrame) -> DataFrame:
@@ -120,19 +186,25 @@ def restored(points: DataFrame) -> DataFrame:
 def aligned(peaks: DataFrame, keys: list[str], rounds: int = 5, most_degree: int = 4, seed: int = 0) -> DataFrame:
     """``peaks`` with rt aligned by repeated polynomial fits, and rt_original; stops, and goes back, when the total error no longer falls.
 
-    The driver holds one number a round. Peaks have the group's keys, sample_id and rt.
+    The driver holds one number a round. Peaks have the group's keys, sample_id and rt; several of one sample in a group, and
+    repeated rows, stay as they are; peaks with a null rt keep it.
     """
+    return aligned_rounds(peaks, keys, rounds, most_degree, seed)[0]
+
+
+def aligned_rounds(peaks: DataFrame, keys: list[str], rounds: int = 5, most_degree: int = 4, seed: int = 0) -> tuple[DataFrame, list[float]]:
+    """What ``aligned`` gives, and the total error before the first round and after each that was kept."""
     total = lambda df: fit_error(df, keys).agg(F.sum("error")).first()[0] or 0.0
-    held, least = peaks.withColumn("rt_original", F.col("rt")), None
-    least = total(held)
+    held = peaks.withColumn("rt_original", F.col("rt"))
+    errors = [total(held)]
     for k in range(rounds):
-        moved = apply_polynomial(held.drop("rt_original"), polynomial_fits(held, keys, most_degree, seed + k)).drop("rt_original")
-        moved = moved.join(peaks.withColumnRenamed("rt", "rt_original").select(*keys, "sample_id", "rt_original"), [*keys, "sample_id"]).checkpoint()
+        moved = moved_by(held, polynomial_fits(held, keys, most_degree, seed + k)).checkpoint()
         now = total(moved)
-        if now >= least:
+        if now >= errors[-1]:
             break
-        held, least = moved, now
-    return held
+        held = moved
+        errors.append(now)
+    return held, errors
 
 
 def anchors_from_traces(traces: DataFrame, anchors: DataFrame, ppm: float, rt_window: float) -> DataFrame:

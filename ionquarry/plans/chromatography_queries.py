@@ -317,6 +317,15 @@ def rt_polynomials(points):
     return alignment.polynomial_fits(points.select("channel", "mz", "sample_id", "rt"), ["channel", "mz"])
 
 
+@query("signal")
+def rt_aligned(points):
+    """What the rounds of fits leave of each sample's squared distance to the groups' medians."""
+    rows = points.select("channel", "mz", "sample_id", "rt")
+    after = alignment.aligned(rows, ["channel", "mz"], rounds=3).select(rows.columns)
+    before, left = (alignment.fit_error(df, ["channel", "mz"]) for df in (rows, after))
+    return before.join(left.select("sample_id", F.col("error").alias("error_after")), "sample_id").withColumns({"error": _r("error", 3), "error_after": _r("error_after", 3)})
+
+
 @query("signal", "SELECT a.anchor_id, s.sample_id, rt FROM (SELECT unnest(range(8)) AS anchor_id) a CROSS JOIN (SELECT DISTINCT sample_id FROM signal) s LEFT JOIN (SELECT anchor_id, sample_id, round(arg_max(rt, (intensity, -rt)), 4) AS rt FROM signal JOIN (SELECT unnest(range(8)) AS anchor_id) ON abs(mz - (105 + 10 * anchor_id)) <= (105 + 10 * anchor_id) * 0.02 AND abs(rt - 20000) <= 15000 GROUP BY 1, 2) USING (anchor_id, sample_id)")
 def rt_anchors(points):
     """The most intense point of each sample around each anchor."""

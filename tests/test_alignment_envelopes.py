@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,14 +24,81 @@ def test_alignment_brings_shifted_samples_together(spark):
     assert all(back[g, s] == rt for g, s, rt in rows)
 
 
-def test_few_points_have_no_polynomial():
-    import numpy as np
-
-    assert alignment.polynomial(np.arange(9.0), np.arange(9.0) + 1, 4, 0) is None
-    x = np.arange(30.0)
-    fit = alignment.polynomial(x, 2 * x + 1, 3, 0)
-    assert np.polyval(fit, x) == pytest.approx(2 * x + 1)
-    assert alignment.polynomial(x, x, 3, 0) is None
+def plain_points(rows):
+    """Points of each sample that count for its fit, as (rt, median), by plain loops and numpy."""
+    groups, of = {}, {}
+    for g, s, rt in rows:
+        groups.setdefault(g, []).append(rt)
+    for g, s, rt in rows:
+        if len(groups[g]) > 1:
+            of.setdefault(s, {}).setdefault(rt, []).append(float(np.median(groups[g])))
+    out = {}
+    for s, at in of.items():
+        x, y = np.array([(rt, m) for rt, ms in at.items() for m in sorted(ms)[:5]]).T
+        if len(x) >= 10:
+            u, d = (x - x.mean()) / (x.std() or 1), (y - x) / (x.std() or 1)
+            r = (np.polyval(np.polyfit(u, d, 3), u) - d) ** 2
+            keep = (r - r.mean()) / r.std() <= 1.5 if r.std() > 1e-15 else np.ones(len(x), bool)
+            out[s] = sorted(zip(x[keep].tolist(), y[keep].tolist(), strict=True))
+    return out
+
+
+def bent(seed, groups=60):
+    """Peaks of samples that are bent, shifted, or have outliers and repeated rts; one sample has few."""
+    r = random.Random(seed)
+    rows = []
+    for g in range(groups):
+        rt = 1 + g * 0.5
+        for s in range(5):
+            moved = rt + (0.0, 0.3, 0.02 * rt, 0.001 * rt * rt, 0.0)[s] + r.gauss(0, 0.01) + (3.0 if r.random() < 0.03 else 0.0)
+            rows.append((g, s, round(moved, 1) if s == 4 else moved))
+        if g < 5:
+            rows.append((g, 9, rt + 0.5))
+    return rows + [(1000 + k, 4, 2.0) for k in range(9)] + [(1000 + k, 1, 2.1 + k) for k in range(9)] + [(5000, 0, 1.0)]
+
+
+PEAKS = "group_id long, sample_id long, rt double"
+
+
+def test_fits_by_sums_equal_fits_on_points(spark):
+    rows = bent(3)
+    table = spark.createDataFrame(rows + [(0, 1, None), (0, None, 1.0)], PEAKS)
+    points = alignment.fit_points(table, ["group_id"]).checkpoint()
+    held = {}
+    for x in points.collect():
+        held.setdefault(x.sample_id, []).append((x.rt, x._median))
+    expected = plain_points(rows)
+    assert set(held) == set(expected) == {0, 1, 2, 3, 4}
+    assert all(np.allclose(sorted(held[s]), expected[s]) for s in held)
+    tried = points.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(11)))).filter(alignment.in_half(F.col("_k"), 7)).collect()
+    found = {x.sample_id: x.coefficients for x in alignment.polynomial_fits(table, ["group_id"], seed=7).collect()}
+    for s, every in expected.items():
+        x, y = np.array(every).T
+        best, least = None, np.sqrt(((x - y) ** 2).mean())
+        for degree in (1, 2, 3):
+            for k in range(1, 12):
+                some = [(t.rt, t._median) for t in tried if t.sample_id == s and t._k == k]
+                fit = np.polyfit(*np.array(some).T, degree)
+                error = np.sqrt(((np.polyval(fit, x) - y) ** 2).mean())
+                assert 0.2 * len(x) < len(some) < 0.8 * len(x)
+                if error < least - 1e-9:
+                    best, least = fit, error
+        if best is None:
+            assert found[s] is None
+        else:
+            assert np.polyval(found[s], x) == pytest.approx(np.polyval(best, x), abs=1e-6)
+
+
+def test_errors_fall_round_by_round(spark):
+    rows = bent(4)
+    table = spark.createDataFrame(rows + rows[:7] + [(0, 1, None)], PEAKS)
+    out, errors = alignment.aligned_rounds(table, ["group_id"], rounds=4)
+    assert len(errors) > 1 and all(b < a for a, b in zip(errors, errors[1:], strict=False)) and errors[-1] < 0.8 * errors[0]
+    assert out.count() == len(rows) + 8 and sorted(x.rt_original for x in out.collect() if x.rt is not None) == sorted(r[2] for r in rows + rows[:7])
+    few = spark.createDataFrame(rows[:9], PEAKS)
+    same, none = alignment.aligned_rounds(few, ["group_id"])
+    assert len(none) == 1 and all(x.rt == x.rt_original for x in same.collect())
+    assert alignment.aligned(spark.createDataFrame([], PEAKS), ["group_id"]).count() == 0
 
 
 def test_segments_need_rising_updates(spark):
