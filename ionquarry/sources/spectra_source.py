@@ -149,7 +149,7 @@ class SpectraReader(DataSourceReader):
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         rows, points, schema = [], 0, to_arrow_schema(self.schema)
-        for row in scans_of(partition, self.wanted) if partition.path else ():
+        for row in self.scans(partition) if partition.path else ():
             rows.append(row)
             points += len(row["mz"])
             if points > 500_000 or len(rows) >= 5000:
@@ -158,6 +158,9 @@ class SpectraReader(DataSourceReader):
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
+    def scans(self, part: Part) -> Iterator[dict]:
+        return scans_of(part, self.wanted)
+
 
 def listed(pattern: str) -> list[tuple[str, tuple[str, int]]]:
     """(path, (name, size)) of the files of a path: a file, a directory, or a pattern for names in one."""
