@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ionquarry.operators.chrom import middle
+from ionquarry.operators.chrom import middle, small_rows
 
 
 def segments(anchors: DataFrame) -> DataFrame:
@@ -210,7 +210,8 @@ def aligned_rounds(peaks: DataFrame, keys: list[str], rounds: int = 5, most_degr
 def anchors_from_traces(traces: DataFrame, anchors: DataFrame, ppm: float, rt_window: float) -> DataFrame:
     """(anchor_id, sample_id, rt): the rt of the most intense point of each sample around each anchor (anchor_id, mz, expected_rt), or null.
 
-    Points are put into bins of m/z as wide as the tolerance at 100 Da, anchors into all bins they reach.
+    Points are put into bins of m/z as wide as the tolerance at 100 Da, anchors into all bins they reach. Anchors are at most
+    10,000, checked, before they are broadcast to make a row for each with each sample, which is the result's size.
     """
     width = 100 * ppm / 1e6 * 2
     own = traces.withColumn("_bin", F.floor(F.col("mz") / width))
@@ -218,5 +219,6 @@ def anchors_from_traces(traces: DataFrame, anchors: DataFrame, ppm: float, rt_wi
     spread = anchors.withColumnRenamed("mz", "anchor_mz").withColumn("_bin", F.explode(F.sequence(F.floor((F.col("anchor_mz") - reach) / width), F.floor((F.col("anchor_mz") + reach) / width))))
     near = own.join(spread, "_bin").filter((F.abs(F.col("mz") - F.col("anchor_mz")) <= reach) & (F.abs(F.col("rt") - F.col("expected_rt")) <= rt_window))
     best = near.withColumn("_r", F.row_number().over(Window.partitionBy("anchor_id", "sample_id").orderBy(F.desc("intensity"), "rt"))).filter("_r = 1")
-    grid = anchors.select("anchor_id").crossJoin(traces.select("sample_id").distinct())
+    small_rows(anchors.select("anchor_id"))
+    grid = traces.select("sample_id").distinct().crossJoin(F.broadcast(anchors.select("anchor_id")))
     return grid.join(best.select("anchor_id", "sample_id", "rt"), ["anchor_id", "sample_id"], "left")

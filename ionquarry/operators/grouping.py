@@ -97,7 +97,15 @@ def clustered(peaks: list[dict], most: float) -> list[int]:
     """Cluster of each peak: pairs of unlike samples within ``most``, the closest first, join clusters that share no sample."""
     root = list(range(len(peaks)))
     held = [{p["sample_id"]} for p in peaks]
-    pairs = [(round(abs(a["rt"] - b["rt"]), 6), i, j) for i, a in enumerate(peaks) for j, b in enumerate(peaks) if i < j and a["sample_id"] != b["sample_id"] and abs(a["rt"] - b["rt"]) <= most]
+    by_rt = sorted((i for i, p in enumerate(peaks) if p["rt"] == p["rt"]), key=lambda i: peaks[i]["rt"])
+    pairs = []
+    for k, i in enumerate(by_rt):
+        for j in by_rt[k + 1 :]:
+            apart = peaks[j]["rt"] - peaks[i]["rt"]
+            if apart > most:
+                break
+            if peaks[i]["sample_id"] != peaks[j]["sample_id"]:
+                pairs.append((round(apart, 6), min(i, j), max(i, j)))
 
     def top(i: int) -> int:
         while root[i] != i:

@@ -66,3 +66,25 @@ def test_statistics_of_groups(spark):
     got = G.group_statistics(table, ["channel"], F.col("sample_id") == 5).collect()[0]
     assert (got.max_intensity, got.rt, got.mz, got.peaks, got.blank_max, got.sample_max, got.sample_count) == (30, 1.2, 100.2, 3, 20, 30, 2)
     assert got.mean_rt == pytest.approx(1.05) and got.weighted_rt == pytest.approx((10 + 36 + 22) / 60) and got.rtmin == 0.9 and got.rtmax == 1.4
+
+
+def by_all_pairs(peaks, most):
+    """Clusters from every pair of peaks, the closest first."""
+    of = list(range(len(peaks)))
+    pairs = sorted((round(abs(a["rt"] - b["rt"]), 6), i, j) for i, a in enumerate(peaks) for j, b in enumerate(peaks) if i < j and a["sample_id"] != b["sample_id"] and abs(a["rt"] - b["rt"]) <= most)
+    for _, i, j in pairs:
+        one, other = ({k for k, c in enumerate(of) if c == of[x]} for x in (i, j))
+        if of[i] != of[j] and not {peaks[k]["sample_id"] for k in one} & {peaks[k]["sample_id"] for k in other}:
+            low = min(of[i], of[j])
+            for k in one | other:
+                of[k] = low
+    return of
+
+
+def test_clusters_of_neighbours_equal_those_of_all_pairs():
+    r = random.Random(8)
+    for n in (0, 1, 5, 60):
+        for most in (0.0, 0.2, 3.0):
+            own = [{"rt": round(r.uniform(0, 6), r.choice([1, 6])), "sample_id": r.randrange(5)} for _ in range(n)]
+            assert G.clustered(own, most) == by_all_pairs(own, most)
+    assert G.clustered([{"rt": float("nan"), "sample_id": 1}, {"rt": 1.0, "sample_id": 2}, {"rt": 1.0, "sample_id": 3}], 1.0) == [0, 1, 1]
