@@ -53,10 +53,10 @@ def rolled_up(groups: DataFrame, tolerance: float) -> DataFrame:
     """Groups with representative, label and parent: of each category, the most intense quant (else qq) group stands for those near it.
 
     Candidates are groups of kind quant or qq; the representative gets label q; other groups of the category within
-    ``tolerance`` of its rt are its children, the rest stay by themselves. Ties go to the smaller group_id.
+    ``tolerance`` of its rt are its children, the rest stay by themselves. Ties go to the smaller group_id, then to the earlier rt.
     """
     candidate = F.col("transition_kind").isin("quant", "qq")
-    order = Window.partitionBy("category").orderBy(F.when(candidate, 0).otherwise(1), F.desc("intensity"), "group_id")
+    order = Window.partitionBy("category").orderBy(F.when(candidate, 0).otherwise(1), F.desc("intensity"), "group_id", "rt")
     first = lambda c: F.first(F.when(candidate, F.struct("group_id", "rt")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))[c]
     held = groups.withColumns({"_top": first("group_id"), "_rt": first("rt")})
     representative = F.coalesce(F.col("group_id") == F.col("_top"), F.lit(False))
