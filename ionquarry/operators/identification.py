@@ -52,6 +52,28 @@ def metabolite_search(groups: DataFrame, library: DataFrame, ppm: float, fragmen
     return _ranked(held, [F.desc("score"), F.asc("name")], tolerance)
 
 
+def best_of(groups: DataFrame, library: DataFrame, ppm: float, fragment_ppm: float, score: str, least_score: float, least_matches: int = 0, tolerance: float = 0.5) -> DataFrame:
+    """The rows of rank 1 of ``lipid_search`` (``score`` plain, ordered by it, cosine, name) or ``metabolite_search`` (cosine, name): group columns, score, cosine, compound_id, name, label.
+
+    Compounds of equal m/z and spectrum are a class, led by its first name, then compound_id; so are groups of equal m/z and
+    spectrum. Pairs of classes are scored, by what decides alone; a class's best then goes to its groups.
+    """
+    first = F.min(F.struct("name", "compound_id", "expected_rt")).alias("lead")
+    led = library.groupBy("precursor_mz", "library_spectrum").agg(first)
+    held = groups.groupBy("mz", "spectrum").agg(F.min("group_id").alias("_class"))
+    # few bytes make many pairs, which are scored where they meet
+    number = max(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups.sparkSession.sparkContext.defaultParallelism)
+    near = ranges.ppm_join(held, led, "mz", "precursor_mz", ppm, number)
+    light = matching.scored_light(F.col("library_spectrum"), F.col("spectrum"), F.col("precursor_mz"), F.col("mz"), fragment_ppm)
+    scores = near.select("_class", "lead", light.alias("s")).select("_class", "lead", "s.matches", F.col("s.plain").alias("plain"), F.col("s.cosine").alias("cosine"))
+    own = scores.withColumn("score", F.col(score)).filter((F.col("score") >= least_score) & (F.col("matches") >= least_matches))
+    order = F.struct((-F.col("score")).alias("a"), (-F.col("cosine")).alias("b"), "lead")
+    best = own.groupBy("_class").agg(F.min_by(F.struct("score", "cosine", "lead"), order).alias("_b"))
+    members = groups.join(held, ["mz", "spectrum"]).join(best, "_class")
+    agreement = rt_agreement(F.col("rt"), F.col("_b.lead.expected_rt"), F.lit(None).cast("double"), F.lit(None).cast("double"), tolerance)
+    return members.select(*groups.columns, "_b.score", "_b.cosine", "_b.lead.compound_id", "_b.lead.name", F.when(agreement.startswith("agrees"), "l").otherwise("").alias("label"))
+
+
 def _ranked(held: DataFrame, order: list[Column], tolerance: float) -> DataFrame:
     agreement = rt_agreement(F.col("rt"), F.col("expected_rt"), F.lit(None).cast("double"), F.lit(None).cast("double"), tolerance)
     rank = F.row_number().over(Window.partitionBy("group_id").orderBy(*order, "compound_id"))

@@ -11,16 +11,18 @@ def ppm(one: Column, other: Column) -> Column:
     return F.abs(one - other) / one * 1e6
 
 
-def ppm_join(left: DataFrame, right: DataFrame, left_mz: str, right_mz: str, tolerance: float) -> DataFrame:
+def ppm_join(left: DataFrame, right: DataFrame, left_mz: str, right_mz: str, tolerance: float, tasks: int | None = None) -> DataFrame:
     """Pairs with ``ppm(right_mz, left_mz) <= tolerance``; positive m/z only.
 
     The left side falls into bins of the logarithm as wide as the tolerance, the right side (the library) is put into
-    its own bin and both neighbours, so a pair meets in exactly one bin.
+    its own bin and both neighbours, so a pair meets in exactly one bin. With ``tasks``, that many share the bins, however few bytes they have.
     """
     width = tolerance * 1.5e-6
     own = left.filter(F.col(left_mz) > 0).withColumn("_bin", F.floor(F.log(left_mz) / width))
     home = F.floor(F.log(right_mz) / width)
     spread = right.filter(F.col(right_mz) > 0).withColumn("_bin", F.explode(F.array(home - 1, home, home + 1)))
+    if tasks:
+        own, spread = own.repartition(tasks, "_bin"), spread.repartition(tasks, "_bin").hint("shuffle_merge")
     return own.join(spread, "_bin").filter(ppm(F.col(right_mz), F.col(left_mz)) <= tolerance).drop("_bin")
 
 
