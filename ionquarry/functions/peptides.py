@@ -11,6 +11,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -194,6 +195,38 @@ def digested(sequence: Column, **options) -> Column:
     return _mapped(lambda s: [dict(zip(("start", "end", "peptide"), x, strict=True)) for x in digest(s, **options)], _rows(start=_L, end=_L, peptide=_S), sequence)
 
 
+#: Peptides that a task holds before it hands them on; those of one sequence stay together.
+PEPTIDES_AT_ONCE = 20_000
+
+
+def digest_rows(sequences: DataFrame, **options) -> DataFrame:
+    """(sequence_id, start, end, peptide) of ``sequences`` (sequence_id, residues): ``digested``, a row for each peptide.
+
+    Peptides take many times their sequence's bytes, so a batch of sequences gives many batches of them.
+    """
+    kind = sequences.schema["sequence_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            ids, held = batch.column("sequence_id"), []
+            for i, residues in enumerate(batch.column("residues")):
+                text = residues.as_py()
+                held += [] if text is None else [(i, *x) for x in digest(text, **options)]
+                if len(held) >= PEPTIDES_AT_ONCE:
+                    yield peptide_batch(ids, held)
+                    held = []
+            if held:
+                yield peptide_batch(ids, held)
+
+    return sequences.select("sequence_id", "residues").mapInArrow(run, f"sequence_id {kind}, start long, end long, peptide string")
+
+
+def peptide_batch(ids: pa.Array, held: list[tuple]) -> pa.RecordBatch:
+    """Rows of a place among ``ids``, start, end and peptide as an Arrow batch."""
+    at, start, end, peptide = zip(*held, strict=True)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(peptide, pa.string())], names=["sequence_id", "start", "end", "peptide"])
+
+
 def forms(peptide: Column, tmt: bool = False) -> Column:
     return _mapped(lambda p: modified_forms(p, tmt), T.ArrayType(_S), peptide)
 
