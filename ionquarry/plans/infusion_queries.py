@@ -27,30 +27,36 @@ hit AS (SELECT DISTINCT smp, f.block, compound_id, adduct, d FROM fragment f JOI
 SELECT smp AS sample, block, compound_id, adduct, count(*) AS hits FROM hit GROUP BY ALL HAVING count(*) >= {LEAST}"""
 
 
-def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(spectra, entries, ms1 peaks)."""
+def rows_and_entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(peaks: sample, block, mz, intensity; entries)."""
     rows = views.observed(spark, sf_dir).withColumns({"sample": (F.col("order_id") % 3).cast("long"), "precursor_mz": 900.0 + 25 * (F.col("order_id") % 5), "scan_id": F.col("order_id")})
     windows = block_search.isolation_blocks(rows.select("sample", "scan_id", "precursor_mz", (F.col("precursor_mz") - 20).alias("low"), (F.col("precursor_mz") + 20).alias("high")))
-    spectra = rows.groupBy("sample", block_search.block_of(F.col("precursor_mz")).alias("block")).agg(F.array_sort(F.collect_list(F.struct("mz", "intensity"))).alias("spectrum"))
     library = views.library(spark, sf_dir)
     ions = library.select("compound_id", F.explode(F.array(F.struct(F.lit("M").alias("adduct"), F.lit(0.0).alias("d")), F.struct(F.lit("M+10").alias("adduct"), F.lit(10.0).alias("d")))).alias("a"), "precursor_mz").select("compound_id", "a.adduct", (F.col("precursor_mz") + F.col("a.d")).alias("mz"))
     fragments = F.array(*[F.struct((F.col("mz") + d).alias("mz"), F.lit(y).alias("intensity"), F.lit(label).alias("label")) for d, y, label in _FRAGMENTS])
     entries = block_search.first_window(ions, windows, "block").select("block", "compound_id", "adduct", F.col("mz").alias("precursor_mz"), fragments.alias("fragments"))
-    return spectra, entries, rows.select("sample", "mz", "intensity")
+    return rows.select("sample", block_search.block_of(F.col("precursor_mz")).alias("block"), "mz", "intensity"), entries
+
+
+def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(spectra, entries, ms1 peaks), the spectra as arrays."""
+    peaks, entries = rows_and_entries(spark, sf_dir)
+    spectra = peaks.groupBy("sample", "block").agg(F.array_sort(F.collect_list(F.struct("mz", "intensity"))).alias("spectrum"))
+    return spectra, entries, peaks.select("sample", "mz", "intensity")
 
 
 def infusion_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Library ions that two fragments or more of lead to peaks of their block."""
-    spectra, entries, _ = inputs(spark, sf_dir)
-    return block_search.candidates(spectra, entries, PPM, LEAST)
+    peaks, entries = rows_and_entries(spark, sf_dir)
+    return block_search.candidates(peaks, entries, PPM, LEAST)
 
 
 def infusion_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches assessed fragment by fragment, with the MS1 intensity of their ions."""
-    spectra, entries, ms1 = inputs(spark, sf_dir)
-    matches = block_search.assessed(spectra, entries, PPM, LEAST, least_intensity=5.0)
+    peaks, entries = rows_and_entries(spark, sf_dir)
+    matches = block_search.assessed(peaks, entries, PPM, LEAST, least_intensity=5.0)
     ions = entries.select("compound_id", "adduct", F.col("precursor_mz").alias("mz"))
-    return block_search.with_ms1(matches, ions, ms1, 20.0, 0.9).withColumn("max_intensity", _r("max_intensity"))
+    return block_search.with_ms1(matches, ions, peaks, 20.0, 0.9).withColumn("max_intensity", _r("max_intensity"))
 
 
 QUERIES |= {"infusion_candidates": infusion_candidates, "infusion_block_search": infusion_block_search}

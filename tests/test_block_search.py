@@ -76,3 +76,23 @@ def test_ions_go_to_the_first_window(spark):
     shut = {x.mz: x.block for x in block_search.first_window(ions, windows.filter("block <> 2"), "block", inclusive=True).collect()}
     assert shut == {99.0: -1, 100.0: 3, 105.0: 1, 106.0: 1, 110.0: 1, 120.0: 1, 5e5: -1}
     assert block_search.first_window(ions, windows.limit(0), "block").select(F.max("block")).first()[0] == -1
+
+
+def test_near_peaks_come_in_chunks_and_copies(spark):
+    peaks = [(1, 0, 100.0 + (k % 40) * 0.05, float(k % 3)) for k in range(4000)] + [(1, 0, 1e4 + k, 1.0) for k in range(50)]
+    rows = spark.createDataFrame(peaks, "sample long, block long, mz double, intensity double")
+    fragments = [(100.02, 1.0, "a"), (100.03, 1.0, "b"), (100.04, 1.0, "c"), (101.0, 1.0, "d")]
+    entries = spark.createDataFrame([(0, k, "M", 100.0, fragments) for k in range(300)], "block long, compound_id long, adduct string, precursor_mz double, fragments array<struct<mz:double,intensity:double,label:string>>")
+    classes = block_search._classed(entries, 1).select("block", "_class", "precursor_mz", "fragments").dropDuplicates(["_class"])
+    near = block_search.nearest(rows, classes, 1000.0)
+    assert near.count() <= 4 * 4  # alike entries are one class, and a fragment brings no more peaks than it may need
+    got = block_search.assessed(rows, entries, 1000.0, 2).collect()
+    assert len(got) == 300 and {(x.matches, x.max_intensity) for x in got} == {(4, brute_top(peaks, fragments))}
+    from_arrays = spark.createDataFrame([(1, 0, [(m, y) for _, _, m, y in peaks])], "sample long, block long, spectrum array<struct<mz:double,intensity:double>>")
+    assert sorted(block_search.assessed(from_arrays, entries, 1000.0, 2).collect()) == sorted(got)
+
+
+def brute_top(peaks, fragments):
+    held = sorted((m, y) for _, _, m, y in peaks)
+    ranks = matching.greedy_ranks(np.array([f[0] for f in fragments]), np.array([p[0] for p in held]), 0.1)
+    return max(held[r][1] for r in ranks)
