@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,3 +89,57 @@ def test_clusters_of_neighbours_equal_those_of_all_pairs():
             own = [{"rt": round(r.uniform(0, 6), r.choice([1, 6])), "sample_id": r.randrange(5)} for _ in range(n)]
             assert G.clustered(own, most) == by_all_pairs(own, most)
     assert G.clustered([{"rt": float("nan"), "sample_id": 1}, {"rt": 1.0, "sample_id": 2}, {"rt": 1.0, "sample_id": 3}], 1.0) == [0, 1, 1]
+
+
+def many_peaks(r, n):
+    return [(f"c{r.randrange(2)}", r.randrange(8), float(r.randrange(40)), float(r.randrange(1, 9))) for _ in range(n)]
+
+
+PEAK = "channel string, sample_id long, rt double, rtmin double, rtmax double, intensity double, area double, area_top double, area_corrected double"
+
+
+def test_units_of_one_rt_are_clustered_as_pairs_are():
+    r = random.Random(12)
+    for most in (1.0, 2.0, 0.5):
+        own = [{"sample_id": r.randrange(9), "rt": float(r.randrange(12))} for _ in range(60)]
+        assert G.clustered_units(np.array([p["rt"] for p in own]), np.array([p["sample_id"] for p in own]), most) == G.clustered(own, most)
+    one_rt = np.zeros(20_000)
+    assert set(G.clustered_units(one_rt, np.arange(20_000), 1.0)) == {0}  # 200 million pairs
+
+
+def test_groups_of_merged_peaks_equal_the_plain_lists(spark):
+    r = random.Random(13)
+    rows = sorted({(c, s, t): (c, s, t, t - w, t + w, 1000.0 * w + r.random(), 1.0, 1.0, 1.0) for c, s, t, w in many_peaks(r, 300)}.values())
+    tops = [("c0", float(t)) for t in (3, 6, 12, 30)] + [("c1", float(t)) for t in (1, 2, 3, 20)]
+    a, b = spark.createDataFrame(rows, PEAK), spark.createDataFrame(tops, "channel string, rt double")
+    names = [c.split()[0] for c in PEAK.split(", ")]
+    for least in (-1.0, 0.3, 0.8):
+        want = {}
+        for channel in ("c0", "c1"):
+            own = sorted((dict(zip(names, x, strict=True)) for x in rows if x[0] == channel), key=lambda p: (-p["intensity"], p["sample_id"], p["rt"]))
+            merged = [{"rt": t} for c, t in tops if c == channel]
+            of = G.assigned(merged, own, 4.0)
+            groups = [[p for p, g in zip(own, of, strict=True) if g == k] for k in range(len(merged))]
+            groups = [g for g in groups if g] if least < 0 else G.merge_overlapping(groups, least)
+            want |= {(channel, p["sample_id"], p["rt"]): k for k, g in enumerate(groups) for p in g}
+        got = {(x.channel, x.sample_id, x.rt): x.group_id for x in G.group_by_merged(a, b, ["channel"], 4.0, least).collect()}
+        assert got == want and got
+
+
+def test_overlap_score_counts_ranges_together(spark):
+    import math
+
+    r = random.Random(14)
+    rows = [(c, r.randrange(3), s, t - w, t + w) for c, s, t, w in many_peaks(r, 120)] + [("c9", 0, 1, 0.0, 1.0), ("c9", 0, 2, 5.0, 6.0), ("c9", 1, 1, 5.0, 6.0)]
+    held = spark.createDataFrame(rows, "channel string, group_id long, sample_id long, rtmin double, rtmax double")
+    want = {}
+    for i, x in enumerate(rows):
+        for y in rows[i + 1 :]:
+            if x[:2] == y[:2] and x[2] != y[2]:
+                overlap = G.K.overlap(*x[3:], *y[3:])
+                want.setdefault(x[:2], []).append(math.log(overlap) if overlap > 0 else None)
+    got = {(x.channel, x.group_id): x.overlap_score for x in G.overlap_score(held, ["channel"]).collect()}
+    assert set(got) == set(want)
+    for key, logs in want.items():
+        known = [v for v in logs if v is not None]
+        assert got[key] == (pytest.approx(sum(known) / len(logs)) if known else None)
