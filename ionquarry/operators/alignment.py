@@ -46,7 +46,9 @@ def between_samples(anchors: DataFrame) -> DataFrame:
     w = Window.partitionBy("anchor_id").orderBy("sample_id")
     known = F.when(F.col("rt").isNotNull(), F.struct(F.col("sample_id").alias("s"), "rt"))
     last = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    following = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # from the other end, since a frame that ends at the last row is read again for each row
+    back = Window.partitionBy("anchor_id").orderBy(F.desc("sample_id"))
+    following = F.last(known, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     held = anchors.withColumns({"_l": last, "_n": following})
     inside = F.col("_l.rt") + (F.col("sample_id") - F.col("_l.s")) * (F.col("_n.rt") - F.col("_l.rt")) / (F.col("_n.s") - F.col("_l.s"))
     filled = F.when(F.col("rt").isNotNull(), F.col("rt")).when(F.col("_l").isNull(), F.col("_n.rt")).when(F.col("_n").isNull(), F.col("_l.rt")).otherwise(inside)
