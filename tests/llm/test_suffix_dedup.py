@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ionquarry.llm import suffix_dedup
 from ionquarry.llm.suffix_array import suffix_array
@@ -51,6 +52,15 @@ def test_suffix_array_against_sorting(symbols):
         assert suffix_array(np.array(text)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+def test_common_anchor_stays_in_its_tasks(spark):
+    rows = [(i, 7) for i in range(800)] + [(i, 1000 + i // 2) for i in range(800, 1000)] + [(i, i + 5000) for i in range(50)]
+    found = spark.createDataFrame(rows, "tid long, anchor long").repartition(8, "tid")
+    got = suffix_dedup.standing_again(found, common=100)
+    assert sorted((r.tid, r.anchor) for r in got.collect()) == sorted((t, a) for t, a in rows if a < 5000)
+    held = Counter(r[0] for r in got.filter("anchor = 7").select(F.spark_partition_id()).collect())
+    assert max(held.values()) < 200
+
+
 def test_remove_keeps_other_columns(spark):
     docs = spark.createDataFrame([(1, "x" * 50, 7), (2, "y", 8), (3, None, None)], "found int, text string, copies int")
     got = suffix_dedup.remove_repeats(docs, 40, gram=8)
