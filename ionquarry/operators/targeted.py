@@ -49,19 +49,20 @@ def extracted_amu(points: DataFrame, targets: DataFrame, amu_q1: float, amu_q3:
     return inside.groupBy("target_id", "sample_id", "scan_id").agg(F.max("intensity").alias("intensity"))
 
 
-def rolled_up(groups: DataFrame, tolerance: float) -> DataFrame:
+def rolled_up(groups: DataFrame, tolerance: float, place: tuple[str, ...] = ()) -> DataFrame:
     """Groups with representative, label and parent: of each category, the most intense quant (else qq) group stands for those near it.
 
     Candidates are groups of kind quant or qq; the representative gets label q; other groups of the category within
-    ``tolerance`` of its rt are its children, the rest stay by themselves. Ties go to the smaller group_id, then to the earlier rt.
+    ``tolerance`` of its rt are its children, the rest stay by themselves. Ties go to the smaller group_id, then to the first by
+    the columns ``place`` (left out of the result), then to the earlier rt.
     """
     candidate = F.col("transition_kind").isin("quant", "qq")
-    order = Window.partitionBy("category").orderBy(F.when(candidate, 0).otherwise(1), F.desc("intensity"), "group_id", "rt")
+    order = Window.partitionBy("category").orderBy(F.when(candidate, 0).otherwise(1), F.desc("intensity"), "group_id", *place, "rt")
     first = lambda c: F.first(F.when(candidate, F.struct("group_id", "rt")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))[c]
     held = groups.withColumns({"_top": first("group_id"), "_rt": first("rt")})
     representative = F.coalesce(F.col("group_id") == F.col("_top"), F.lit(False))
     child = ~representative & F.coalesce(F.abs(F.col("rt") - F.col("_rt")) <= tolerance, F.lit(False))
-    return held.withColumns({"representative": representative, "label": F.when(representative, "q").otherwise(""), "parent": F.when(child, F.col("_top"))}).drop("_top", "_rt")
+    return held.withColumns({"representative": representative, "label": F.when(representative, "q").otherwise(""), "parent": F.when(child, F.col("_top"))}).drop("_top", "_rt", *place)
 
 
 def background(baseline: Column, blank: Column, kind: str) -> Column:
