@@ -7,7 +7,8 @@ import random
 import numpy as np
 
 from ionquarry.operators import alignment, envelopes, matching
-from ionquarry.plans import queries
+from ionquarry.plans import catalog, queries
+from ionquarry.sources import views
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,6 +50,13 @@ def test_equal_windows_are_looked_up_once(spark):
     assert {(x.group_id, x.isotope, x.sample_id, x.scan_id): x._y for x in envelopes._scans(a, b).collect()} == want
 
 
+def test_every_compound_has_its_isotope_children(spark):
+    found = catalog.QUERIES["isotope_children"](spark, SF)
+    parents = {x.child_id.split("/")[0] for x in found.filter("isotope = 'C12 PARENT'").collect()}
+    assert parents == {str(x.compound_id) for x in views.library(spark, SF).select("compound_id").collect()} and len(parents) > 100
+    assert found.filter("parent_group_id IS NOT NULL AND samples > 0").select("parent_group_id").distinct().count() == len(parents)
+
+
 def test_spectra_are_arrays_as_well_as_rows():
     rows = [{"mz": 3.0, "intensity": 1.0}, {"mz": 1.0, "intensity": 2.0}, {"mz": 2.0, "intensity": 5.0}]
     sides = ([3.0, 1.0, 2.0], [1.0, 2.0, 5.0])
