@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from test_fractionation import SCHEMA, profiles
 
 from ionquarry.operators import fractionation
+from ionquarry.operators.trace_kernels import Picking
 from ionquarry.plans import catalog
+from ionquarry.plans.chromatography_queries import sec_profiles
+from ionquarry.sources import views
 
 
 @pytest.mark.parametrize("tile", [7, 1024])
@@ -43,3 +46,13 @@ def test_copies_of_profiles_make_no_more_pairs(spark):
 def test_query_has_as_many_members_as_traces(spark):
     found = catalog.QUERIES["sec_pairs"](spark, "/root/testdata/sf0.001").groupBy("kind").count().collect()
     assert {x.kind for x in found} == {"trace", "pair"}
+
+
+def test_profiles_are_made_where_their_points_lie(spark):
+    points = views.signal(spark, "/root/testdata/sf0.001").select(F.concat_ws("-", "channel", "sample_id").alias("trace"), F.floor(F.col("scan_id") / 12).alias("fraction"), "intensity")
+    dense = fractionation.densified(points, ["trace"]).cache()
+    want = fractionation.profiles(dense, fractionation.picked(dense, ["trace"], Picking(drop_top=60)), "trace")
+    got = sec_profiles(views.signal(spark, "/root/testdata/sf0.001"))
+    rounded = lambda df: {x.trace: (x["first"], *[[round(v, 6) for v in x[c]] for c in ("values", "centres", "tops")]) for x in df.collect()}
+    assert rounded(got) == rounded(want) and rounded(want)
+    assert got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange") == 1
