@@ -20,6 +20,8 @@ from ionquarry.operators.written import written
 #: The block of ions that no isolation window holds, the width of the index's bins (Da), and the highest m/z that windows reach.
 NO_BLOCK, BIN, HIGHEST = -1, 0.05, 100_000
 _KEYS = ["sample", "block", "compound_id", "adduct"]
+#: For tables with rows of a library: its file's size says little of how many there are, so that they would be broadcast through the driver.
+_SHUFFLED = "shuffle_merge"
 
 
 def block_of(precursor_mz: Column) -> Column:
@@ -96,7 +98,7 @@ def nearest(peaks: DataFrame, asked: DataFrame, ppm: float, single: bool = False
     spread = peaks.filter("mz IS NOT NULL").join(F.broadcast(placed.select("block", "_level").distinct()), "block").withColumn("_chunk", F.explode(F.sequence(chunk(F.col("mz") - reach), chunk(F.col("mz") + reach))))
     keys = ["sample", "block", "_level", "_chunk"]
     held = written(spread.join(wanted, ["block", "_level", "_chunk"], "left_semi").groupBy(*keys, "mz", "intensity").agg(F.count(F.lit(1)).alias("_n")))
-    own = placed.join(held.select(*[F.col(c).alias(c) for c in keys]).distinct(), ["block", "_level", "_chunk"])
+    own = placed.hint(_SHUFFLED).join(held.select(*[F.col(c).alias(c) for c in keys]).distinct(), ["block", "_level", "_chunk"])
     kinds = {c: peaks.schema[c].dataType.simpleString() for c in ("sample", "block")}
 
     def run(key: tuple, fragments: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
@@ -145,7 +147,7 @@ def assessed(spectra: DataFrame, entries: DataFrame, ppm: float, least: int = 1,
     few = near.groupBy("sample", "_class").agg(F.count_distinct("place").alias("_places"), F.array_sort(F.collect_set(F.struct("mz", "intensity", "copies"))).alias("_near")).filter(F.col("_places") >= least)
     spectrum = F.flatten(F.transform("_near", lambda p: F.array_repeat(F.struct(p["mz"].alias("mz"), p["intensity"].alias("intensity")), p["copies"].cast("int"))))
     plain = F.transform("fragments", lambda f: F.struct(f["mz"].alias("mz"), f["intensity"].alias("intensity")))
-    held = few.select("sample", "_class", spectrum.alias("spectrum")).join(classes, "_class")
+    held = few.select("sample", "_class", spectrum.alias("spectrum")).join(classes.hint(_SHUFFLED), "_class")
     ranked = held.withColumn("_t", F.col("precursor_mz") * ppm / 1e6).withColumn("_ranks", matching.matched(plain, F.col("spectrum"), F.col("_t")))
     at = lambda r: F.get("spectrum", r)["intensity"]
     pairs = F.filter(F.zip_with("fragments", "_ranks", lambda f, r: F.when((r >= 0) & (at(r) >= least_intensity), F.struct(f["mz"].alias("mz"), f["label"].alias("label"), at(r).alias("intensity")))), lambda x: x.isNotNull())
@@ -154,7 +156,7 @@ def assessed(spectra: DataFrame, entries: DataFrame, ppm: float, least: int = 1,
     out = scored.select("sample", "_class", F.size("_m").cast("long").alias("matches"), of("diagnostic").alias("diagnostic"), of("sn1").alias("sn1"), of("sn2").alias("sn2"), F.exists("_m", lambda m: F.abs(m["mz"] - F.col("precursor_mz")) < F.col("_t")).alias("has_precursor"), F.array_max(F.transform("_m", lambda m: m["intensity"])).alias("max_intensity"))
     enough = (F.col("matches") >= least) & (F.col("diagnostic") >= diagnostic) & (F.col("sn1") >= sn1) & (F.col("sn2") >= sn2)
     kept = out.filter(enough & F.col("has_precursor") if precursor else enough)
-    return kept.join(asked.select("_class", "block", "compound_id", "adduct"), "_class").select(*_KEYS, *out.columns[2:])
+    return kept.join(asked.select("_class", "block", "compound_id", "adduct").hint(_SHUFFLED), "_class").select(*_KEYS, *out.columns[2:])
 
 
 def with_ms1(matches: DataFrame, ions: DataFrame, ms1: DataFrame, ppm: float, most_before: float | None = None) -> DataFrame:
@@ -163,7 +165,7 @@ def with_ms1(matches: DataFrame, ions: DataFrame, ms1: DataFrame, ppm: float, mo
     ``ions``: compound_id, adduct, mz; ``ms1``: sample, mz, intensity. With ``most_before``, an ion whose peak has one a 13C
     step below of more than that share of it is no monoisotopic peak, and has 0.
     """
-    asked = matches.join(ions.select("compound_id", "adduct", F.col("mz").alias("_ion")), ["compound_id", "adduct"])
+    asked = matches.join(ions.select("compound_id", "adduct", F.col("mz").alias("_ion")).hint(_SHUFFLED), ["compound_id", "adduct"])
     # ions of one m/z share their peaks: each m/z of a sample is looked up once
     steps = asked.select("sample", "_ion").distinct().withColumn("_step", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_at", F.col("_ion") - F.col("_step") * C13_STEP)
     reach = F.col("_ion") * ppm / 1e6
@@ -174,5 +176,5 @@ def with_ms1(matches: DataFrame, ions: DataFrame, ms1: DataFrame, ppm: float, mo
     value = F.coalesce("_own", F.lit(0.0))
     if most_before is not None:
         value = F.when(F.coalesce("_before", F.lit(0.0)) > most_before * value, 0.0).otherwise(value)
-    found = asked.join(best, ["sample", "_ion"], "left").groupBy(*_KEYS).agg(F.max(value).alias("ms1_intensity"))
-    return matches.join(found, _KEYS, "left").fillna({"ms1_intensity": 0.0})
+    found = asked.hint(_SHUFFLED).join(best, ["sample", "_ion"], "left").groupBy(*_KEYS).agg(F.max(value).alias("ms1_intensity"))
+    return matches.join(found.hint(_SHUFFLED), _KEYS, "left").fillna({"ms1_intensity": 0.0})

@@ -47,6 +47,18 @@ def test_block_search_equals_every_pair(spark):
         assert x.ms1_intensity == (0.0 if before > 0.9 * own else own)
 
 
+def test_no_rows_of_the_library_are_broadcast(spark):
+    entries = lambda n: spark.range(n).selectExpr("0L AS block", "id AS compound_id", "'M' AS adduct", "100.0D + id AS precursor_mz", "array(named_struct('mz', 100.0D + id, 'intensity', 1.0D, 'label', 'a')) AS fragments")
+    peaks = spark.range(50).selectExpr("id % 2 AS sample", "0L AS block", "100.0D + id AS mz", "9.0D AS intensity")
+    few = entries(20)
+    matches = block_search.assessed(peaks, few, 100.0)
+    found = block_search.with_ms1(matches, few.select("compound_id", "adduct", F.col("precursor_mz").alias("mz")), peaks, 20.0)
+    assert {(x.compound_id, x.sample, x.ms1_intensity) for x in found.collect()} == {(k, k % 2, 9.0) for k in range(20)}
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    joins = [x for x in plan.splitlines() if "BroadcastHashJoin" in x]
+    assert joins and not [x for x in joins if "_class" in x or "compound_id" in x]
+
+
 def test_rare_fragments_find_what_all_would(spark):
     r = random.Random(3)
     spectra = [(s, b, [(float(r.randrange(100, 130)) + r.random() * 0.02, r.random() * 10) for _ in range(r.randrange(0, 12))]) for s in range(4) for b in range(3)] + [(9, 0, []), (9, 1, None)]
